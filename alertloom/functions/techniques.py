@@ -74,12 +74,8 @@ def techniques(spark: SparkSession) -> DataFrame:
 
 def is_known(technique_id: Column) -> Column:
     """Exact membership in the allowlist; false for null."""
-    return F.coalesce(technique_id.isin(*TECHNIQUE_IDS), F.lit(False))
-
-
-def canonical_name(technique_id: Column) -> Column:
-    names = F.create_map(*[F.lit(text) for row in TECHNIQUES for text in row[:2]])
-    return F.try_element_at(names, technique_id)
+    allowlist = F.expr("array(" + ", ".join(f"'{known}'" for known in TECHNIQUE_IDS) + ")")
+    return F.coalesce(F.array_contains(allowlist, technique_id), F.lit(False))
 
 
 def reference_line(technique_id: Column, name: Column, description: Column) -> Column:

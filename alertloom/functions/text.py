@@ -48,48 +48,42 @@ def iso_utc(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
 
 
-def rewrite(value: Column, dtype: T.DataType, leaf: Callable[[Column, T.DataType], Column]) -> Column:
-    """Rebuild a nested value with its struct fields in name order and `leaf` applied to the leaves."""
+def _rewrite(value: str, dtype: T.DataType, leaf: Callable[[str, T.DataType], str], depth: int = 0) -> str:
+    """SQL that rebuilds a nested value with struct fields in name order and `leaf` applied to its leaves."""
+    item = f"_v{depth}"
     if isinstance(dtype, T.StructType):
         fields = sorted(dtype.fields, key=lambda field: field.name)
-        rebuilt = F.struct(
-            *[rewrite(value.getField(f.name), f.dataType, leaf).alias(f.name) for f in fields]
-        )
-        return F.when(value.isNotNull(), rebuilt)
+        parts = [f"'{f.name}', " + _rewrite(f"{value}.`{f.name}`", f.dataType, leaf, depth) for f in fields]
+        return f"CASE WHEN {value} IS NOT NULL THEN named_struct({', '.join(parts)}) END"
     if isinstance(dtype, T.ArrayType):
-        return F.transform(value, lambda item: rewrite(item, dtype.elementType, leaf))
+        return f"transform({value}, {item} -> {_rewrite(item, dtype.elementType, leaf, depth + 1)})"
     if isinstance(dtype, T.MapType):
-        entries = F.transform(
-            F.map_entries(value),
-            lambda e: F.struct(
-                leaf(e["key"].cast("string"), T.StringType()).alias("key"),
-                rewrite(e["value"], dtype.valueType, leaf).alias("value"),
-            ),
-        )
-        # Scrubbing can make two keys equal; the later one wins.
-        later = F.filter(
-            entries,
-            lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]),
-        )
-        return F.map_from_entries(later)
+        # Scrubbing can make two keys equal; spark.sql.mapKeyDedupPolicy=LAST_WIN keeps the later one.
+        key = _rewrite(f"{item}.key", T.StringType(), leaf, depth + 1)
+        held = _rewrite(f"{item}.value", dtype.valueType, leaf, depth + 1)
+        return f"map_from_entries(transform(map_entries({value}), {item} -> struct({key}, {held})))"
     return leaf(value, dtype)
 
 
-def scrub(value: Column, dtype: T.DataType, max_field: int = MAX_FIELD) -> Column:
-    """Scrub every string in a nested value; numbers, booleans and nulls pass, other types become text."""
+def scrub(column: str, dtype: T.DataType, max_field: int = MAX_FIELD) -> Column:
+    """Scrub every string in a nested column; numbers, booleans and nulls pass, other types become text.
 
-    def leaf(item: Column, kind: T.DataType) -> Column:
-        if isinstance(kind, T.StringType):
-            return scrub_text(item, max_field)
-        if isinstance(kind, T.DecimalType) or not isinstance(kind, (T.NumericType, T.BooleanType, T.NullType, T.VariantType)):
-            return scrub_text(item.cast("string"), max_field)
-        return item
+    Struct fields come out in name order, as canonical JSON wants them.
+    """
+    as_is = (T.BooleanType, T.NullType, T.VariantType)
+    unsafe = UNSAFE_CHARS.replace("\\", "\\\\")
+
+    def leaf(item: str, kind: T.DataType) -> str:
+        if isinstance(kind, as_is) or (isinstance(kind, T.NumericType) and not isinstance(kind, T.DecimalType)):
+            return item
+        clean = f"regexp_replace(CAST({item} AS STRING), '{unsafe}', '')"
+        return f"CASE WHEN length({clean}) > {max_field} THEN concat(left({clean}, {max_field}), '{TRUNCATION_MARK}') ELSE {clean} END"
 
-    return rewrite(value, dtype, leaf)
+    return F.expr(_rewrite(f"`{column}`", dtype, leaf))
 
 
-def in_name_order(value: Column, dtype: T.DataType) -> Column:
-    return rewrite(value, dtype, lambda item, _kind: item)
+def in_name_order(column: str, dtype: T.DataType) -> Column:
+    return F.expr(_rewrite(f"`{column}`", dtype, lambda item, _kind: item))
 
 
 def scrub_free_form(max_field: int = MAX_FIELD):

@@ -19,70 +19,56 @@ SYSTEM_FRAME = (
 )
 
 
-def _events(events: Column) -> Column:
-    return F.transform(
-        events,
-        lambda e: F.struct(
-            e["event_name"].alias("eventName"),
-            e["event_source"].alias("eventSource"),
-            text.iso_utc(e["event_time"]).alias("eventTime"),
-            e["username"].alias("username"),
-            e["source_ip"].alias("sourceIPAddress"),
-            e["user_agent"].alias("userAgent"),
-            e["aws_region"].alias("awsRegion"),
-            e["error_code"].alias("errorCode"),
-            e["error_message"].alias("errorMessage"),
-            F.try_parse_json(e["request_parameters"]).alias("requestParameters"),
-        ),
-    )
+_ISO = "date_format({0}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx\")"
+
+_BUNDLE = f"""
+named_struct(
+  'finding', named_struct(
+    'id', finding_id, 'type', type, 'severity', severity, 'title', title, 'region', region, 'resource_type', resource_type,
+    'principal', named_struct('user_type', user_type, 'user_name', user_name, 'principal_id', principal_id),
+    'time', {_ISO.format("center_time")}),
+  'cloudtrail_events', transform(events, e -> named_struct(
+    'eventName', e.event_name, 'eventSource', e.event_source, 'eventTime', {_ISO.format("e.event_time")},
+    'username', e.username, 'sourceIPAddress', e.source_ip, 'userAgent', e.user_agent, 'awsRegion', e.aws_region,
+    'errorCode', e.error_code, 'errorMessage', e.error_message, 'requestParameters', try_parse_json(e.request_parameters))),
+  'iam_context', named_struct(
+    'user_type', user_type, 'user_name', user_name, 'attached_policies', attached_policies,
+    'inline_policies', inline_policies, 'groups', `groups`, 'blast_radius', blast_radius),
+  'related_findings', named_struct('count', related_count, 'summaries', related_summaries),
+  'access_key_id', access_key_id,
+  'instance_id', instance_id)
+"""
 
 
 def bundle() -> Column:
     """The nested bundle of a finding that has its timeline, profile and related findings."""
-    return F.struct(
-        F.struct(
-            F.col("finding_id").alias("id"),
-            "type",
-            "severity",
-            "title",
-            "region",
-            "resource_type",
-            F.struct("user_type", "user_name", "principal_id").alias("principal"),
-            text.iso_utc(F.col("center_time")).alias("time"),
-        ).alias("finding"),
-        _events(F.col("events")).alias("cloudtrail_events"),
-        F.struct("user_type", "user_name", "attached_policies", "inline_policies", "groups", "blast_radius").alias("iam_context"),
-        F.struct(F.col("related_count").alias("count"), F.col("related_summaries").alias("summaries")).alias("related_findings"),
-        "access_key_id",
-        "instance_id",
-    )
+    return F.expr(_BUNDLE)
 
 
-def payload(bundles: DataFrame, *, max_field: int = text.MAX_FIELD) -> Column:
-    """Canonical JSON of the scrubbed bundle.
+def payload(bundles: DataFrame, *, max_field: int = text.MAX_FIELD) -> DataFrame:
+    """(finding_id, payload): canonical JSON of each scrubbed bundle.
 
     Free-form request parameters have no schema, so they are scrubbed in an Arrow UDF; all the
-    rest of the bundle is rewritten by Column expressions.
+    rest of the bundle is rewritten by one SQL expression made from its schema.
     """
-    nested = F.col("bundle")
-    raw = F.transform(nested["cloudtrail_events"], lambda e: F.to_json(e["requestParameters"]))
-    clean = text.scrub_free_form(max_field)(raw)
+    free_form = F.expr("transform(bundle.cloudtrail_events, e -> to_json(e.requestParameters))")
+    rows = bundles.select("finding_id", "bundle", text.scrub_free_form(max_field)(free_form).alias("_clean"))
     events = F.zip_with(
-        nested["cloudtrail_events"], clean, lambda e, p: e.withField("requestParameters", F.parse_json(p))
+        "bundle.cloudtrail_events", "_clean", lambda e, p: e.withField("requestParameters", F.parse_json(p))
     )
-    whole = nested.withField("cloudtrail_events", F.when(F.size(raw) > 0, events).otherwise(nested["cloudtrail_events"]))
-    return text.canonical_json(text.scrub(whole, bundles.schema["bundle"].dataType, max_field))
+    whole = rows.select("finding_id", F.col("bundle").withField("cloudtrail_events", events).alias("bundle"))
+    clean = text.scrub("bundle", whole.schema["bundle"].dataType, max_field)
+    return whole.select("finding_id", text.canonical_json(clean).alias("payload"))
 
 
 def prompts(
     bundles: DataFrame, *, max_field: int = text.MAX_FIELD, max_block: int = text.MAX_BLOCK, frame: str = PROMPT_FRAME
 ) -> DataFrame:
     """(finding_id, prompt, truncated): the fenced user prompt of each bundle."""
-    rows = bundles.select("finding_id", payload(bundles, max_field=max_field).alias("_payload"))
-    return rows.select(
+    return payload(bundles, max_field=max_field).select(
         "finding_id",
-        F.concat(F.lit(frame), text.fence_block(F.col("_payload"), max_block)).alias("prompt"),
-        text.block_is_cut(F.col("_payload"), max_block).alias("truncated"),
+        F.concat(F.lit(frame), text.fence_block(F.col("payload"), max_block)).alias("prompt"),
+        text.block_is_cut(F.col("payload"), max_block).alias("truncated"),
     )
 
 

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FINDINGS = """
@@ -179,11 +181,9 @@ def source(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
-def derive(spark: SparkSession, folder: str, sql: str, **tables: DataFrame) -> DataFrame:
+def derive(spark: SparkSession, sql: str, read: Callable[[str], DataFrame]) -> DataFrame:
     """A derived table, with its times as UTC instants."""
-    wanted = {t: source(spark, folder, t) for t in ("events", "documents", "labels") if "{" + t + "}" in sql}
-    rows = spark.sql(sql, **wanted, **tables)
-    for field in rows.schema.fields:
-        if field.dataType.typeName() == "timestamp_ntz":
-            rows = rows.withColumn(field.name, F.col(field.name).cast("timestamp"))
-    return rows
+    wanted = {t: read(t) for t in ("events", "documents", "labels") if "{" + t + "}" in sql}
+    rows = spark.sql(sql, **wanted)
+    local = [f.name for f in rows.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return rows.withColumns({name: F.col(name).cast("timestamp") for name in local}) if local else rows

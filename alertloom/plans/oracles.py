@@ -288,7 +288,7 @@ FINALS: dict[str, str] = {
         FROM dec LEFT JOIN calls ON dec.finding_id = calls.finding_id""",
     "brief_view": f"""SELECT f.finding_id, f.type, CASE WHEN att.good AND att.reason IS NULL THEN 'analyzed' ELSE 'degraded' END AS status, CASE WHEN att.finding_id IS NULL THEN 'no_response' ELSE att.reason END AS reason,
         {_rescore('f.severity', 'prof.blast_radius', 'rel.related_count', "coalesce(att.severity, 'LOW')")} AS final_severity, att.confidence, tl.n_events AS event_count, att.summary,
-        array_to_string(list_transform({_PAIRED}, lambda x: concat(x[1], '  ', x[2])), chr(10)) AS techniques, CASE WHEN att.good THEN {_NUMBERED} END AS actions,
+        CASE WHEN att.good THEN array_to_string(list_transform({_PAIRED}, lambda x: concat(x[1], '  ', x[2])), chr(10)) END AS techniques, CASE WHEN att.good THEN {_NUMBERED} END AS actions,
         array_to_string({_DROPPED}, ',') AS dropped_techniques, {_DROPPED_RES} AS dropped_resources, att.request_id
         FROM f JOIN prof ON f.finding_id = prof.finding_id JOIN rel ON f.finding_id = rel.finding_id JOIN tl ON f.finding_id = tl.finding_id JOIN ev ON f.finding_id = ev.finding_id
         LEFT JOIN (SELECT * FROM att WHERE attempt = 1) AS att ON f.finding_id = att.finding_id""",
@@ -347,6 +347,13 @@ FINALS: dict[str, str] = {
         FROM arn AS n JOIN dec ON n.finding_id = dec.finding_id WHERE n.severity >= 7
         UNION ALL SELECT NULL, 'skipped', 'no_finding_id', NULL, NULL, NULL FROM arr WHERE (finding_id IS NULL OR finding_id = '') AND severity >= 7""",
     "stream_interval_join": "SELECT finding_id, event_id FROM pairs",
+    # A window comes out once the newest time seen, less ten minutes, has passed its end.
+    "stream_metrics": f"""SELECT {_text('w')} AS window_start, round(avg(ms), 6) AS avg_ms, round(quantile_cont(ms, 0.9), 6) AS p90_ms,
+        round(sum(i * 0.000005 + o * 0.000025), 6) AS cost_usd, cast(sum(i) AS BIGINT) AS input_tokens, cast(sum(o) AS BIGINT) AS output_tokens, count(*) AS invocations,
+        count(*) FILTER (WHERE bad) AS degraded
+        FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS w, 7000 + (event_id * 37) % 9000 AS ms, 800 + event_id % 400 AS i, 1200 + event_id % 700 AS o, event_id % 13 < 5 AS bad
+              FROM events WHERE event_type = 'error') AS x
+        GROUP BY w HAVING w + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events WHERE event_type = 'error') - INTERVAL 10 MINUTE""",
     "stream_audit": "SELECT finding_id, request_id, processing_ms FROM r WHERE attempt = 1",
     "threat_purpose": "SELECT f.finding_id, split_part(f.type, ':', 1) AS purpose, stage, candidates FROM f LEFT JOIN purposes ON purposes.purpose = split_part(f.type, ':', 1)",
     "timeline_signals": "SELECT f.finding_id, "

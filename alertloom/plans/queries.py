@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import cache, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,12 +40,13 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
         self._spark, self._folder = spark, folder
+        self.source = cache(partial(d.source, spark, folder))
 
     def __getattr__(self, name: str) -> DataFrame:
-        return d.derive(self._spark, self._folder, getattr(d, name.upper()))
-
-    def source(self, table: str) -> DataFrame:
-        return d.source(self._spark, self._folder, table)
+        """A derived table by its name in lower case, analysed once."""
+        rows = d.derive(self._spark, getattr(d, name.upper()), self.source)
+        setattr(self, name, rows)
+        return rows
 
     def context(self, history: DataFrame | None = None) -> Context:
         return Context(self.trail, self.principals, self.attached, self.inline, self.groups, history)
@@ -386,7 +387,7 @@ def triage_hard_signals(t: Tables) -> DataFrame:
 @query
 def triage_outcomes(t: Tables) -> DataFrame:
     result = triage_batch(
-        t.arrivals, t.context(t.findings), t.responses, run_ts=run_ts(), claims=t.claims, materialize=False, null_event_ids=False
+        t.arrivals, t.context(t.findings), t.responses, run_ts=run_ts(), claims=t.claims, null_event_ids=False
     )
     return result.outcomes.select(
         "finding_id", "status", "reason", "final_severity", "blast_radius", "related_count", "action_count", "processing_ms",
@@ -425,7 +426,7 @@ def scrub_nested(t: Tables) -> DataFrame:
     ).alias("v")
     rows = t.source("conversations").select("conv_id", "turn", nested)
     kind = rows.schema["v"].dataType
-    v = rows.withColumn("v", text.scrub(F.col("v"), kind))
+    v = rows.withColumn("v", text.scrub("v", kind))
     return v.select("conv_id", "turn", "v.role", F.md5("v.inner.body").alias("body"), F.col("v.inner.turn").alias("kept_turn"), F.element_at("v.list", 2).alias("second"))
 
 
@@ -434,7 +435,7 @@ def canonical_json(t: Tables) -> DataFrame:
     """Canonical text read back: every value survives, and the text itself is ASCII only."""
     nested = F.struct("text", F.col("lang").alias("Lang"), F.struct("source", "n_chars").alias("meta")).alias("v")
     rows = t.source("documents").select("doc_id", nested)
-    payload = text.canonical_json(text.in_name_order(F.col("v"), rows.schema["v"].dataType))
+    payload = text.canonical_json(text.in_name_order("v", rows.schema["v"].dataType))
     parsed = F.parse_json("payload")
     return rows.select("doc_id", payload.alias("payload")).select(
         "doc_id",
