@@ -26,7 +26,8 @@ EVENT_FIELDS = (
     "event_time", "event_id", "event_name", "event_source", "username", "source_ip", "user_agent",
     "aws_region", "error_code", "error_message", "request_parameters",
 )
-_KEY = ("access_key_id",)
+# What a timeline depends on.
+WINDOW = ("access_key_id", "center_time")
 
 
 def _hours(n: float) -> Column:
@@ -34,13 +35,14 @@ def _hours(n: float) -> Column:
 
 
 def _windows(findings: DataFrame, hours: float) -> DataFrame:
-    """(finding_id, access_key_id, earliest, latest) of the findings that name a key."""
-    return findings.where((F.col("access_key_id") != "") & F.col("center_time").isNotNull()).select(
-        "finding_id",
+    """(access_key_id, center_time, earliest, latest), each once: findings that share key and time share a timeline."""
+    named = findings.where((F.col("access_key_id") != "") & F.col("center_time").isNotNull())
+    return named.select(
         "access_key_id",
+        "center_time",
         (F.col("center_time") - _hours(hours)).alias("earliest"),
         (F.col("center_time") + _hours(hours)).alias("latest"),
-    )
+    ).distinct()
 
 
 def _with_span(rows: DataFrame, moment: str, seconds: int, name: str) -> DataFrame:
@@ -87,15 +89,21 @@ def _single_copies(events: DataFrame) -> DataFrame:
 
 
 def _newest(windows: DataFrame, events: DataFrame, n: int) -> DataFrame:
-    """(finding_id, events): the newest n events of each window, oldest first."""
+    """(access_key_id, center_time, events): the newest n events of each window, oldest first."""
     # Narrow pass: only keys, times and ids are numbered; the other fields are joined on at the end.
     key = F.coalesce(F.col("event_id"), F.unix_micros("event_time").cast("string")).alias("event_key")
     marks = events.groupBy("access_key_id", key).agg(F.max("event_time").alias("moment"))
     same_time = W.partitionBy("access_key_id", "moment").orderBy(F.desc("event_key"))
     marks = marks.withColumn("_newer", F.row_number().over(same_time)).where(F.col("_newer") <= n)
-    both = marks.select(*_KEY, "moment", "event_key", F.lit(1).alias("is_event"), F.lit(None).cast("string").alias("finding_id"), F.lit(None).cast("timestamp").alias("earliest")).unionByName(
-        windows.select(*_KEY, F.col("latest").alias("moment"), F.lit(None).cast("string").alias("event_key"), F.lit(0).alias("is_event"), "finding_id", "earliest")
-    ).withColumn("slot", F.unix_seconds("moment"))
+    no_time, no_key = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
+    both = marks.select(
+        "access_key_id", "moment", "event_key", F.lit(1).alias("is_event"), no_time.alias("center_time"), no_time.alias("earliest")
+    ).unionByName(
+        windows.select(
+            "access_key_id", F.col("latest").alias("moment"), no_key.alias("event_key"), F.lit(0).alias("is_event"), "center_time", "earliest"
+        )
+    )
+    both = both.withColumn("slot", F.unix_seconds("moment"))
 
     # A window's mark follows the events of the same time, so its rank counts them.
     in_slot = (
@@ -108,14 +116,14 @@ def _newest(windows: DataFrame, events: DataFrame, n: int) -> DataFrame:
     earlier = W.partitionBy("access_key_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("access_key_id", "slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     numbered = ranked.join(offsets, ["access_key_id", "slot"]).select(
-        "access_key_id", "event_key", "finding_id", "earliest", "is_event", (F.col("_before") + F.col("rank")).alias("number")
+        "access_key_id", "event_key", "center_time", "earliest", "is_event", (F.col("_before") + F.col("rank")).alias("number")
     )
     # Read three times below, so written once: it is narrow, and the numbering is the costly part.
     numbered = written_once(numbered, "numbered-trail")
 
     # Run r holds the numbers of two neighbouring groups of n, so one run covers any n in a row.
     group = F.expr(f"(number - 1) div {n}")
-    placed = numbered.where("is_event = 1").select(*_KEY, "event_key", "number", group.alias("_group"))
+    placed = numbered.where("is_event = 1").select("access_key_id", "event_key", "number", group.alias("_group"))
     runs = (
         _single_copies(events)
         .join(placed, ["access_key_id", "event_key"])
@@ -124,14 +132,14 @@ def _newest(windows: DataFrame, events: DataFrame, n: int) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("number", "event"))).alias("_events"))
     )
     asking = numbered.where("is_event = 0 AND number > 0").select(
-        "finding_id", *_KEY, "earliest", F.col("number").alias("_last"), group.alias("run")
+        "access_key_id", "center_time", "earliest", F.col("number").alias("_last"), group.alias("run")
     )
     taken = F.filter(
         "_events",
         lambda e: (e["number"] > F.col("_last") - n) & (e["number"] <= F.col("_last")) & (e["event"]["event_time"] >= F.col("earliest")),
     )
-    return lookup_join(asking, runs, ["access_key_id", "run"], "finding_id").select(
-        "finding_id", F.transform(taken, lambda e: e["event"]).alias("events")
+    return lookup_join(asking, runs, ["access_key_id", "run"], "center_time").select(
+        "access_key_id", "center_time", F.transform(taken, lambda e: e["event"]).alias("events")
     )
 
 
@@ -144,9 +152,9 @@ def timelines(
     null_event_ids: bool = True,
     max_broadcast_keys: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """(finding_id, events) for the findings with an access key; one row per finding_id given.
+    """(access_key_id, center_time, events) for each key and time the findings name.
 
-    Events without an id count as one event per finding, the newest; pass null_event_ids=False
+    Events without an id count as one event per window, the newest; pass null_event_ids=False
     for a trail that has none, and the second pass is left out.
     """
     windows = _windows(findings, window_hours)
@@ -157,9 +165,8 @@ def timelines(
     unnamed = _newest(windows, trail.where(F.col("event_id").isNull()), 1).withColumnRenamed("events", "_unnamed")
     none = F.array().cast(named.schema["events"].dataType)
     merged = F.array_sort(F.concat(F.coalesce("events", none), F.coalesce("_unnamed", none)))
-    return named.join(unnamed, "finding_id", "full").select(
-        "finding_id", F.slice(F.reverse(merged), 1, max_events).alias("_newest_first")
-    ).select("finding_id", F.reverse("_newest_first").alias("events"))
+    newest = F.reverse(F.slice(F.reverse(merged), 1, max_events))
+    return named.join(unnamed, list(WINDOW), "full").select(*WINDOW, newest.alias("events"))
 
 
 def with_timeline(findings: DataFrame, trail: DataFrame, *, plain: DataFrame | None = None, **options) -> DataFrame:
@@ -167,9 +174,11 @@ def with_timeline(findings: DataFrame, trail: DataFrame, *, plain: DataFrame | N
 
     `plain` is the findings table itself if `findings` already has joins in it.
     """
-    found = timelines(findings if plain is None else plain, trail, **options)
+    base = findings if plain is None else plain
+    found = timelines(base, trail, **options)
     empty = F.array().cast(found.schema["events"].dataType)
-    return findings.join(found, "finding_id", "left").withColumn("events", F.coalesce("events", empty))
+    joined = lookup_join(findings, found, WINDOW, "finding_id", weigh=base.select(*WINDOW))
+    return joined.withColumn("events", F.coalesce("events", empty))
 
 
 def distinct_events(trail: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from alertloom.operators.timeline import distinct_events, relevant_trail, timelines, with_timeline, _windows
+from alertloom.operators.timeline import _windows, distinct_events, relevant_trail, with_timeline
 from helpers import at, findings, plan_text, trail
 
 
@@ -32,7 +32,7 @@ def _brute(found, events, hours, n):
 
 
 def _same_as_brute(spark, found, events, hours=2, n=5, **options):
-    rows = timelines(findings(spark, *found), trail(spark, *events), window_hours=hours, max_events=n, **options).collect()
+    rows = with_timeline(findings(spark, *found), trail(spark, *events), window_hours=hours, max_events=n, **options).collect()
     got = {r["finding_id"]: [(e["event_time"], e["event_id"] or "") for e in r["events"]] for r in rows if r["events"]}
     assert {k: sorted(v) for k, v in got.items()} == _brute(found, events, hours, n)
     for moments in got.values():
@@ -47,24 +47,24 @@ def test_no_key_and_no_activity_give_an_empty_timeline(spark):
 
 def test_copies_are_dropped_and_events_sorted(spark):
     events = [dict(event_id="e2", event_time=at(2)), dict(event_id="e1", event_time=at(1)), dict(event_id="e2", event_time=at(2))]
-    assert _ids(timelines(findings(spark, dict(finding_id="a")), trail(spark, *events))) == {"a": ["e1", "e2"]}
+    assert _ids(with_timeline(findings(spark, dict(finding_id="a")), trail(spark, *events))) == {"a": ["e1", "e2"]}
     assert distinct_events(trail(spark, *events)).count() == 2
 
 
 def test_cap_keeps_the_newest(spark):
     events = [dict(event_id=f"e{i}", event_time=at(i)) for i in range(10)]
-    assert _ids(timelines(findings(spark, dict(finding_id="a")), trail(spark, *events), max_events=3)) == {"a": ["e7", "e8", "e9"]}
+    assert _ids(with_timeline(findings(spark, dict(finding_id="a")), trail(spark, *events), max_events=3)) == {"a": ["e7", "e8", "e9"]}
 
 
 def test_both_ends_of_the_window_are_inside(spark):
     events = [dict(event_id="lo", event_time=at(-120)), dict(event_id="hi", event_time=at(120)), dict(event_id="out", event_time=at(120.001))]
-    assert _ids(timelines(findings(spark, dict(finding_id="a")), trail(spark, *events))) == {"a": ["lo", "hi"]}
+    assert _ids(with_timeline(findings(spark, dict(finding_id="a")), trail(spark, *events))) == {"a": ["lo", "hi"]}
 
 
 def test_events_without_an_id_count_once_per_finding(spark):
     events = [dict(event_id=None, event_time=at(m)) for m in (-100, 10, 61)] + [dict(event_id="e", event_time=at(5))]
     found = [dict(finding_id="early", access_key_id="AK1", center_time=at(-60)), dict(finding_id="late", access_key_id="AK1", center_time=at(0))]
-    rows = {r["finding_id"]: [e["event_time"] for e in r["events"]] for r in timelines(findings(spark, *found), trail(spark, *events)).collect()}
+    rows = {r["finding_id"]: [e["event_time"] for e in r["events"]] for r in with_timeline(findings(spark, *found), trail(spark, *events)).collect()}
     assert rows == {"early": [at(5), at(10)], "late": [at(5), at(61)]}
 
 
@@ -90,6 +90,12 @@ def test_one_key_with_most_events_in_one_second(spark):
     _same_as_brute(spark, found, hot + cold, n=7)
 
 
+def test_findings_at_one_time_share_one_timeline(spark):
+    events = [dict(event_id=f"e{i}", access_key_id="AK1", event_time=at(i)) for i in range(20)]
+    found = [dict(finding_id=f"f{i}", access_key_id="AK1", center_time=at(i // 100)) for i in range(300)]
+    _same_as_brute(spark, found, events)
+
+
 def test_no_pair_join_and_pruned_scan(spark, tmp_path):
     trail(spark, *[dict(event_id=f"e{i}", event_time=at(i)) for i in range(20)]).write.parquet(str(tmp_path / "trail"))
     stored = spark.read.parquet(str(tmp_path / "trail"))
@@ -97,5 +103,5 @@ def test_no_pair_join_and_pruned_scan(spark, tmp_path):
     pruned = relevant_trail(_windows(found, 2), stored, 2)
     plan = plan_text(pruned)
     assert "GreaterThanOrEqual(event_time" in plan and "LessThanOrEqual(event_time" in plan
-    whole = plan_text(timelines(found, stored))
+    whole = plan_text(with_timeline(found, stored))
     assert "NestedLoop" not in whole and "Cartesian" not in whole
