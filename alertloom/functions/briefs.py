@@ -28,14 +28,22 @@ _CONTRACT = (
 )
 
 
-def parse_brief(brief_json: Column) -> Column:
-    """Typed brief, or null where the text breaks the contract.
+def typed(brief_json: Column) -> Column:
+    """The brief as a struct, whatever is missing left null."""
+    return F.from_json(brief_json, BRIEF)
+
+
+def shape(brief_json: Column) -> Column:
+    """Inferred schema of the brief as text."""
+    return F.schema_of_variant(F.try_parse_json(brief_json))
+
+
+def checked(typed: Column, shape: Column) -> Column:
+    """The typed brief, or null where it breaks the contract.
 
     All six fields must be there with the right types and no others. The inferred schema of a
     list hides a null item or a field only some items have, so items are looked at one by one.
     """
-    parsed = F.try_parse_json(brief_json)
-    typed = F.from_json(brief_json, BRIEF)
     whole_lists = ~(
         F.exists(typed["affected_resources"], lambda r: r.isNull())
         | F.exists(typed["recommended_actions"], lambda a: a.isNull())
@@ -45,7 +53,7 @@ def parse_brief(brief_json: Column) -> Column:
         )
     )
     good = (
-        F.schema_of_variant(parsed).rlike(_CONTRACT)
+        shape.rlike(_CONTRACT)
         & typed["severity"].isin(*LEVELS)
         & typed["confidence"].isin(*CONFIDENCES)
         & whole_lists

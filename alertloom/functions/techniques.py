@@ -66,10 +66,11 @@ TECHNIQUE_IDS = tuple(row[0] for row in TECHNIQUES)
 
 def techniques(spark: SparkSession) -> DataFrame:
     """(position, technique_id, name, description, tactic); 53 rows, so always safe to broadcast."""
-    rows = [(position, *row) for position, row in enumerate(TECHNIQUES)]
-    return spark.createDataFrame(
-        rows, "position INT, technique_id STRING, name STRING, description STRING, tactic STRING"
+    rows = ", ".join(
+        "({}, {})".format(position, ", ".join('"' + value.replace('"', '\\"') + '"' for value in row))
+        for position, row in enumerate(TECHNIQUES)
     )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(position, technique_id, name, description, tactic)")
 
 
 def is_known(technique_id: Column) -> Column:

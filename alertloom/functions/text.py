@@ -30,7 +30,9 @@ def cap_text(value: Column, limit: int) -> Column:
 
 
 def scrub_text(value: Column, max_field: int = MAX_FIELD) -> Column:
-    return cap_text(strip_control_chars(value), max_field)
+    """Stripped and capped text; only text that is over the cap is stripped before it is measured."""
+    clean = strip_control_chars(value)
+    return F.when(F.length(value) <= max_field, clean).otherwise(cap_text(clean, max_field))
 
 
 def strip_whitespace(value: Column) -> Column:
@@ -76,8 +78,12 @@ def scrub(column: str, dtype: T.DataType, max_field: int = MAX_FIELD) -> Column:
     def leaf(item: str, kind: T.DataType) -> str:
         if isinstance(kind, as_is) or (isinstance(kind, T.NumericType) and not isinstance(kind, T.DecimalType)):
             return item
-        clean = f"regexp_replace(CAST({item} AS STRING), '{unsafe}', '')"
-        return f"CASE WHEN length({clean}) > {max_field} THEN concat(left({clean}, {max_field}), '{TRUNCATION_MARK}') ELSE {clean} END"
+        value = f"CAST({item} AS STRING)"
+        clean = f"regexp_replace({value}, '{unsafe}', '')"
+        return (
+            f"CASE WHEN length({value}) <= {max_field} THEN {clean} "
+            f"WHEN length({clean}) > {max_field} THEN concat(left({clean}, {max_field}), '{TRUNCATION_MARK}') ELSE {clean} END"
+        )
 
     return F.expr(_rewrite(f"`{column}`", dtype, leaf))
 
@@ -86,6 +92,12 @@ def in_name_order(column: str, dtype: T.DataType) -> Column:
     return F.expr(_rewrite(f"`{column}`", dtype, lambda item, _kind: item))
 
 
+def may_need_scrub(json_text: Column, max_field: int = MAX_FIELD) -> Column:
+    """False only where no string in a JSON text can hold an unsafe character or be over the cap."""
+    escaped = json_text.rlike(r"\\[ubf]")
+    return (F.length(json_text) > max_field) | json_text.rlike(UNSAFE_CHARS) | escaped
+
+
 def scrub_free_form(max_field: int = MAX_FIELD):
     """Arrow UDF over ARRAY<STRING> of free-form JSON texts: the one leaf with no schema to walk.
 

@@ -48,13 +48,16 @@ def bundle() -> Column:
 def payload(bundles: DataFrame, *, max_field: int = text.MAX_FIELD) -> DataFrame:
     """(finding_id, payload): canonical JSON of each scrubbed bundle.
 
-    Free-form request parameters have no schema, so they are scrubbed in an Arrow UDF; all the
-    rest of the bundle is rewritten by one SQL expression made from its schema.
+    One SQL expression made from the schema rewrites the bundle. Only free-form request parameters
+    have no schema: those that hold something to scrub go through an Arrow UDF, the others pass.
     """
-    free_form = F.expr("transform(bundle.cloudtrail_events, e -> to_json(e.requestParameters))")
-    rows = bundles.select("finding_id", "bundle", text.scrub_free_form(max_field)(free_form).alias("_clean"))
+    parameters = F.transform("bundle.cloudtrail_events", lambda e: F.to_json(e["requestParameters"]))
+    suspect = F.transform(parameters, lambda p: F.when(text.may_need_scrub(p, max_field), p))
+    rows = bundles.select("finding_id", "bundle", text.scrub_free_form(max_field)(suspect).alias("_clean"))
     events = F.zip_with(
-        "bundle.cloudtrail_events", "_clean", lambda e, p: e.withField("requestParameters", F.parse_json(p))
+        "bundle.cloudtrail_events",
+        "_clean",
+        lambda e, p: e.withField("requestParameters", F.coalesce(F.parse_json(p), e["requestParameters"])),
     )
     whole = rows.select("finding_id", F.col("bundle").withField("cloudtrail_events", events).alias("bundle"))
     clean = text.scrub("bundle", whole.schema["bundle"].dataType, max_field)

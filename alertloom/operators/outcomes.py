@@ -17,18 +17,17 @@ def estimated_cost(input_tokens: Column, output_tokens: Column, input_price: flo
 
 
 def scored(grounded: DataFrame) -> DataFrame:
-    """Adds status, degraded, final_severity and the signals it came from.
+    """Adds status, final_severity and the signals it came from to rows that have `degraded`.
 
     A finding without a brief is scored as if the model had said LOW.
     """
     severity = F.col("bundle.finding.severity")
     blast = F.col("bundle.iam_context.blast_radius")
     related = F.col("bundle.related_findings.count")
-    degraded = F.col("brief").isNull()
+    degraded = F.col("degraded")
     model = F.when(degraded, "LOW").otherwise(F.col("brief.severity"))
     return (
-        grounded.withColumn("degraded", degraded)
-        .withColumn("status", F.when(degraded, "degraded").otherwise("analyzed"))
+        grounded.withColumn("status", F.when(degraded, "degraded").otherwise("analyzed"))
         .withColumn("final_severity", rescore(severity, blast, related, model))
         .withColumn("blast_radius", blast)
         .withColumn("related_count", related)

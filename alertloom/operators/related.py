@@ -52,7 +52,8 @@ def with_related(
     principal gets 0 and an empty list. `weigh` is the plain findings table if `findings` already
     has joins in it.
     """
-    activity = related_activity(findings if history is None else history, max_summaries=max_summaries)
+    base = findings if weigh is None else weigh
+    activity = related_activity(base if history is None else history, max_summaries=max_summaries)
     if history is None:
         asking = findings.withColumn("_listed", F.col("finding_id").isNotNull())
     else:
@@ -60,8 +61,7 @@ def with_related(
             history.where(F.col("principal_id") != "").select("principal_id", "finding_id").distinct().withColumn("_listed", F.lit(True))
         )
         asking = findings.join(known, ["principal_id", "finding_id"], "left").withColumn("_listed", F.coalesce("_listed", F.lit(False)))
-    weights = (findings if weigh is None else weigh).select("principal_id")
-    joined = lookup_join(asking, activity, ["principal_id"], "finding_id", weigh=weights)
+    joined = lookup_join(asking, activity, ["principal_id"], "finding_id", weigh=base.select("principal_id"))
     usable = (F.col("detector_id") != "") & F.col("total").isNotNull()
     others = F.filter("newest", lambda s: ~s["id"].eqNullSafe(F.col("finding_id")))
     summaries = F.transform(

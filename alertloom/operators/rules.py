@@ -33,8 +33,10 @@ SIGNALS = {
 
 def purposes(spark: SparkSession) -> DataFrame:
     """(purpose, stage, candidates); eleven rows, so always safe to broadcast."""
-    rows = [(purpose, stage, list(ids)) for purpose, stage, ids in PURPOSES]
-    return spark.createDataFrame(rows, "purpose STRING, stage STRING, candidates ARRAY<STRING>")
+    rows = ", ".join(
+        f"('{purpose}', '{stage}', array({', '.join(repr(i) for i in ids)}))" for purpose, stage, ids in PURPOSES
+    )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(purpose, stage, candidates)")
 
 
 def threat_purpose(finding_type: Column) -> Column:

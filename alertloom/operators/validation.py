@@ -11,7 +11,9 @@ _USAGE = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_cre
 
 def typed_responses(responses: DataFrame) -> DataFrame:
     """Responses plus the typed brief and the degraded reason of each attempt."""
-    typed = responses.withColumn("brief", briefs.parse_brief(F.col("brief_json"))).drop("brief_json")
+    # Parsed in a step of its own: the check looks at the parsed brief many times.
+    parsed = responses.withColumns({"_typed": briefs.typed(F.col("brief_json")), "_shape": briefs.shape(F.col("brief_json"))})
+    typed = parsed.withColumn("brief", briefs.checked(F.col("_typed"), F.col("_shape"))).drop("brief_json", "_typed", "_shape")
     return typed.withColumn("reason", briefs.degraded_reason(F.col("error_type"), F.col("stop_reason"), F.col("brief")))
 
 
@@ -56,7 +58,7 @@ def resolve_attempts(typed: DataFrame, *, retry: bool = True) -> DataFrame:
 
 
 def ground(decided: DataFrame) -> DataFrame:
-    """Brief with unknown techniques and ungrounded resources taken out, both listed as dropped.
+    """Brief with unknown techniques and ungrounded resources taken out, both listed as dropped, and `degraded`.
 
     Needs `brief` and `bundle` in the row: the containment test never leaves the row.
     """
@@ -65,6 +67,8 @@ def ground(decided: DataFrame) -> DataFrame:
     evidence = text.flat_json(F.col("bundle"))
     # The evidence text is built once per row and only where a brief names resources.
     rows = decided.withColumn("_evidence", F.when(F.size(named) > 0, evidence))
+    # Taken from the brief as it came, so that a filter on it does not drag the grounding along.
+    rows = rows.withColumn("degraded", F.col("brief").isNull())
     cleaned = (
         F.col("brief")
         .withField("attack_techniques", briefs.kept_techniques(proposed))
@@ -74,7 +78,7 @@ def ground(decided: DataFrame) -> DataFrame:
         rows.withColumn("dropped_techniques", briefs.dropped_techniques(proposed))
         .withColumn("dropped_resources", briefs.dropped_resources(named, F.col("_evidence")))
         .withColumn("valid", briefs.is_trustworthy(proposed))
-        .withColumn("brief", F.when(F.col("brief").isNotNull(), cleaned))
+        .withColumn("brief", F.when(~F.col("degraded"), cleaned))
         .drop("_evidence")
     )
 

@@ -334,7 +334,7 @@ FINALS: dict[str, str] = {
         CASE WHEN event_id % 4 = 0 THEN 'Role' END AS user_type, CASE WHEN event_id % 4 < 2 THEN concat('u', user_id) END AS user_name,
         CASE WHEN event_id % 4 = 2 THEN concat('i-', event_id) END AS instance_id, CASE WHEN event_id % 4 = 0 THEN 'd1' END AS detector_id
         FROM events WHERE event_type = 'error'""",
-    "center_time_resolved": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('2024-01-0', 1 + event_id % 9, ' 10:20:30.000000') WHEN 1 THEN '2024-01-03 04:05:06.000000'
+    "center_time": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('2024-01-0', 1 + event_id % 9, ' 10:20:30.000000') WHEN 1 THEN '2024-01-03 04:05:06.000000'
         WHEN 2 THEN '2024-01-04 00:00:00.000000' ELSE '2024-02-01 00:00:00.000000' END AS center_time FROM events WHERE event_type = 'error'""",
     "trail_flatten": f"""SELECT AccessKeyId AS access_key_id, EventId AS event_id, coalesce(nullif(EventName, ''), json_extract_string(j, '$.eventName')) AS event_name, json_extract_string(j, '$.eventSource') AS event_source,
         coalesce(Username, json_extract_string(j, '$.userIdentity.userName')) AS username, json_extract_string(j, '$.sourceIPAddress') AS source_ip, json_extract_string(j, '$.userAgent') AS user_agent,

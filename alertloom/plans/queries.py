@@ -12,8 +12,8 @@ from ..operators import bundles as bun, evaluation, gate, metrics, outcomes as o
 from ..operators.durable import new_folder
 from ..operators.related import with_related
 from ..operators.timeline import distinct_events, event_pairs, with_timeline
-from ..operators.validation import ground, grounding_matches, resolve_attempts, typed_responses
-from ..sources.findings import center_time, parse_findings, parse_labeled, unwrap
+from ..operators.validation import grounding_matches, resolve_attempts, typed_responses
+from ..sources.findings import center_time as resolved_time, parse_findings, parse_labeled, unwrap
 from ..sources.trail import flatten_trail
 from ..streaming import jobs
 from . import derived as d
@@ -62,14 +62,14 @@ class Tables:
         return enrich(self.findings if findings is None else findings, self.context(), null_event_ids=False)
 
     def decided(self) -> DataFrame:
-        return decide(self.bundles(), self.responses)
+        return decide(self.findings, self.context(), self.responses, null_event_ids=False)
 
     def resolved(self) -> DataFrame:
         return resolve_attempts(typed_responses(self.responses))
 
     def light_outcomes(self) -> DataFrame:
         """Outcome rows from the hard signals and responses alone, without timelines."""
-        return out.outcome_rows(out.scored(_light(self).join(self.resolved(), "finding_id")))
+        return out.outcome_rows(out.scored(_answered(self)))
 
 
 def _light(t: Tables) -> DataFrame:
@@ -87,6 +87,10 @@ def _light(t: Tables) -> DataFrame:
     )
 
 
+def _answered(t: Tables) -> DataFrame:
+    return _light(t).join(t.resolved(), "finding_id").withColumn("degraded", F.col("brief").isNull())
+
+
 def _moment(column: str | Column) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
@@ -328,8 +332,7 @@ def evidence_text(t: Tables) -> DataFrame:
 
 @query
 def resource_grounding(t: Tables) -> DataFrame:
-    rows = ground(t.bundles().join(t.resolved(), "finding_id"))
-    return rows.where("brief IS NOT NULL").select(
+    return t.decided().where("NOT degraded").select(
         "finding_id", _listed("brief.affected_resources", "|").alias("kept"), _listed("dropped_resources", "|").alias("dropped")
     )
 
@@ -545,7 +548,7 @@ def brief_view(t: Tables) -> DataFrame:
 
 @query
 def audit_rows(t: Tables) -> DataFrame:
-    decided = out.scored(_light(t).join(t.resolved(), "finding_id"))
+    decided = out.scored(_answered(t))
     return out.audit_rows(decided, run_ts())
 
 
@@ -675,9 +678,9 @@ def parse_finding(t: Tables) -> DataFrame:
 
 
 @query
-def center_time_resolved(t: Tables) -> DataFrame:
+def center_time(t: Tables) -> DataFrame:
     rows = unwrap(t.documents, "document")
-    return rows.select("event_id", _moment(center_time(F.col("raw"), run_ts())).alias("center_time"))
+    return rows.select("event_id", _moment(resolved_time(F.col("raw"), run_ts())).alias("center_time"))
 
 
 @query

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.briefs import NO_RESPONSE
 from ..operators import evaluation, gate, outcomes as out
 from ..operators.bundles import bundle
 from ..operators.durable import written_once
@@ -31,6 +33,8 @@ def enrich(
     findings: DataFrame,
     context: Context,
     *,
+    plain: DataFrame | None = None,
+    carry: Sequence[str] = (),
     window_hours: float = WINDOW_HOURS,
     max_events: int = MAX_EVENTS,
     max_summaries: int = MAX_SUMMARIES,
@@ -38,29 +42,37 @@ def enrich(
 ) -> DataFrame:
     """(finding_id, ingest_time, bundle), one row per finding; finding_id must be unique.
 
-    The narrow lookups come first, so the wide timeline is moved once.
+    The narrow lookups come first, so the wide timeline is moved once. `plain` is the findings
+    table itself if `findings` already has joins in it, `carry` names its columns to keep.
     """
+    base = findings if plain is None else plain
     profiled = profiles(context.principals, context.attached, context.inline, context.groups)
-    narrow = with_related(findings, context.history, max_summaries=max_summaries)
-    narrow = with_profile(narrow, profiled, weigh=findings)
+    narrow = with_related(findings, context.history, max_summaries=max_summaries, weigh=base)
+    narrow = with_profile(narrow, profiled, weigh=base)
     wide = with_timeline(
         narrow,
         context.trail,
-        plain=findings,
+        plain=base,
         window_hours=window_hours,
         max_events=max_events,
         null_event_ids=null_event_ids,
     )
-    return wide.select("finding_id", "ingest_time", bundle().alias("bundle"))
+    return wide.select("finding_id", "ingest_time", *carry, bundle().alias("bundle"))
 
 
-def decide(bundles: DataFrame, responses: DataFrame, *, retry: bool = True) -> DataFrame:
-    """Bundles joined to the response that stands, checked, grounded and scored."""
+def decide(
+    findings: DataFrame, context: Context, responses: DataFrame, *, retry: bool = True, **enrich_options
+) -> DataFrame:
+    """Enriched findings with the response that stands, checked, grounded and scored.
+
+    Responses are joined while the findings are narrow, so bundles are not shuffled for it.
+    """
     resolved = resolve_attempts(typed_responses(responses), retry=retry)
-    joined = bundles.join(resolved, "finding_id", "left")
-    none_yet = F.col("reason").isNull() & F.col("brief").isNull()
-    decided = joined.withColumn("reason", F.when(none_yet, "no_response").otherwise(F.col("reason")))
-    return out.scored(ground(decided))
+    carried = [c for c in resolved.columns if c != "finding_id"]
+    answered = findings.join(resolved, "finding_id", "left")
+    unanswered = F.col("reason").isNull() & F.col("brief").isNull()
+    answered = answered.withColumn("reason", F.when(unanswered, NO_RESPONSE).otherwise(F.col("reason")))
+    return out.scored(ground(enrich(answered, context, plain=findings, carry=carried, **enrich_options)))
 
 
 @dataclass(frozen=True)
@@ -103,7 +115,7 @@ def triage_batch(
     fresh, skips = gate.claim_batch(gated, claims, now_seconds)
     if materialize:
         fresh = written_once(fresh, "claimed-findings")
-    decided = decide(enrich(fresh, whole, **enrich_options), responses)
+    decided = decide(fresh, whole, responses, **enrich_options)
     if materialize:
         decided = written_once(decided, "decided-findings")
     outcomes = out.all_outcomes(decided, skips)
@@ -119,8 +131,7 @@ def triage_batch(
 
 def triage_on_demand(findings: DataFrame, context: Context, responses: DataFrame, **enrich_options) -> DataFrame:
     """Display rows for findings asked for by hand: no gate, no claim, no retry, nothing written."""
-    bundles = enrich(findings, context, **enrich_options)
-    return out.brief_view(decide(bundles, responses, retry=False))
+    return out.brief_view(decide(findings, context, responses, retry=False, **enrich_options))
 
 
 def evaluate(labeled: DataFrame, context: Context, responses: DataFrame, **enrich_options) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +141,7 @@ def evaluate(labeled: DataFrame, context: Context, responses: DataFrame, **enric
     """
     labels = labeled.select("name", "finding_id", "expected_severity")
     findings = labeled.drop("name", "expected_severity")
-    decided = decide(enrich(findings, context, **enrich_options), responses, retry=False)
+    decided = decide(findings, context, responses, retry=False, **enrich_options)
     results = decided.select(
         "finding_id", "degraded", "final_severity", F.col("brief.severity").alias("model_severity"), "processing_ms"
     )

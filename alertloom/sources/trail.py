@@ -18,7 +18,8 @@ def read_trail(spark: SparkSession, path: str) -> DataFrame:
 
 def flatten_trail(raw: DataFrame) -> DataFrame:
     """Trail rows from lookup records; inner JSON that does not parse leaves its fields null."""
-    inner = F.try_parse_json("CloudTrailEvent")
+    raw = raw.withColumn("_inner", F.try_parse_json("CloudTrailEvent"))
+    inner = F.col("_inner")
 
     def field(path: str) -> Column:
         return F.try_variant_get(inner, f"$.{path}", "string")

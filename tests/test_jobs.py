@@ -104,6 +104,20 @@ def test_evaluation(spark):
     assert summary.first().matches == 1
 
 
+def test_recorded_results_of_the_eight_labelled_findings(spark):
+    # severity, label, the model's band and milliseconds of each, as recorded
+    recorded = [
+        (8.0, "HIGH", "HIGH", 16557), (8.0, "HIGH", "HIGH", 14445), (8.0, "HIGH", "HIGH", 10399), (8.0, "HIGH", "HIGH", 15781),
+        (5.0, "MEDIUM", "MEDIUM", 12050), (5.0, "MEDIUM", "MEDIUM", 12665), (2.0, "LOW", "LOW", 7573), (2.0, "LOW", "MEDIUM", 12494),
+    ]
+    found = findings(spark, *[dict(finding_id=f"f{i}", severity=r[0], principal_id=f"P{i}", user_name=None) for i, r in enumerate(recorded, 1)])
+    labels = spark.createDataFrame([(f"f{i}", f"0{i}_case", r[1]) for i, r in enumerate(recorded, 1)], "finding_id STRING, name STRING, expected_severity STRING")
+    answers = responses(spark, *[dict(finding_id=f"f{i}", brief_json=brief(severity=r[2]), processing_ms=r[3]) for i, r in enumerate(recorded, 1)])
+    rows, summary = evaluate(found.join(labels, "finding_id"), _context(spark), answers)
+    assert tuple(summary.first()) == (8, 7, 0.875, 12745)
+    assert [r.name for r in rows.where("NOT match").collect()] == ["08_case"]
+
+
 def test_evaluation_summary(spark):
     rows = spark.createDataFrame([(True, 100), (True, 200), (False, 300), (True, 401)], "match BOOLEAN, ms BIGINT")
     assert tuple(evaluation_summary(rows).first()) == (4, 3, 0.75, 250)

@@ -28,7 +28,7 @@ def test_contract(spark):
         "not an object": ("[]", False),
         "nothing": (None, False),
     }
-    rows = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "k STRING, v STRING").select("k", briefs.parse_brief(F.col("v")).alias("b"))
+    rows = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "k STRING, v STRING").select("k", briefs.checked(briefs.typed(F.col("v")), briefs.shape(F.col("v"))).alias("b"))
     assert {r.k: r.b is not None for r in rows.collect()} == {k: v[1] for k, v in cases.items()}
 
 
