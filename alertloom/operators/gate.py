@@ -94,7 +94,7 @@ def claim_batch(findings: DataFrame, claims: DataFrame | None, now_seconds: Colu
     marked = first_arrivals(named)
     if claims is not None:
         taken = active_claims(claims, now_seconds).withColumn("_taken", F.lit(True))
-        marked = lookup_join(marked, taken, ["finding_id"], "ingest_time").withColumn(
+        marked = lookup_join(marked, taken, ["finding_id"], "ingest_time", weigh=named.select("finding_id")).withColumn(
             "is_first", F.col("is_first") & F.col("_taken").isNull()
         ).drop("_taken")
     fresh = marked.where("is_first").drop("is_first", "copies")

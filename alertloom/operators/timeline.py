@@ -22,6 +22,9 @@ from .skew import BROADCAST_ROWS, lookup_join
 WINDOW_HOURS = 2
 MAX_EVENTS = 200
 
+# A trail partitioned by event date names the partition column so.
+DATE_PARTITION = "dt"
+
 EVENT_FIELDS = (
     "event_time", "event_id", "event_name", "event_source", "username", "source_ip", "user_agent",
     "aws_region", "error_code", "error_message", "request_parameters",
@@ -67,10 +70,11 @@ def relevant_trail(windows: DataFrame, trail: DataFrame, hours: float, max_keys:
     ).first()
     if not keys:
         return trail.where(F.lit(False))
-    inside = trail.where(
-        F.col("event_time").between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last)))
-        & F.col("access_key_id").isNotNull()
-    )
+    start, end = F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))
+    inside = trail.where(F.col("event_time").between(start, end) & F.col("access_key_id").isNotNull())
+    if DATE_PARTITION in trail.columns:
+        # A day to either side, as the writer's days need not be UTC days.
+        inside = inside.where(F.col(DATE_PARTITION).between(F.date_sub(F.to_date(start), 1), F.date_add(F.to_date(end), 1)))
     if keys > max_keys:
         # Too many to broadcast; the joins below drop what no window wants.
         return inside

@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from alertloom.operators.timeline import _windows, distinct_events, relevant_trail, with_timeline
 from helpers import at, findings, plan_text, trail
 
@@ -105,3 +107,18 @@ def test_no_pair_join_and_pruned_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(event_time" in plan and "LessThanOrEqual(event_time" in plan
     whole = plan_text(with_timeline(found, stored))
     assert "NestedLoop" not in whole and "Cartesian" not in whole
+
+
+def test_days_outside_all_windows_are_not_read(spark, tmp_path):
+    rows = trail(spark, *[dict(event_id=f"e{i}", event_time=at(1440 * i)) for i in range(-9, 10)])
+    rows.withColumn("dt", F.to_date("event_time")).write.partitionBy("dt").parquet(str(tmp_path / "trail"))
+    stored = spark.read.parquet(str(tmp_path / "trail"))
+    pruned = relevant_trail(_windows(findings(spark, dict(finding_id="a")), 2), stored, 2)
+    assert "PartitionFilters: [isnotnull(dt" in plan_text(pruned)
+    assert [r.event_id for r in pruned.collect()] == ["e0"]
+
+
+def test_the_last_ids_of_equal_times_are_taken(spark):
+    same = [dict(event_id=f"e{i:03d}", event_time=at()) for i in range(500)]
+    rows = with_timeline(findings(spark, dict(finding_id="a")), trail(spark, *same), max_events=4)
+    assert _ids(rows) == {"a": ["e496", "e497", "e498", "e499"]}
