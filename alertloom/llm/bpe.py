@@ -1,10 +1,14 @@
 """BPE encoding over a distinct-word table, and decoding by an id-to-piece join.
 
 Tasks split their documents into words and number the distinct ones of a group of documents, so a
-document becomes a list of word numbers. The words of all groups meet in one grouping by word, where
-each distinct word is encoded once; its ids go back to the groups that hold it and are put in the
-words' places. What is shuffled is a word once per group of 32 million characters, not once per
-occurrence, and the word table is never broadcast.
+document becomes a list of word numbers. Each group sends its distinct words to buckets of words by
+their hash. In a bucket the words of all groups meet, each distinct word is encoded once, and its ids
+go back to the groups that hold it, where they take the words' places. A word is moved once per group
+of documents, not once per occurrence, and the word table is never broadcast.
+
+A group is named by a digest of its word list, so its documents and its words, which are two uses of
+one split, fit whichever attempt of a task made them; a group without its words fails the job. `docs`
+must give its rows in the same order each time, as a table that is read does.
 
 Nulls and empty texts give no ids. Rows that are repeated are encoded like any other. Columns to
 keep are named by the caller and may have any names but `ids`.
@@ -13,7 +17,6 @@ keep are named by the caller and may have any names but `ids`.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,10 +24,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..operators.durable import written_once
 from .pretokens import Words, blocks, gather, row_sums, splitter
 
-GROUP_CHARS = 32_000_000
+GROUP_CHARS = 16_000_000
+# Buckets of words; more would only cut what a group sends into smaller pieces.
+MAX_BUCKETS = 4_096
 # The pieces go to every task: a vocabulary is a file of fixed size, and this is its bound.
 MAX_VOCABULARY = 1 << 20
 
@@ -50,6 +54,12 @@ class _Numbers:
             self.hashes, self.numbers = everything[order], np.append(self.numbers, numbers)[order]
         return self.numbers[np.searchsorted(self.hashes, hashes)][codes].astype(np.uint32)
 
+    def name(self) -> str:
+        digest = hashlib.blake2b(digest_size=16)
+        for word in self.words:
+            digest.update(f"{len(word)}:{word}".encode())
+        return digest.hexdigest()
+
 
 def _pack(numbers: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, which compresses small numbers well."""
@@ -62,50 +72,98 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
-def _numbered(path: str, carry: Sequence[str], group_chars: int):
+def _pack_words(words: list[str]) -> bytes:
+    coded = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, coded), "<u4", len(coded)).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.uint32(len(coded)).tobytes() + sizes + b"".join(coded))
+
+
+def _unpack_words(packed: bytes) -> list[str]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype(np.int64))).tolist()
+    return [raw[a:b].decode() for a, b in zip([4 + 4 * n, *ends], ends)]
+
+
+def _grouped(path: str, carry: int, group_chars: int, give):
+    """Splits documents and gives out each group's rows or words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(path)
         numbers, kept, sizes, codes, chars = _Numbers(), [], [], [], 0
-
-        def group() -> pa.RecordBatch:
-            rows = pa.concat_arrays(kept)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([uuid.uuid4().hex]),
-                    pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-                    pa.array([_pack(np.concatenate(sizes))], pa.binary()),
-                    pa.array([_pack(np.concatenate(codes))], pa.binary()),
-                    pa.array([numbers.words], pa.list_(pa.string())),
-                ],
-                ["group", "rows", "sizes", "codes", "words"],
-            )
-
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            rows = pa.StructArray.from_arrays([batch.column(f"k{i}") for i in range(len(carry))], [f"k{i}" for i in range(len(carry))])
-            for part in blocks(texts):
-                words = split.split(texts[part])
-                kept.append(rows.slice(part.start, part.stop - part.start))
-                sizes.append(np.bincount(words.rows, minlength=part.stop - part.start))
+            rows = pa.StructArray.from_arrays([batch.column(f"k{i}") for i in range(carry)], [f"k{i}" for i in range(carry)])
+            for part, texts in blocks(batch.column("text")):
+                words = split.split(texts)
+                kept.append(rows.slice(part.start, len(texts)))
+                sizes.append(np.bincount(words.rows, minlength=len(texts)))
                 codes.append(numbers.of(words))
                 chars += len(words.text)
                 if chars >= group_chars:
-                    yield group()
+                    yield give(numbers, kept, sizes, codes)
                     numbers, kept, sizes, codes, chars = _Numbers(), [], [], [], 0
         if kept:
-            yield group()
+            yield give(numbers, kept, sizes, codes)
 
     return run
 
 
+def _give_rows(numbers: _Numbers, kept: list, sizes: list, codes: list) -> pa.RecordBatch:
+    rows = pa.concat_arrays(kept)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([numbers.name()]),
+            pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
+            pa.array([_pack(np.concatenate(sizes))], pa.binary()),
+            pa.array([_pack(np.concatenate(codes))], pa.binary()),
+        ],
+        ["group", "rows", "sizes", "codes"],
+    )
+
+
+def _give_words(buckets: int):
+    def give(numbers: _Numbers, kept: list, sizes: list, codes: list) -> pa.RecordBatch:
+        name, found = numbers.name(), []
+        by_number = np.empty(len(numbers.words), np.uint64)
+        by_number[numbers.numbers] = numbers.hashes
+        bucket_of = (by_number % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket_of, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(bucket_of[order])) + 1):
+            # An empty group still has a row, so that its documents find it.
+            bucket = int(bucket_of[some[0]]) if len(some) else 0
+            found.append((name, bucket, _pack(some), _pack_words([numbers.words[k] for k in some.tolist()])))
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*found), (pa.string(), pa.int32(), pa.binary(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, ["group", "bucket", "numbers", "words"])
+
+    return give
+
+
 def _word_ids(path: str):
+    """The word table of a task's buckets: each distinct word is encoded when it is first met."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(path)
+        place: dict[str, int] = {}
+        flat, ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         for batch in batches:
-            flat, sizes = split.encode(batch.column("word").to_pylist())
-            offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("held"), ids], ["held", "ids"])
+            for k in range(batch.num_rows):
+                words = _unpack_words(batch.column("words")[k].as_py())
+                new = [w for w in words if w not in place]
+                if new:
+                    place.update(zip(new, range(len(place), len(place) + len(new))))
+                    ids, sizes = split.encode(new)
+                    flat, ends = np.append(flat, ids), np.append(ends, ends[-1] + np.cumsum(sizes))
+                at = np.fromiter((place[w] for w in words), np.int64, len(words))
+                sizes = ends[at + 1] - ends[at]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("group").slice(k, 1),
+                        batch.column("numbers").slice(k, 1),
+                        pa.array([_pack(sizes)], pa.binary()),
+                        pa.array([_pack(gather(flat, ends[at], sizes))], pa.binary()),
+                    ],
+                    ["group", "numbers", "sizes", "ids"],
+                )
 
     return run
 
@@ -114,17 +172,18 @@ def _in_places(names: Sequence[str]):
     """Ids of each row of a group from its word numbers and the ids of the words."""
 
     def run(groups: pa.Table, words: pa.Table) -> pa.Table:
-        numbers = words.column("number").to_numpy()
-        lists = words.column("ids").combine_chunks()
-        lengths = np.diff(lists.offsets.to_numpy())
-        starts = lists.offsets.to_numpy()[:-1]
-        flat = lists.values.to_numpy(zero_copy_only=False).astype(np.uint32)
-        offsets, sizes = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-        offsets[numbers], sizes[numbers] = starts, lengths
+        parts = [[_unpack(v.as_py()) for v in words.column(c)] for c in ("numbers", "sizes", "ids")]
+        numbers, counts, flat = [np.concatenate([np.zeros(0, np.uint32), *p]) for p in parts]
+        numbers, counts = numbers.astype(np.int64), counts.astype(np.int64)
+        sizes = np.zeros(int(numbers.max(initial=-1)) + 1, np.int64)
+        offsets = np.zeros(len(sizes), np.int64)
+        sizes[numbers], offsets[numbers] = counts, np.cumsum(counts) - counts
         columns, ids, ends, total = [], [], [], 0
         for k in range(groups.num_rows):
             rows = groups.column("rows")[k].values
             per_row, codes = _unpack(groups.column("sizes")[k].as_py()), _unpack(groups.column("codes")[k].as_py())
+            if len(codes) and (not len(sizes) or int(codes.max()) >= len(sizes)):
+                raise ValueError("a group came without its words: the documents were not read alike twice")
             at = np.append(0, np.cumsum(per_row.astype(np.int64)))
             for a in range(0, len(per_row), 500):
                 b = min(a + 500, len(per_row))
@@ -146,25 +205,18 @@ def encode(docs: DataFrame, path: str, carry: Sequence[str] = ("doc_id",), group
     """The carried columns and `ids`, one row per row of docs: the ids of its whole text."""
     named = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(carry)], "text")
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
-    schema = T.StructType(
-        [
-            T.StructField("group", T.StringType()),
-            T.StructField("rows", T.ArrayType(T.StructType(fields))),
-            T.StructField("sizes", T.BinaryType()),
-            T.StructField("codes", T.BinaryType()),
-            T.StructField("words", T.ArrayType(T.StringType())),
-        ]
+    rows = T.StructType([T.StructField("group", T.StringType()), T.StructField("rows", T.ArrayType(T.StructType(fields)))])
+    groups = named.mapInArrow(
+        _grouped(path, len(carry), group_chars, _give_rows), rows.add("sizes", T.BinaryType()).add("codes", T.BinaryType())
+    )
+    buckets = min(MAX_BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    words = named.mapInArrow(
+        _grouped(path, len(carry), group_chars, _give_words(buckets)), "group string, bucket int, numbers binary, words binary"
     )
-    # Written, as the word numbers of a group must be the same in both of its uses.
-    groups = written_once(named.mapInArrow(_numbered(path, carry, group_chars), schema), "word-numbers")
-    held = groups.select("group", F.posexplode("words").alias("number", "word"))
-    distinct = held.groupBy("word").agg(F.collect_list(F.struct("group", "number")).alias("held"))
-    ids = distinct.mapInArrow(_word_ids(path), "held array<struct<group: string, number: int>>, ids array<int>")
-    back = ids.select(F.explode("held").alias("at"), "ids").select("at.group", "at.number", "ids")
+    back = words.repartition("bucket").mapInArrow(_word_ids(path), "group string, numbers binary, sizes binary, ids binary")
     out = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     placed = (
-        groups.select("group", "rows", "sizes", "codes")
-        .groupBy("group")
+        groups.groupBy("group")
         .cogroup(back.groupBy("group"))
         .applyInArrow(_in_places([f"k{i}" for i in range(len(carry))]), out)
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -34,13 +34,14 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 @dataclass
 class Words:
-    """Words of a block: their text, the half-open places in it, and the row each belongs to."""
+    """Words of a block: their text, the half-open places in it, the row of each, and the length of each row."""
 
     text: str
     starts: np.ndarray
     ends: np.ndarray
     rows: np.ndarray
     hashes: np.ndarray
+    lengths: np.ndarray
 
     def distinct(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(distinct words, their hashes, for each word its number among them)."""
@@ -130,7 +131,7 @@ class Splitter:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if not len(points):
             none = np.zeros(0, np.int64)
-            return Words("", none, none, none, np.zeros(0, np.uint64))
+            return Words("", none, none, none, np.zeros(0, np.uint64), np.zeros(len(texts), np.int64))
         self._learn(points)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         heads = np.cumsum(sizes) - sizes
@@ -146,7 +147,8 @@ class Splitter:
             solid = kind[starts] != _SPACE
             starts, ends = starts[solid], ends[solid]
         row_of = np.repeat(np.asarray(rows, np.int64), sizes)
-        return Words(text, starts, ends, row_of[starts], self._hash(text, points, starts, ends))
+        lengths = np.bincount(row_of, minlength=len(texts))
+        return Words(text, starts, ends, row_of[starts], self._hash(text, points, starts, ends), lengths)
 
     def _lowered(self, text: str, parts: list[str], special: list[bool]) -> tuple[str, list[str]]:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -246,23 +248,26 @@ def splitter(path: str) -> Splitter:
     return Splitter(path)
 
 
-def blocks(texts: Sequence[str], chars: int = BLOCK_CHARS) -> Iterator[slice]:
-    """Slices of rows of about so many characters; every row is in one of them, whole."""
-    at = size = 0
-    for k, text in enumerate(texts):
-        if k > at and size + len(text) > chars:
-            yield slice(at, k)
-            at, size = k, 0
-        size += len(text)
-    if at < len(texts):
-        yield slice(at, len(texts))
+def blocks(column, chars: int = BLOCK_CHARS) -> Iterator[tuple[slice, list[str]]]:
+    """(rows, their texts) of an Arrow column in parts of about so many bytes; each row is in one part, whole.
+
+    Only one part is held as Python strings at a time. Nulls count as empty.
+    """
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    at = 0
+    while at < len(sizes):
+        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 100_000]), chars, "right")))
+        yield slice(at, end), [t or "" for t in column.slice(at, end - at).to_pylist()]
+        at = end
 
 
 class WordCache:
-    """Ids of words met in this worker, found by hash; emptied when it holds `most` words."""
+    """Numbers of words met in this worker, their ids by default, found by hash; emptied when it holds `most` words."""
 
-    def __init__(self, split: Splitter, most: int = 1_000_000):
-        self.split, self.most = split, most
+    def __init__(self, split: Splitter, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, most: int = 1_000_000):
+        self.make, self.most = make or split.encode, most
         self._clear()
 
     def _clear(self) -> None:
@@ -278,7 +283,7 @@ class WordCache:
         return at, known
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words one after the other, number of ids of each word)."""
+        """(numbers of all words one after the other, how many each word has)."""
         if len(self.hashes) > self.most:
             self._clear()
         hashes, first, codes = np.unique(words.hashes, return_index=True, return_inverse=True)
@@ -286,7 +291,7 @@ class WordCache:
         if not known.all():
             new = first[~known]
             spans = zip(words.starts[new].tolist(), words.ends[new].tolist())
-            flat, sizes = self.split.encode([words.text[a:b] for a, b in spans])
+            flat, sizes = self.make([words.text[a:b] for a, b in spans])
             everything = np.append(self.hashes, hashes[~known])
             order = np.argsort(everything, kind="stable")
             self.offsets = np.append(self.offsets, len(self.flat) + np.cumsum(sizes) - sizes)[order]

@@ -5,9 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, token_counts
 from .tables import documents
 
+TOKEN_LIMIT = 2_048
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = token_counts.prefix_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    n_tokens = token_counts.tokens_in(F.col("counts"))
+    return stored.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > TOKEN_LIMIT).alias("over_limit"))
+
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,4 +23,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.ids_digest(encoded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-REGISTRY = {"op10_bpe": op10_bpe}
+REGISTRY = {"op2_token_counts": op2_token_counts, "op10_bpe": op10_bpe}
