@@ -2,4 +2,65 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from . import quality as q
+from .secrets import RULES
+
+_BLANK = r"[\x20\x09-\x0D]"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _secrets() -> str:
+    """Matches and the text between them, one after the other, give each match its place."""
+    parts = []
+    for k, rule in enumerate(RULES):
+        pattern = _text(rule.pattern)
+        parts.append(
+            f"""SELECT doc_id, {k} AS place, '{rule.kind}' AS kind, e - length(m) AS s, e FROM (
+                SELECT doc_id, m, v, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+                    SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g FROM (
+                        SELECT doc_id, regexp_extract_all(txt, {pattern}, 0) AS ms, regexp_extract_all(txt, {pattern}, {rule.group}) AS vs,
+                               string_split_regex(txt, {pattern}) AS gs FROM t)))
+                WHERE length(v) >= {rule.least}"""
+        )
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{r.kind}'), 0) AS n_{r.kind}" for r in RULES)
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS txt FROM documents), f AS ({" UNION ALL ".join(parts)}),
+        a AS (SELECT doc_id, {counts}, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, place) AS spans FROM f GROUP BY doc_id)
+        SELECT t.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES)},
+               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN a USING (doc_id)"""
+
+
+def _quality() -> str:
+    least, most = q.MEAN_WORD_CHARS
+    return rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS txt FROM documents),
+        w AS (
+            SELECT doc_id, txt, list_filter(string_split_regex(txt, '{_BLANK}+'), lambda x: x <> '') AS ws,
+                   list_filter(string_split(txt, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+        win AS (
+            SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: {{'i': i, 'w': ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]}})) AS p FROM w),
+        twice AS (SELECT doc_id, p.w AS x FROM win GROUP BY ALL HAVING count(*) > 1),
+        rep AS (
+            SELECT doc_id, count(DISTINCT pos) AS n FROM (
+                SELECT win.doc_id, unnest([p.i, p.i + 1, p.i + 2]) AS pos FROM win JOIN twice ON win.doc_id = twice.doc_id AND p.w = x)
+            GROUP BY doc_id),
+        m AS (
+            SELECT w.doc_id, txt, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(txt, '{_BLANK}+', '', 'g')) AS BIGINT) AS word_chars,
+                   CAST(length(regexp_replace(txt, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+            FROM w LEFT JOIN rep USING (doc_id)),
+        b AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT (100 * n_symbols > {q.MAX_SYMBOLS} * n_words)
+               AND NOT (100 * n_dup_lines > {q.MAX_DUP_LINES} * len(string_split(txt, chr(10))))
+               AND word_chars BETWEEN {least} * n_words AND {most} * n_words
+               AND NOT (100 * length(regexp_replace(txt, '[^A-Z]', '', 'g')) > {q.MAX_SHOUTED} * length(regexp_replace(txt, '[^A-Za-z]', '', 'g')))
+               AND NOT (100 * length(regexp_replace(txt, '[^!?]', '', 'g')) > {q.MAX_STOPS} * n_words) AS kept
+        FROM b"""
+
+
+SQL: dict[str, str] = {"op1_secret_scan": _secrets(), "op3_quality_rules": _quality()}

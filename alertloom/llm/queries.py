@@ -5,22 +5,45 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, token_counts
+from . import bpe, quality, secrets, token_counts
 from .tables import documents
 
 TOKEN_LIMIT = 2_048
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    ledger = secrets.Ledger(spark)
+    secrets.scan_new(docs, ledger)
+    found = F.col("found")
+    kinds = [rule.kind for rule in secrets.RULES]
+    return secrets.with_findings(docs.select("doc_id", "text"), ledger).select(
+        "doc_id",
+        *[secrets.count_of(found, kind).alias(f"n_{kind}") for kind in kinds],
+        F.sha2(secrets.listed(found, kinds), 256).alias("base_sha256"),
+        secrets.listed(found).alias("spans"),
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = token_counts.prefix_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     n_tokens = token_counts.tokens_in(F.col("counts"))
     return stored.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measured(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoded = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
     return bpe.ids_digest(encoded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-REGISTRY = {"op2_token_counts": op2_token_counts, "op10_bpe": op10_bpe}
+REGISTRY = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_token_counts": op2_token_counts,
+    "op3_quality_rules": op3_quality_rules,
+    "op10_bpe": op10_bpe,
+}
