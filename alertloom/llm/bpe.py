@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .pretokens import Words, blocks, gather, row_sums, splitter
 
-GROUP_CHARS = 16_000_000
+GROUP_CHARS = 8_000_000
 # Buckets of words; more would only cut what a group sends into smaller pieces.
 MAX_BUCKETS = 4_096
 # The pieces go to every task: a vocabulary is a file of fixed size, and this is its bound.
@@ -251,38 +251,45 @@ class Pieces:
         return gather(self.flat, self.starts[ids], self.sizes[ids]).tobytes()
 
 
-def _lists(batch: pa.RecordBatch, column: str = "ids") -> Iterator[np.ndarray]:
-    lists = batch.column(column)
-    flat = lists.values.to_numpy(zero_copy_only=False)
-    at = lists.offsets.to_numpy()
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        yield flat[a:b]
+# Rows that are decoded together.
+_SLICE = 256
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds `decoded`: the pieces of each row's `ids`, joined by id and read as UTF-8.
+def _lists(batch: pa.RecordBatch, column: str = "ids") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of a batch with the ids of their rows; null ids are empty."""
+    for at in range(0, batch.num_rows, _SLICE):
+        part = batch.slice(at, _SLICE)
+        lists = part.column(column)
+        flat = lists.values.to_numpy(zero_copy_only=False)
+        ends = lists.offsets.to_numpy().tolist()
+        valid = lists.is_valid().to_pylist()
+        yield part, [flat[a:b] if there else flat[:0] for a, b, there in zip(ends, ends[1:], valid)]
 
-    The piece table has a bounded size and is joined map-side. Null ids decode to an empty text.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Pieces(pieces(path))
-        for batch in batches:
-            texts = [table.joined(ids).decode("utf-8", "replace") for ids in _lists(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+def _with(part: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*part.columns, *columns.values()], [*part.schema.names, *columns])
 
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
-    return encoded.mapInArrow(run, schema)
 
+def decode(encoded: DataFrame, path: str, digest: bool = False) -> DataFrame:
+    """Adds `decoded`: the pieces of each row's `ids`, joined by id and read as UTF-8.
 
-def ids_digest(encoded: DataFrame) -> DataFrame:
-    """Adds `n_tokens` and `ids_sha256`, over the ids as little-endian unsigned 32-bit integers."""
+    The piece table has a bounded size and is joined map-side. Null ids decode to an empty text. With
+    digest, `n_tokens` and `ids_sha256`, over the ids as little-endian unsigned 32-bit integers, take
+    the place of `ids`, so that the ids need not be moved once more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Pieces(pieces(path))
         for batch in batches:
-            found = [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()) for ids in _lists(batch)]
-            counts, digests = pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, counts, digests], [*batch.schema.names, "n_tokens", "ids_sha256"])
-
-    schema = T.StructType([*encoded.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())])
-    return encoded.mapInArrow(run, schema)
+            for part, ids in _lists(batch):
+                texts = pa.array([table.joined(i).decode("utf-8", "replace") for i in ids], pa.string())
+                if not digest:
+                    yield _with(part, decoded=texts)
+                    continue
+                digests = pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], pa.string())
+                yield _with(part.drop_columns(["ids"]), decoded=texts, n_tokens=pa.array([len(i) for i in ids], pa.int64()), ids_sha256=digests)
+
+    fields = [*encoded.schema.fields, T.StructField("decoded", T.StringType())]
+    if digest:
+        fields = [f for f in fields if f.name != "ids"] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())]
+    return encoded.mapInArrow(run, T.StructType(fields))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, quality, secrets, token_counts
+from . import bpe, quality, secrets, simhash, token_counts
 from .tables import documents
 
 TOKEN_LIMIT = 2_048
@@ -35,15 +35,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(documents(spark, sf_dir))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components_of(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
-    return bpe.ids_digest(encoded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path, digest=True)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 REGISTRY = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }
