@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality as q
+from .queries import TARGETS
 from .secrets import RULES
 
 _BLANK = r"[\x20\x09-\x0D]"
@@ -63,4 +64,42 @@ def _quality() -> str:
         FROM b"""
 
 
-SQL: dict[str, str] = {"op1_secret_scan": _secrets(), "op3_quality_rules": _quality()}
+def _weights(column: str, weights) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END" if weights else "1"
+
+
+def _mixing(targets) -> str:
+    """The budget is handed down level by level; a leaf takes whole epochs and a prefix of the next one."""
+    levels = (("domain", targets.domains), ("lang", targets.langs), ("source", targets.sources))
+    parts, parents, last = [], [], f"SELECT *, (sum(tokens) OVER () * {targets.budget_percent}) // 100 AS budget FROM leaf"
+    for level, weights in levels:
+        keys = ", ".join([*parents, level])
+        over = f"PARTITION BY {', '.join(parents)} " if parents else ""
+        join = " AND ".join(f"c.{k} = s.{k}" for k in [*parents, level])
+        parts.append(
+            f"""
+        n_{level} AS (SELECT {keys}, {_weights(level, weights)} AS w, sum(tokens) * {targets.max_epochs} AS room, any_value(budget) AS budget
+                      FROM c_{level} GROUP BY {keys}),
+        o_{level} AS (SELECT *, sum(w) OVER ({over}ORDER BY room / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead,
+                      coalesce(sum(room) OVER ({over}ORDER BY room / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM n_{level}),
+        f_{level} AS (SELECT *, bool_and(room * ahead <= (budget - used) * w)
+                      OVER ({over}ORDER BY room / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM o_{level}),
+        s_{level} AS (SELECT {keys}, CASE WHEN filled THEN room ELSE ((budget - sum(CASE WHEN filled THEN room ELSE 0 END) OVER ({over})) * w)
+                      // sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({over}) END AS share FROM f_{level}),
+        g_{level} AS (SELECT c.* EXCLUDE (budget), s.share AS budget FROM c_{level} c JOIN s_{level} s ON {join})"""
+        )
+        parts[-1] = f"\n        c_{level} AS ({last})," + parts[-1]
+        last, parents = f"SELECT * FROM g_{level}", [*parents, level]
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce('d' || CAST(CAST(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS BIGINT) % 4 AS VARCHAR), 'unknown') AS domain,
+                          coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+                          CAST(len(list_filter(string_split_regex(coalesce(text, ''), '{_BLANK}+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM documents),
+        leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0), {",".join(parts)},
+        p AS (SELECT d.*, budget // tokens AS whole, budget % tokens AS rest FROM d JOIN g_source USING (domain, lang, source)),
+        r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+                  ORDER BY sha256('{targets.seed}:' || CAST(whole + 1 AS BIGINT) || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM p)
+        SELECT doc_id, domain, lang, source, n_tokens, CAST(e AS BIGINT) AS epoch FROM (SELECT *, unnest(range(1, CAST(whole AS BIGINT) + 1)) AS e FROM p)
+        UNION ALL SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + 1 AS BIGINT) FROM r WHERE rest > 0 AND upto <= rest"""
+
+
+SQL: dict[str, str] = {"op8_mixing": _mixing(TARGETS), "op1_secret_scan": _secrets(), "op3_quality_rules": _quality()}

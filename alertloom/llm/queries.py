@@ -5,10 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, quality, secrets, simhash, token_counts
+from . import bpe, mixing, quality, secrets, simhash, token_counts
 from .tables import documents
 
 TOKEN_LIMIT = 2_048
+TARGETS = mixing.Targets(
+    domains={"d0": 1, "d1": 2, "d2": 3, "d3": 4}, langs={"en": 4, "de": 3, "fr": 2, "es": 1}, budget_percent=60, max_epochs=2, seed=1
+)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +21,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.col("found")
     kinds = [rule.kind for rule in secrets.RULES]
     return secrets.with_findings(docs.select("doc_id", "text"), ledger).select(
-        "doc_id",
+        "row.doc_id",
         *[secrets.count_of(found, kind).alias(f"n_{kind}") for kind in kinds],
         F.sha2(secrets.listed(found, kinds), 256).alias("base_sha256"),
         secrets.listed(found).alias("spans"),
@@ -35,6 +38,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(documents(spark, sf_dir))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.chosen(documents(spark, sf_dir), TARGETS)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components_of(documents(spark, sf_dir))
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
@@ -50,6 +57,7 @@ REGISTRY = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }

@@ -164,15 +164,22 @@ def by_blob(ledger: Ledger, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def with_findings(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of docs, every path of a blob, with `found`: its findings, empty where there are none.
+    """(row, found): each row of docs as a struct, every path of a blob, and its findings, empty where there are none.
 
     The findings are a table of their own, so that the join splits a blob with very many paths.
     """
-    findings = written_once(by_blob(ledger, rules), "findings-by-blob").withColumnRenamed("blob", "_blob")
-    named = docs.withColumn("_blob", blob_of(text_of()))
-    joined = named.join(findings, "_blob", "left").drop("_blob")
+    findings = written_once(by_blob(ledger, rules), "findings-by-blob")
+    named = docs.select(F.struct("*").alias("row"), blob_of(text_of()).alias("blob"))
     none = F.array().cast(findings.schema["found"].dataType)
-    return joined.withColumn("found", F.coalesce("found", none))
+    return named.join(findings, "blob", "left").select("row", F.coalesce("found", none).alias("found"))
+
+
+def without_secrets(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of docs with what was found in their texts replaced; n_chars, if there is one, follows."""
+    clean = F.when(F.col("row.text").isNotNull(), redacted(F.col("row.text"), F.col("found")))
+    kept = with_findings(docs, ledger, rules).select("row", clean.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def listed(found: Column, kinds: Sequence[str] | None = None) -> Column:

@@ -199,8 +199,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Of rows that repeat a key all or none are kept; a null key is kept if its component has no other.
     """
-    kept = components_of(docs, key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    found = components_of(docs, key)
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key")).distinct()
+    return docs.alias("d").join(kept.alias("k"), F.col(f"d.{key}").eqNullSafe(F.col("k.kept_key")), "left_semi")
 
 
 def as_hex(fingerprint_: str = "fingerprint"):
