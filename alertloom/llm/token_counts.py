@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ class PrefixCounter:
             raise ValueError("a vocabulary with word ends is needed")
         self._split = split
         self._ranks = {tuple(m): k for k, m in enumerate(model["merges"])}
-        self._known = frozenset(model["vocab"])
-        self._longest = max(map(len, self._known))
+        # Tokens inside a word, and at its end by what they spell.
+        self._inner = frozenset(t for t in model["vocab"] if not t.endswith(WORD_END))
+        self._final = {t.removesuffix(WORD_END): t for t in model["vocab"] if t.endswith(WORD_END)}
+        self._longest = max(map(len, [*self._inner, *self._final]))
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spelled = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
         self._spelled = [spelled[b] for b in range(256)]
@@ -45,6 +48,8 @@ class PrefixCounter:
         self._edges: tuple[dict, dict] = ({}, {})
         self._own: dict[str, bool] = {}
         self._fits: dict[tuple[str, str], bool] = {}
+        # Of the last word: its text, the last token and the count at each place, and the counts at its ends.
+        self._state: tuple[str, list[str], list[int], list[int]] = ("", [""], [0], [])
 
     def _merged(self, symbols: list[str]) -> list[str]:
         while len(symbols) > 1:
@@ -116,34 +121,54 @@ class PrefixCounter:
         return self._run(word)
 
     def _run(self, word: str) -> list[int]:
-        spelled, known, fit, longest = self._spelled, self._known, self._fit, self._longest
-        text, stops = [], []
-        for char in word:
-            text += [spelled[b] for b in char.encode()]
-            stops.append(len(text))
-        text = "".join(text)
-        last, counts, out = [""], [0], []
-        ends = set(stops)
-        for i in range(1, len(text) + 1):
-            for j in range(max(0, i - longest), i):
+        """Counts of a word; what it shares with the word before it is not worked out again."""
+        fits, fit, inner, final, longest = self._fits, self._fit, self._inner, self._final, self._longest
+        if word.isascii() and word.isprintable() and " " not in word:
+            text, stops = word, None
+        else:
+            chars = ["".join([self._spelled[b] for b in c.encode()]) for c in word]
+            text, stops = "".join(chars), set(accumulate(map(len, chars)))
+        before, last, counts, ends = self._state
+        shared = 0
+        for one, two in zip(before, text):
+            if one != two:
+                break
+            shared += 1
+        del last[shared + 1 :], counts[shared + 1 :], ends[shared:]
+        for i in range(shared + 1, len(text) + 1):
+            first = i - longest if i > longest else 0
+            # Tokens that could end here, longest first; the first that fits is the only one that does.
+            for j in range(first, i):
                 token = text[j:i]
-                if token in known and fit(last[j], token):
-                    last.append(token)
-                    counts.append(counts[j] + 1)
-                    break
-            if i in ends:
-                for j in range(max(0, i - longest), i):
-                    token = text[j:i] + WORD_END
-                    if token in known and fit(last[j], token):
-                        out.append(counts[j] + 1)
+                if token in inner:
+                    pair = (last[j], token)
+                    found = fits.get(pair)
+                    if found if found is not None else fit(*pair):
+                        last.append(token)
+                        counts.append(counts[j] + 1)
+                        break
+            if stops is not None and i not in stops:
+                ends.append(0)
+                continue
+            for j in range(first, i):
+                token = final.get(text[j:i])
+                if token is not None:
+                    pair = (last[j], token)
+                    found = fits.get(pair)
+                    if found if found is not None else fit(*pair):
+                        ends.append(counts[j] + 1)
                         break
-        return out
+        self._state = (text, last, counts, ends)
+        return list(ends) if stops is None else [c for c in ends if c]
 
     def words(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(counts at each character of the words one after the other, characters of each)."""
-        listed = [self.word(w) for w in words]
+        listed: list[list[int]] = [[]] * len(words)
+        # In this order words stand beside those that start alike.
+        for k in sorted(range(len(words)), key=words.__getitem__):
+            listed[k] = self.word(words[k])
         sizes = np.fromiter(map(len, listed), np.int64, len(listed))
-        return np.fromiter((c for counts in listed for c in counts), np.uint32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(listed), np.uint32, int(sizes.sum())), sizes
 
 
 def _after_specials(counter: PrefixCounter, words, at: np.ndarray, whole: np.ndarray) -> None:
