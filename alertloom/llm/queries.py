@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, quality, secrets, simhash, token_counts
-from .tables import documents
+from . import bpe, embeddings, mixing, quality, secrets, simhash, token_counts, wavelet
+from .tables import documents, table
 
 TOKEN_LIMIT = 2_048
 TARGETS = mixing.Targets(
@@ -38,6 +38,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(documents(spark, sf_dir))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = wavelet.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return wavelet.document_rows(wavelet.read(spark, folder))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.chosen(documents(spark, sf_dir), TARGETS)
 
@@ -57,6 +66,8 @@ REGISTRY = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_token_shards": op7_token_shards,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
