@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, html_text, mixing, quality, secrets, simhash, token_counts, wavelet
+from . import bpe, embeddings, html_text, mixing, quality, repeats, secrets, simhash, token_counts, wavelet
 from .tables import documents, table
 
 TOKEN_LIMIT = 2_048
@@ -38,6 +38,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(documents(spark, sf_dir))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(documents(spark, sf_dir))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(table(spark, sf_dir, "pages"))
 
@@ -70,6 +74,7 @@ REGISTRY = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op4_repeats": op4_repeats,
     "op5_html_text": op5_html_text,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_token_shards": op7_token_shards,
