@@ -75,8 +75,7 @@ def techniques(spark: SparkSession) -> DataFrame:
 
 def is_known(technique_id: Column) -> Column:
     """Exact membership in the allowlist; false for null."""
-    allowlist = F.expr("array(" + ", ".join(f"'{known}'" for known in TECHNIQUE_IDS) + ")")
-    return F.coalesce(F.array_contains(allowlist, technique_id), F.lit(False))
+    return F.coalesce(technique_id.isin(list(TECHNIQUE_IDS)), F.lit(False))
 
 
 def reference_line(technique_id: Column, name: Column, description: Column) -> Column:

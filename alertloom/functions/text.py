@@ -37,7 +37,7 @@ def scrub_text(value: Column, max_field: int = MAX_FIELD) -> Column:
 
 def strip_whitespace(value: Column) -> Column:
     """Drop leading and trailing whitespace of every kind, not spaces alone."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def distinct_in_order(values: Column, limit: int) -> Column:
@@ -60,10 +60,12 @@ def _rewrite(value: str, dtype: T.DataType, leaf: Callable[[str, T.DataType], st
     if isinstance(dtype, T.ArrayType):
         return f"transform({value}, {item} -> {_rewrite(item, dtype.elementType, leaf, depth + 1)})"
     if isinstance(dtype, T.MapType):
-        # Scrubbing can make two keys equal; spark.sql.mapKeyDedupPolicy=LAST_WIN keeps the later one.
         key = _rewrite(f"{item}.key", T.StringType(), leaf, depth + 1)
         held = _rewrite(f"{item}.value", dtype.valueType, leaf, depth + 1)
-        return f"map_from_entries(transform(map_entries({value}), {item} -> struct({key}, {held})))"
+        done = f"transform(map_entries({value}), {item} -> struct({key} AS key, {held} AS value))"
+        # Scrubbing can make two keys equal: the later entry stands.
+        last = f"filter(_all{depth}, (_e{depth}, _i{depth}) -> NOT exists(slice(_all{depth}, _i{depth} + 2, size(_all{depth})), _l{depth} -> _l{depth}.key <=> _e{depth}.key))"
+        return f"transform(array({done}), _all{depth} -> map_from_entries({last}))[0]"
     return leaf(value, dtype)
 
 

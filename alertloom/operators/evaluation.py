@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def evaluation_rows(labels: DataFrame, outcomes: DataFrame) -> DataFrame:
+def evaluation_rows(labels: DataFrame, outcomes: DataFrame, key: str = "finding_id") -> DataFrame:
     """(name, expected, model, final, match, ms, degraded); a degraded finding never matches.
 
-    labels: name, finding_id, expected_severity. outcomes: finding_id, degraded, final_severity,
-    model_severity, processing_ms.
+    labels: name, key, expected_severity. outcomes: key, degraded, final_severity, model_severity,
+    processing_ms. The key is the name itself where findings are known by it.
     """
+    return judged(labels.join(outcomes, key))
+
+
+def judged(results: DataFrame) -> DataFrame:
+    """The evaluation row of each labelled result."""
     final = F.when(F.col("degraded"), "DEGRADED").otherwise(F.col("final_severity"))
-    return labels.join(outcomes, "finding_id").select(
+    return results.select(
         "name",
         F.col("expected_severity").alias("expected"),
         F.when(~F.col("degraded"), F.col("model_severity")).alias("model"),

@@ -65,16 +65,12 @@ def blast_radius(principals: DataFrame, attached: DataFrame, inline: DataFrame)
     return reduced.where("known").select(*PRINCIPAL, level_name(F.col("number")).alias("blast_radius"))
 
 
-def with_profile(findings: DataFrame, profiled: DataFrame, *, weigh: DataFrame | None = None) -> DataFrame:
-    """Findings plus policy and group lists and blast_radius, UNKNOWN where the principal is not known.
-
-    `weigh` is the plain findings table if `findings` already has joins in it.
-    """
+def with_profile(findings: DataFrame, profiled: DataFrame) -> DataFrame:
+    """Findings plus policy and group lists and blast_radius, UNKNOWN where the principal is not known."""
     packed = profiled.select(*PRINCIPAL, F.struct("attached_policies", "inline_policies", "groups", "blast_radius").alias("_profile"))
     none = F.array().cast("array<string>")
     kind = principal_kind(F.col("user_type"))
-    weights = (findings if weigh is None else weigh).select(kind.alias("kind"), "user_name")
-    joined = lookup_join(findings.withColumn("kind", kind), packed, PRINCIPAL, "finding_id", weigh=weights)
+    joined = lookup_join(findings.withColumn("kind", kind), packed, PRINCIPAL, "finding_id")
     return (
         joined.withColumn("attached_policies", F.coalesce("_profile.attached_policies", none))
         .withColumn("inline_policies", F.coalesce("_profile.inline_policies", none))

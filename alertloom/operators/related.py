@@ -44,15 +44,15 @@ def with_related(
     history: DataFrame | None = None,
     *,
     max_summaries: int = MAX_SUMMARIES,
-    weigh: DataFrame | None = None,
+    plain: DataFrame | None = None,
 ) -> DataFrame:
     """Findings plus related_count and related_summaries, the finding itself not counted.
 
     Without a history the findings are each other's history. A finding with no detector or no
-    principal gets 0 and an empty list. `weigh` is the plain findings table if `findings` already
+    principal gets 0 and an empty list. `plain` is the findings table itself if `findings` already
     has joins in it.
     """
-    base = findings if weigh is None else weigh
+    base = findings if plain is None else plain
     activity = related_activity(base if history is None else history, max_summaries=max_summaries)
     if history is None:
         asking = findings.withColumn("_listed", F.col("finding_id").isNotNull())
@@ -61,7 +61,7 @@ def with_related(
             history.where(F.col("principal_id") != "").select("principal_id", "finding_id").distinct().withColumn("_listed", F.lit(True))
         )
         asking = findings.join(known, ["principal_id", "finding_id"], "left").withColumn("_listed", F.coalesce("_listed", F.lit(False)))
-    joined = lookup_join(asking, activity, ["principal_id"], "finding_id", weigh=base.select("principal_id"))
+    joined = lookup_join(asking, activity, ["principal_id"], "finding_id")
     usable = (F.col("detector_id") != "") & F.col("total").isNotNull()
     others = F.filter("newest", lambda s: ~s["id"].eqNullSafe(F.col("finding_id")))
     summaries = F.transform(

@@ -1,4 +1,4 @@
-"""Joins and broadcasts that stay bounded when a few keys hold much of the data."""
+"""Lookups that stay balanced when a few keys, or rows without a key, hold much of the data."""
 
 from __future__ import annotations
 
@@ -6,51 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# With the 64 heaviest keys salted, no key left unsalted holds over 1/64 of the rows.
-HOT_KEYS = 64
-SALTS = 64
-# Keys are short strings and a bucket number: a million of them is tens of megabytes.
-BROADCAST_ROWS = 1_000_000
+# Parts that rows without a key are spread over.
+NULL_PARTS = 256
 
 
-def heaviest_keys(rows: DataFrame, keys: Sequence[str], limit: int = HOT_KEYS) -> DataFrame:
-    """At most `limit` rows, the keys with the most rows; counted map-side before the shuffle."""
-    counts = rows.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).count()
-    return counts.orderBy(F.desc("count"), *keys).limit(limit).select(*keys)
+def lookup_join(rows: DataFrame, unique: DataFrame, keys: Sequence[str], spread_by: str) -> DataFrame:
+    """Left join to a table with one row per key.
 
-
-def lookup_join(
-    rows: DataFrame,
-    unique: DataFrame,
-    keys: Sequence[str],
-    spread_by: str,
-    *,
-    weigh: DataFrame | None = None,
-    hot_keys: int = HOT_KEYS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Left join to a table with one row per key, with the heaviest keys split over salts.
-
-    Rows of a heavy key are spread by a hash of `spread_by`, and only the few heavy keys' rows
-    of the other side are copied per salt. Rows with a null key match nothing and are spread too,
-    as they would otherwise all hash to one partition. `weigh` is where keys are counted: the
-    table `rows` was made from, so that a chain of lookups does not run its earlier joins again.
+    A heavy key is left to Spark: a left join whose two sides are shuffled for it is split where a
+    partition turns out large, by the sizes it has by then, at no cost where none does. Rows with a
+    null key match nothing; they would all hash to one partition, so they are spread by `spread_by`.
     """
-    hot = heaviest_keys(rows if weigh is None else weigh, keys, hot_keys).withColumn("_hot", F.lit(True))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    spread = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    left = (
-        rows.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_salt", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = (
-        unique.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
-
+    part = F.when(no_key, F.pmod(F.xxhash64(spread_by), F.lit(NULL_PARTS)) + 1).otherwise(F.lit(0).cast("long"))
+    # Always 0, but not a literal, which would be taken out of the join's keys again.
+    none = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long"))
+    return rows.withColumn("_part", part).join(unique.withColumn("_part", none), [*keys, "_part"], "left").drop("_part")

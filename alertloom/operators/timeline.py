@@ -3,20 +3,22 @@
 A finding wants the newest `max_events` events of its access key inside its window. Joining on
 the key with a time condition would build every (finding, event) pair of a busy key first. Here
 events are numbered per key in time order instead, the finding learns the number of the last
-event it may see, and it then meets only the two runs of events that hold the numbers before it:
-at most twice `max_events` candidates per finding, whatever the key holds.
+event it may see, and it then meets only the run of events that holds the numbers before it: at
+most twice `max_events` candidates per finding, whatever the key holds.
 
-Numbers come from two levels, so no task sorts a whole key: rank inside a one-second slot, plus
-the running total over the key's slots. Of the events with one time only the newest `max_events`
-can ever be taken, which bounds a slot, and the slots of a key are bounded by the clock.
+Numbers come from three levels, so no task sorts a whole key: rank inside a one-second slot, and
+running totals over the slots of a day and over the days. Of the events with one time only the
+newest `max_events` can ever be taken, which bounds a slot.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .durable import written_once
-from .skew import BROADCAST_ROWS, lookup_join
+from .skew import lookup_join
 
 # Half-width of the window and the cap on events per finding.
 WINDOW_HOURS = 2
@@ -48,129 +50,123 @@ def _windows(findings: DataFrame, hours: float) -> DataFrame:
     ).distinct()
 
 
-def _with_span(rows: DataFrame, moment: str, seconds: int, name: str) -> DataFrame:
-    return rows.withColumn(name, F.expr(f"unix_seconds({moment}) div {seconds}"))
-
+def relevant_trail(windows: DataFrame, trail: DataFrame, hours: float) -> DataFrame:
+    """Trail rows in a (key, span of time) that some window touches, and of a dated trail only those days.
 
-def relevant_trail(windows: DataFrame, trail: DataFrame, hours: float, max_keys: int = BROADCAST_ROWS) -> DataFrame:
-    """Trail rows that some window could want.
-
-    The overall time range goes to the scan as literals, where it prunes row groups and
-    partitions; (key, span) pairs go as a broadcast filter if they are few enough.
+    A span is as long as a window, so a window touches two or three. Both filters are semi-joins; days
+    are few, as they are bounded by the calendar, and prune the partitions of the scan.
     """
-    seconds = max(int(hours * 7200), 1)
-    spans = _with_span(_with_span(windows, "earliest", seconds, "_from"), "latest", seconds, "_to")
-    wanted = (
-        spans.withColumn("_span", F.explode(F.array_distinct(F.array("_from", "_to"))))
-        .groupBy("access_key_id", "_span")
-        .agg(F.min("earliest").alias("first"), F.max("latest").alias("last"))
-    )
-    first, last, keys = wanted.agg(
-        F.unix_micros(F.min("first")), F.unix_micros(F.max("last")), F.count("*")
-    ).first()
-    if not keys:
-        return trail.where(F.lit(False))
-    start, end = F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))
-    inside = trail.where(F.col("event_time").between(start, end) & F.col("access_key_id").isNotNull())
     if DATE_PARTITION in trail.columns:
         # A day to either side, as the writer's days need not be UTC days.
-        inside = inside.where(F.col(DATE_PARTITION).between(F.date_sub(F.to_date(start), 1), F.date_add(F.to_date(end), 1)))
-    if keys > max_keys:
-        # Too many to broadcast; the joins below drop what no window wants.
-        return inside
-    spanned = _with_span(inside, "event_time", seconds, "_span")
-    return spanned.join(F.broadcast(wanted.select("access_key_id", "_span")), ["access_key_id", "_span"], "left_semi").drop("_span")
+        around = F.sequence(F.date_sub(F.to_date("earliest"), 1), F.date_add(F.to_date("latest"), 1))
+        days = windows.select(F.explode(around).alias(DATE_PARTITION)).distinct()
+        trail = trail.join(F.broadcast(days), DATE_PARTITION, "left_semi")
+    seconds = max(math.ceil(hours * 7200), 1)
+    first, last = (F.expr(f"unix_seconds({c}) div {seconds}") for c in ("earliest", "latest"))
+    spans = windows.select("access_key_id", F.explode(F.sequence(first, last)).alias("_span")).distinct()
+    spanned = trail.where(F.col("access_key_id").isNotNull()).withColumn("_span", F.expr(f"unix_seconds(event_time) div {seconds}"))
+    return spanned.join(spans, ["access_key_id", "_span"], "left_semi").drop("_span")
+
+
+def _named() -> Column:
+    return F.col("event_id").isNotNull()
+
+
+def _event_key() -> Column:
+    """What copies of an event share: its id, or the time of one without."""
+    return F.coalesce(F.col("event_id"), F.unix_micros("event_time").cast("string"))
 
 
 def _single_copies(events: DataFrame) -> DataFrame:
-    """One row per event of a key: (access_key_id, event_key, event). Copies combine map-side.
+    """One row per event of a key: (access_key_id, named, event_key, event); the newest copy stands."""
+    keyed = events.select("access_key_id", _named().alias("named"), _event_key().alias("event_key"), F.struct(*EVENT_FIELDS).alias("event"))
+    return keyed.groupBy("access_key_id", "named", "event_key").agg(F.max("event").alias("event"))
 
-    Copies of an event id count as the newest of them. Events without an id are told apart by time.
-    """
-    key = F.coalesce(F.col("event_id"), F.unix_micros("event_time").cast("string")).alias("event_key")
-    event = F.struct(*EVENT_FIELDS)
-    return events.groupBy("access_key_id", key).agg(F.max(event).alias("event"))
 
+def _numbered(windows: DataFrame, events: DataFrame, n: int) -> DataFrame:
+    """Events and windows in one order per key: named and unnamed events are numbered apart, windows learn the last of each.
 
-def _newest(windows: DataFrame, events: DataFrame, n: int) -> DataFrame:
-    """(access_key_id, center_time, events): the newest n events of each window, oldest first."""
-    # Narrow pass: only keys, times and ids are numbered; the other fields are joined on at the end.
-    key = F.coalesce(F.col("event_id"), F.unix_micros("event_time").cast("string")).alias("event_key")
-    marks = events.groupBy("access_key_id", key).agg(F.max("event_time").alias("moment"))
-    same_time = W.partitionBy("access_key_id", "moment").orderBy(F.desc("event_key"))
+    A number is a rank inside a one-second slot, plus totals of the slots before it in its day, plus
+    totals of the days before, so no task orders a whole key.
+    """
+    marks = events.groupBy("access_key_id", _named().alias("named"), _event_key().alias("event_key")).agg(F.max("event_time").alias("moment"))
+    same_time = W.partitionBy("access_key_id", "named", "moment").orderBy(F.desc("event_key"))
     marks = marks.withColumn("_newer", F.row_number().over(same_time)).where(F.col("_newer") <= n)
     no_time, no_key = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
     both = marks.select(
-        "access_key_id", "moment", "event_key", F.lit(1).alias("is_event"), no_time.alias("center_time"), no_time.alias("earliest")
+        "access_key_id", "moment", "named", "event_key", F.lit(1).alias("is_event"), no_time.alias("center_time"), no_time.alias("earliest")
     ).unionByName(
         windows.select(
-            "access_key_id", F.col("latest").alias("moment"), no_key.alias("event_key"), F.lit(0).alias("is_event"), "center_time", "earliest"
+            "access_key_id", F.col("latest").alias("moment"), F.lit(False).alias("named"), no_key.alias("event_key"), F.lit(0).alias("is_event"),
+            "center_time", "earliest",
         )
     )
-    both = both.withColumn("slot", F.unix_seconds("moment"))
-
-    # A window's mark follows the events of the same time, so its rank counts them.
-    in_slot = (
-        W.partitionBy("access_key_id", "slot")
-        .orderBy("moment", F.desc("is_event"), "event_key")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = both.select(
+        "*",
+        F.unix_seconds("moment").alias("slot"),
+        F.to_date("moment").alias("day"),
+        F.when(F.col("named"), F.col("is_event")).otherwise(0).alias("one_named"),
+        F.when(F.col("named"), 0).otherwise(F.col("is_event")).alias("one_unnamed"),
     )
-    ranked = both.withColumn("rank", F.sum("is_event").over(in_slot))
-    totals = ranked.groupBy("access_key_id", "slot").agg(F.sum("is_event").alias("_n"))
-    earlier = W.partitionBy("access_key_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("access_key_id", "slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    numbered = ranked.join(offsets, ["access_key_id", "slot"]).select(
-        "access_key_id", "event_key", "center_time", "earliest", "is_event", (F.col("_before") + F.col("rank")).alias("number")
+    # A window's mark follows the events of the same time, so its ranks count them.
+    in_slot = W.partitionBy("access_key_id", "day", "slot").orderBy("moment", F.desc("is_event"), "event_key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    kinds = ("named", "unnamed")
+    ranked = both.select("*", *[F.sum(f"one_{k}").over(in_slot).alias(f"rank_{k}") for k in kinds])
+    totals = both.groupBy("access_key_id", "day", "slot").agg(*[F.sum(f"one_{k}").alias(f"n_{k}") for k in kinds])
+    in_day = W.partitionBy("access_key_id", "day").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    slots = totals.select("access_key_id", "day", "slot", *[F.coalesce(F.sum(f"n_{k}").over(in_day), F.lit(0)).alias(f"day_{k}") for k in kinds])
+    days = totals.groupBy("access_key_id", "day").agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in kinds])
+    earlier = W.partitionBy("access_key_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    days = days.select("access_key_id", "day", *[F.coalesce(F.sum(f"n_{k}").over(earlier), F.lit(0)).alias(f"before_{k}") for k in kinds])
+    placed = ranked.join(slots, ["access_key_id", "day", "slot"]).join(days, ["access_key_id", "day"])
+    named, unnamed = (F.col(f"rank_{k}") + F.col(f"day_{k}") + F.col(f"before_{k}") for k in kinds)
+    return placed.select(
+        "access_key_id", "named", "event_key", "moment", "center_time", "earliest", "is_event", named.alias("number"), unnamed.alias("number_unnamed")
     )
-    # Read three times below, so written once: it is narrow, and the numbering is the costly part.
-    numbered = written_once(numbered, "numbered-trail")
 
-    # Run r holds the numbers of two neighbouring groups of n, so one run covers any n in a row.
+
+def _chosen(numbered: DataFrame, n: int) -> DataFrame:
+    """(access_key_id, center_time, named, event_key): the newest n named events of each window and its newest unnamed one.
+
+    Run r holds the numbers of two neighbouring groups of n, so one run covers any n in a row and a
+    window meets at most 2 n events. An unnamed event is in a run of its own, below zero.
+    """
     group = F.expr(f"(number - 1) div {n}")
-    placed = numbered.where("is_event = 1").select("access_key_id", "event_key", "number", group.alias("_group"))
-    runs = (
-        _single_copies(events)
-        .join(placed, ["access_key_id", "event_key"])
-        .withColumn("run", F.explode(F.array(F.col("_group"), F.col("_group") + 1)))
-        .groupBy("access_key_id", "run")
-        .agg(F.array_sort(F.collect_list(F.struct("number", "event"))).alias("_events"))
-    )
-    asking = numbered.where("is_event = 0 AND number > 0").select(
-        "access_key_id", "center_time", "earliest", F.col("number").alias("_last"), group.alias("run")
+    of_event = F.when(F.col("named"), F.array(group, group + 1)).otherwise(F.array(-F.col("number_unnamed")))
+    placed = numbered.where("is_event = 1").select(
+        "access_key_id", F.explode(of_event).alias("run"), F.when(F.col("named"), F.col("number")).otherwise(F.col("number_unnamed")).alias("_at"),
+        "named", "event_key", "moment",
     )
-    taken = F.filter(
-        "_events",
-        lambda e: (e["number"] > F.col("_last") - n) & (e["number"] <= F.col("_last")) & (e["event"]["event_time"] >= F.col("earliest")),
+    of_window = F.array(
+        F.struct(group.alias("run"), F.col("number").alias("_last")), F.struct((-F.col("number_unnamed")).alias("run"), F.col("number_unnamed").alias("_last"))
     )
-    return lookup_join(asking, runs, ["access_key_id", "run"], "center_time").select(
-        "access_key_id", "center_time", F.transform(taken, lambda e: e["event"]).alias("events")
+    asking = numbered.where("is_event = 0").select("access_key_id", "center_time", "earliest", F.inline(of_window)).where("_last > 0")
+    met = asking.join(placed, ["access_key_id", "run"])
+    return met.where((F.col("_at") > F.col("_last") - n) & (F.col("_at") <= F.col("_last")) & (F.col("moment") >= F.col("earliest"))).select(
+        "access_key_id", "center_time", "named", "event_key"
     )
 
 
 def timelines(
-    findings: DataFrame,
-    trail: DataFrame,
-    *,
-    window_hours: float = WINDOW_HOURS,
-    max_events: int = MAX_EVENTS,
-    null_event_ids: bool = True,
-    max_broadcast_keys: int = BROADCAST_ROWS,
+    findings: DataFrame, trail: DataFrame, *, window_hours: float = WINDOW_HOURS, max_events: int = MAX_EVENTS
 ) -> DataFrame:
-    """(access_key_id, center_time, events) for each key and time the findings name.
+    """(access_key_id, center_time, events) for each key and time the findings name, oldest first.
 
-    Events without an id count as one event per window, the newest; pass null_event_ids=False
-    for a trail that has none, and the second pass is left out.
+    Events without an id count as one event per window, the newest. Which events a window takes is
+    settled on keys and times alone; of the other fields only those of taken events are moved.
     """
     windows = _windows(findings, window_hours)
-    trail = relevant_trail(windows, trail, window_hours, max_broadcast_keys)
-    named = _newest(windows, trail.where(F.col("event_id").isNotNull()), max_events)
-    if not null_event_ids:
-        return named
-    unnamed = _newest(windows, trail.where(F.col("event_id").isNull()), 1).withColumnRenamed("events", "_unnamed")
-    none = F.array().cast(named.schema["events"].dataType)
-    merged = F.array_sort(F.concat(F.coalesce("events", none), F.coalesce("_unnamed", none)))
-    newest = F.reverse(F.slice(F.reverse(merged), 1, max_events))
-    return named.join(unnamed, list(WINDOW), "full").select(*WINDOW, newest.alias("events"))
+    inside = relevant_trail(windows, trail, window_hours)
+    # Read twice below, so written once: it is narrow, and the numbering is the costly part.
+    numbered = written_once(_numbered(windows, inside, max_events), "numbered-trail")
+    chosen = _chosen(numbered, max_events)
+    event = ["access_key_id", "named", "event_key"]
+    keyed = relevant_trail(windows, trail, window_hours) if DATE_PARTITION in trail.columns else trail
+    keyed = keyed.withColumn("named", _named()).withColumn("event_key", _event_key()).join(chosen.select(*event).distinct(), event, "left_semi")
+    delivered = chosen.join(_single_copies(keyed), event)
+    listed = delivered.groupBy(*WINDOW).agg(F.sort_array(F.collect_list("event")).alias("events"))
+    newest = F.slice("events", F.greatest(F.size("events") - max_events + 1, F.lit(1)), max_events)
+    return listed.select(*WINDOW, newest.alias("events"))
 
 
 def with_timeline(findings: DataFrame, trail: DataFrame, *, plain: DataFrame | None = None, **options) -> DataFrame:
@@ -181,7 +177,7 @@ def with_timeline(findings: DataFrame, trail: DataFrame, *, plain: DataFrame | N
     base = findings if plain is None else plain
     found = timelines(base, trail, **options)
     empty = F.array().cast(found.schema["events"].dataType)
-    joined = lookup_join(findings, found, WINDOW, "finding_id", weigh=base.select(*WINDOW))
+    joined = lookup_join(findings, found, WINDOW, "finding_id")
     return joined.withColumn("events", F.coalesce("events", empty))
 
 

@@ -84,8 +84,8 @@ def ground(decided: DataFrame) -> DataFrame:
 
 
 def grounding_matches(resources: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(finding_id, resource, grounded) in bulk: an equi-join on the finding with containment as residual."""
+    """The resources with `grounded`, in bulk: an equi-join on the finding with containment as residual."""
     found = resources.join(evidence, "finding_id", "left")
     wanted = text.strip_whitespace(F.col("resource"))
     grounded = F.coalesce((wanted != "") & F.contains(F.col("evidence"), wanted), F.lit(False))
-    return found.select("finding_id", "resource", grounded.alias("grounded"))
+    return found.select(*resources.columns, grounded.alias("grounded"))

@@ -31,7 +31,7 @@ FROM {events} WHERE event_type = 'error'
 
 TRAIL = """
 SELECT concat('AK', cast(user_id AS VARCHAR(20))) AS access_key_id,
-       concat('e-', cast(event_id AS VARCHAR(20))) AS event_id,
+       CASE WHEN event_id % 37 <> 5 THEN concat('e-', cast(event_id AS VARCHAR(20))) END AS event_id,
        ts AS event_time,
        CASE WHEN event_id % 31 = 0 THEN '' WHEN event_type = 'error' THEN 'GetSecretValue'
             WHEN event_type = 'signup' THEN 'CreateUser' WHEN event_type = 'purchase' THEN 'RunInstances'
@@ -146,7 +146,8 @@ SELECT event_id, CASE event_id % 4
     '"service":{{"eventFirstSeen":"2024-01-02T00:00:00Z"}},"updatedAt":"2024-01-03T04:05:06Z"}}}}')
   WHEN 2 THEN concat('{{"Findings":[{{"Id":"f-', cast(event_id AS VARCHAR(20)), '","Severity":8,"Resource":{{"ResourceType":"Instance","InstanceDetails":{{"InstanceId":"i-', cast(event_id AS VARCHAR(20)), '"}}}},',
     '"CreatedAt":"2024-01-04T00:00:00Z","Service":{{"EventLastSeen":""}}}},{{"Id":"second"}}]}}')
-  ELSE CASE WHEN event_id % 8 = 3 THEN '{{}}' ELSE concat('{{"Id":"","id":"f-', cast(event_id AS VARCHAR(20)), '","service":{{"eventLastSeen":"not a time"}}}}') END END AS document
+  ELSE CASE WHEN event_id % 8 = 3 THEN '{{}}' ELSE concat('{{"Id":"","id":"f-', cast(event_id AS VARCHAR(20)), '","service":{{"eventLastSeen":',
+    CASE event_id % 5 WHEN 0 THEN '"2024"' WHEN 1 THEN '"12:30"' WHEN 2 THEN '1718' ELSE '"not a time"' END, '}}}}') END END AS document
 FROM {events} WHERE event_type = 'error'
 """
 

@@ -69,11 +69,13 @@ PIECES: dict[str, str] = {
 _PLAIN: dict[str, str] = {
     "dim": _values([row for row in TECHNIQUES], "technique_id, name, description, tactic"),
     "t": "SELECT DISTINCT * FROM t0",
-    "pairs": f"""SELECT f.finding_id, t.*, row_number() OVER (PARTITION BY f.finding_id ORDER BY t.event_time DESC, t.event_id DESC) AS rn
-        FROM f JOIN t ON f.access_key_id = t.access_key_id AND {_WINDOW}""",
+    # Of the events without an id a window has the newest only.
+    "pairs": f"""SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY event_time DESC, event_id DESC NULLS LAST) AS rn
+        FROM (SELECT f.finding_id, t.*, row_number() OVER (PARTITION BY f.finding_id, t.event_id IS NULL ORDER BY t.event_time DESC) AS of_kind
+              FROM f JOIN t ON f.access_key_id = t.access_key_id AND {_WINDOW}) AS met WHERE event_id IS NOT NULL OR of_kind = 1""",
     "capped": "SELECT * FROM pairs WHERE rn <= 200",
-    "tl": """SELECT f.finding_id, count(k.event_id) AS n_events,
-        coalesce(string_agg(k.event_id, ',' ORDER BY k.event_time, k.event_id), '') AS event_ids,
+    "tl": """SELECT f.finding_id, count(k.access_key_id) AS n_events,
+        coalesce(string_agg(k.event_id, ',' ORDER BY k.event_time, k.event_id NULLS FIRST), '') AS event_ids,
         min(k.event_time) AS first_time,
         arg_min(k.request_parameters, (k.event_time, k.event_id)) AS first_params
         FROM f LEFT JOIN capped AS k ON f.finding_id = k.finding_id GROUP BY f.finding_id""",
@@ -147,11 +149,12 @@ _PLAIN: dict[str, str] = {
         FROM f JOIN prof ON f.finding_id = prof.finding_id JOIN rel ON f.finding_id = rel.finding_id JOIN tl ON f.finding_id = tl.finding_id
         JOIN ev ON f.finding_id = ev.finding_id LEFT JOIN res ON f.finding_id = res.finding_id""",
     # Outcomes without timelines, for the metrics.
-    "lo": f"""SELECT f.finding_id, f.ingest_time AS ts, prof.blast_radius, rel.related_count, res.*  EXCLUDE (finding_id), NOT res.has_brief AS degraded,
+    "lo": f"""SELECT f.finding_id, f.ingest_time AS ts, prof.blast_radius, rel.related_count, res.* EXCLUDE (finding_id, reason, has_brief), coalesce(res.has_brief, false) AS has_brief,
+          CASE WHEN res.finding_id IS NULL THEN 'no_response' ELSE res.reason END AS reason, NOT coalesce(res.has_brief, false) AS degraded,
           coalesce(res.input_tokens, 0) * 0.000005 + coalesce(res.output_tokens, 0) * 0.000025 AS cost_usd,
           CASE WHEN res.has_brief THEN len(res.actions) ELSE 0 END AS action_count,
           {_rescore('f.severity', 'prof.blast_radius', 'rel.related_count', "CASE WHEN res.has_brief THEN res.model_severity ELSE 'LOW' END")} AS final_severity
-        FROM f JOIN prof ON f.finding_id = prof.finding_id JOIN rel ON f.finding_id = rel.finding_id JOIN res ON f.finding_id = res.finding_id""",
+        FROM f JOIN prof ON f.finding_id = prof.finding_id JOIN rel ON f.finding_id = rel.finding_id LEFT JOIN res ON f.finding_id = res.finding_id""",
     "arn": """SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY ingest_time) AS nth FROM arr WHERE finding_id <> ''""",
     "active": f"SELECT finding_id FROM c WHERE expires_at > {_NOW}",
     # FULL outcome table of the gated arrivals.
@@ -200,7 +203,7 @@ def _periods(columns: str, source: str) -> str:
 FINALS: dict[str, str] = {
     "trail_interval_join": f"SELECT f.finding_id, k.event_id, k.event_name, {_text('k.event_time')} AS event_time FROM f LEFT JOIN capped AS k ON f.finding_id = k.finding_id",
     "trail_dedup": "SELECT access_key_id, event_id, event_name, source_ip FROM t",
-    "trail_topk": "SELECT finding_id, event_id FROM pairs WHERE rn <= 2",
+    "trail_topk": "SELECT finding_id, event_id FROM pairs WHERE rn <= 2 AND event_id IS NOT NULL",
     "timeline_collect": "SELECT finding_id, event_ids FROM tl",
     "event_count": "SELECT finding_id, n_events FROM tl",
     "distinct_api_calls": "SELECT f.finding_id, coalesce(replace(names, ', ', ','), '') AS api_calls FROM f LEFT JOIN calls ON f.finding_id = calls.finding_id",
@@ -239,8 +242,8 @@ FINALS: dict[str, str] = {
         contains(evidence, 'denied for u') AS names_error, contains(evidence, 'AdministratorAccess') AS names_admin, contains(evidence, 'bucket-') AS names_bucket
         FROM ev JOIN f ON ev.finding_id = f.finding_id""",
     "resource_grounding": f"SELECT finding_id, {_KEPT_RES} AS kept, {_DROPPED_RES} AS dropped FROM dec WHERE has_brief",
-    "grounding_theta_join": """SELECT x.finding_id, x.resource, trim(x.resource) <> '' AND contains(ev.evidence, trim(x.resource)) AS grounded
-        FROM (SELECT finding_id, unnest(resources) AS resource FROM att WHERE good AND attempt = 1) AS x JOIN ev ON x.finding_id = ev.finding_id""",
+    "grounding_theta_join": """SELECT x.finding_id, x.attempt, x.resource, trim(x.resource) <> '' AND contains(ev.evidence, trim(x.resource)) AS grounded
+        FROM (SELECT finding_id, attempt, unnest(resources) AS resource FROM att WHERE good) AS x JOIN ev ON x.finding_id = ev.finding_id""",
     "validity_flag": "SELECT finding_id, attempt, valid FROM flags WHERE good",
     "attempt_resolution": "SELECT finding_id, attempts, reason, request_id, processing_ms, input_tokens, all_output_tokens, has_brief FROM res",
     "severity_band": f"SELECT finding_id, {_level(_gate_number('severity'))} AS band, {_gate_number('severity')} AS band_number FROM f",
@@ -322,7 +325,8 @@ FINALS: dict[str, str] = {
     "finding_envelope": """SELECT event_id, CASE event_id % 4 WHEN 1 THEN json_extract_string(document, '$.detail.id') WHEN 2 THEN json_extract_string(document, '$.Findings[0].Id')
           ELSE coalesce(json_extract_string(document, '$.Id'), json_extract_string(document, '$.id')) END AS id,
         cast(CASE event_id % 4 WHEN 1 THEN json_extract_string(document, '$.detail.severity') WHEN 2 THEN json_extract_string(document, '$.Findings[0].Severity')
-          ELSE json_extract_string(document, '$.Severity') END AS DOUBLE) AS severity FROM docs""",
+          ELSE json_extract_string(document, '$.Severity') END AS DOUBLE) AS severity FROM docs
+        UNION ALL SELECT event_id, 'second', NULL FROM docs WHERE event_id % 4 = 2""",
     "finding_envelope_every": """SELECT event_id, CASE WHEN event_id % 4 = 1 THEN NULL ELSE json_extract_string(document, '$.Id') END AS pascal_id FROM docs WHERE event_id % 4 <> 2
         UNION ALL SELECT event_id, unnest(json_extract_string(document, '$.Findings[*].Id')) FROM docs WHERE event_id % 4 = 2""",
     "parse_finding": """SELECT event_id, CASE WHEN event_id % 8 = 3 THEN NULL ELSE concat('f-', event_id) END AS finding_id,
@@ -333,9 +337,11 @@ FINALS: dict[str, str] = {
         CASE WHEN event_id % 4 < 2 THEN concat('AK', user_id) END AS access_key_id, CASE WHEN event_id % 4 = 0 THEN concat('P', user_id) END AS principal_id,
         CASE WHEN event_id % 4 = 0 THEN 'Role' END AS user_type, CASE WHEN event_id % 4 < 2 THEN concat('u', user_id) END AS user_name,
         CASE WHEN event_id % 4 = 2 THEN concat('i-', event_id) END AS instance_id, CASE WHEN event_id % 4 = 0 THEN 'd1' END AS detector_id
-        FROM events WHERE event_type = 'error'""",
+        FROM events WHERE event_type = 'error'
+        UNION ALL SELECT event_id, 'second', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM events WHERE event_type = 'error' AND event_id % 4 = 2""",
     "center_time": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('2024-01-0', 1 + event_id % 9, ' 10:20:30.000000') WHEN 1 THEN '2024-01-03 04:05:06.000000'
-        WHEN 2 THEN '2024-01-04 00:00:00.000000' ELSE '2024-02-01 00:00:00.000000' END AS center_time FROM events WHERE event_type = 'error'""",
+        WHEN 2 THEN '2024-01-04 00:00:00.000000' ELSE '2024-02-01 00:00:00.000000' END AS center_time FROM events WHERE event_type = 'error'
+        UNION ALL SELECT event_id, '2024-02-01 00:00:00.000000' FROM events WHERE event_type = 'error' AND event_id % 4 = 2""",
     "trail_flatten": f"""SELECT AccessKeyId AS access_key_id, EventId AS event_id, coalesce(nullif(EventName, ''), json_extract_string(j, '$.eventName')) AS event_name, json_extract_string(j, '$.eventSource') AS event_source,
         coalesce(Username, json_extract_string(j, '$.userIdentity.userName')) AS username, json_extract_string(j, '$.sourceIPAddress') AS source_ip, json_extract_string(j, '$.userAgent') AS user_agent,
         json_extract_string(j, '$.awsRegion') AS aws_region, json_extract_string(j, '$.errorCode') AS error_code, json_extract_string(j, '$.errorMessage') AS error_message,
@@ -346,15 +352,26 @@ FINALS: dict[str, str] = {
         CASE WHEN n.nth = 1 THEN dec.related_count END AS related_count, CASE WHEN n.nth = 1 THEN dec.processing_ms END AS processing_ms
         FROM arn AS n JOIN dec ON n.finding_id = dec.finding_id WHERE n.severity >= 7
         UNION ALL SELECT NULL, 'skipped', 'no_finding_id', NULL, NULL, NULL FROM arr WHERE (finding_id IS NULL OR finding_id = '') AND severity >= 7""",
-    "stream_interval_join": "SELECT finding_id, event_id FROM pairs",
-    # A window comes out once the newest time seen, less ten minutes, has passed its end.
+    "stream_interval_join": f"SELECT f.finding_id, t.event_id FROM f JOIN t ON f.access_key_id = t.access_key_id AND {_WINDOW}",
     "stream_metrics": f"""SELECT {_text('w')} AS window_start, round(avg(ms), 6) AS avg_ms, round(quantile_cont(ms, 0.9), 6) AS p90_ms,
-        round(sum(i * 0.000005 + o * 0.000025), 6) AS cost_usd, cast(sum(i) AS BIGINT) AS input_tokens, cast(sum(o) AS BIGINT) AS output_tokens, count(*) AS invocations,
+        round(coalesce(sum(i * 0.000005 + o * 0.000025), 0), 6) AS cost_usd, cast(coalesce(sum(i), 0) AS BIGINT) AS input_tokens, cast(coalesce(sum(o), 0) AS BIGINT) AS output_tokens, count(*) AS invocations,
         count(*) FILTER (WHERE bad) AS degraded
-        FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS w, 7000 + (event_id * 37) % 9000 AS ms, 800 + event_id % 400 AS i, 1200 + event_id % 700 AS o, event_id % 13 < 5 AS bad
-              FROM events WHERE event_type = 'error') AS x
-        GROUP BY w HAVING w + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events WHERE event_type = 'error') - INTERVAL 10 MINUTE""",
-    "stream_audit": "SELECT finding_id, request_id, processing_ms FROM r WHERE attempt = 1",
+        FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS w, CASE WHEN done THEN 7000 + (event_id * 37) % 9000 END AS ms, CASE WHEN done THEN 800 + event_id % 400 END AS i,
+                CASE WHEN done THEN 1200 + event_id % 700 END AS o, done AND event_id % 13 < 5 AS bad
+              FROM (SELECT *, event_id % 11 <> 0 AS done FROM events WHERE event_type = 'error') AS e) AS x
+        GROUP BY w""",
+    "stream_audit": """SELECT DISTINCT dec.finding_id, '2024-02-01T00:00:00.000000+00:00' AS timestamp, dec.final_severity, dec.blast_radius,
+        cast(CASE WHEN dec.has_brief THEN len(dec.actions) ELSE 0 END AS BIGINT) AS action_count, dec.processing_ms, NOT dec.has_brief AS degraded, dec.request_id, dec.reason
+        FROM dec WHERE dec.severity >= 7""",
+    # Each id once, with the brief that answers it; only events in the first two forms name a principal.
+    "stream_raw_findings": """SELECT concat('f-', e.event_id) AS finding_id, CASE WHEN coalesce(res.has_brief, false) THEN 'analyzed' ELSE 'degraded' END AS status,
+        CASE WHEN e.event_id % 4 < 2 THEN coalesce(pb.blast_radius, 'UNKNOWN') ELSE 'UNKNOWN' END AS blast_radius
+        FROM events AS e LEFT JOIN res ON res.finding_id = concat('f-', e.event_id)
+        LEFT JOIN blast AS pb ON pb.user_name = concat('u', e.user_id) AND pb.kind = 'role'
+        WHERE e.event_type = 'error' AND e.event_id % 8 <> 3
+        UNION ALL SELECT NULL, 'skipped', NULL FROM events WHERE event_type = 'error' AND event_id % 8 = 3
+        UNION ALL SELECT 'second', CASE WHEN row_number() OVER (ORDER BY event_id) = 1 THEN 'degraded' ELSE 'skipped' END,
+          CASE WHEN row_number() OVER (ORDER BY event_id) = 1 THEN 'UNKNOWN' END FROM events WHERE event_type = 'error' AND event_id % 4 = 2""",
     "threat_purpose": "SELECT f.finding_id, split_part(f.type, ':', 1) AS purpose, stage, candidates FROM f LEFT JOIN purposes ON purposes.purpose = split_part(f.type, ':', 1)",
     "timeline_signals": "SELECT f.finding_id, "
         + ", ".join(f"coalesce(bool_or(k.event_name IN ({', '.join(_q(c) for c in calls)})), false) AS {name}" for name, calls in SIGNALS.items())

@@ -17,7 +17,7 @@ from ..sources.findings import center_time as resolved_time, parse_findings, par
 from ..sources.trail import flatten_trail
 from ..streaming import jobs
 from . import derived as d
-from .triage import Context, decide, enrich, evaluate, triage_batch, triage_on_demand
+from .triage import Context, decide, enrich, evaluate, triage_batch, triage_on_demand, with_answers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,17 +52,16 @@ class Tables:
         return Context(self.trail, self.principals, self.attached, self.inline, self.groups, history)
 
     def timeline(self, **options) -> DataFrame:
-        # The derived trail has an id on every event.
-        return with_timeline(self.findings, self.trail, null_event_ids=False, **options)
+        return with_timeline(self.findings, self.trail, **options)
 
     def profiles(self) -> DataFrame:
         return pri.profiles(self.principals, self.attached, self.inline, self.groups)
 
     def bundles(self, findings: DataFrame | None = None) -> DataFrame:
-        return enrich(self.findings if findings is None else findings, self.context(), null_event_ids=False)
+        return enrich(self.findings if findings is None else findings, self.context())
 
     def decided(self) -> DataFrame:
-        return decide(self.findings, self.context(), self.responses, null_event_ids=False)
+        return decide(self.findings, self.context(), self.responses)
 
     def resolved(self) -> DataFrame:
         return resolve_attempts(typed_responses(self.responses))
@@ -75,7 +74,7 @@ class Tables:
 def _light(t: Tables) -> DataFrame:
     """Findings with profile and related count in the bundle's shape, for scoring only."""
     findings = t.findings
-    rows = pri.with_profile(with_related(findings), t.profiles(), weigh=findings)
+    rows = pri.with_profile(with_related(findings), t.profiles())
     return rows.select(
         "finding_id",
         "ingest_time",
@@ -88,7 +87,8 @@ def _light(t: Tables) -> DataFrame:
 
 
 def _answered(t: Tables) -> DataFrame:
-    return _light(t).join(t.resolved(), "finding_id").withColumn("degraded", F.col("brief").isNull())
+    """Every finding with what was answered, or the reason that nothing was."""
+    return with_answers(_light(t), t.resolved()).withColumn("degraded", F.col("brief").isNull())
 
 
 def _moment(column: str | Column) -> Column:
@@ -341,7 +341,7 @@ def resource_grounding(t: Tables) -> DataFrame:
 def grounding_theta_join(t: Tables) -> DataFrame:
     """Containment in bulk, as an equi-join on the finding with the substring test as residual."""
     evidence = t.bundles().select("finding_id", text.flat_json(F.col("bundle")).alias("evidence"))
-    named = typed_responses(t.responses).where("attempt = 1").select("finding_id", F.explode("brief.affected_resources").alias("resource"))
+    named = typed_responses(t.responses).where("attempt <= 2").select("finding_id", "attempt", F.explode("brief.affected_resources").alias("resource"))
     return grounding_matches(named, evidence)
 
 
@@ -379,8 +379,8 @@ def triage_hard_signals(t: Tables) -> DataFrame:
     """Gated findings scored on severity, blast radius and related findings, next to their activity."""
     findings = t.findings
     gated = gate.severity_gate(findings)
-    rows = pri.with_profile(with_related(gated, findings, weigh=gated), t.profiles(), weigh=gated)
-    rows = with_timeline(rows, t.trail, plain=gated, null_event_ids=False)
+    rows = pri.with_profile(with_related(gated, findings), t.profiles())
+    rows = with_timeline(rows, t.trail, plain=gated)
     final = bands.rescore(F.col("severity"), F.col("blast_radius"), F.col("related_count"), F.lit("LOW"))
     return rows.select(
         "finding_id", "severity", "blast_radius", "related_count", F.size("events").alias("n_events"), final.alias("final_severity")
@@ -390,7 +390,7 @@ def triage_hard_signals(t: Tables) -> DataFrame:
 @query
 def triage_outcomes(t: Tables) -> DataFrame:
     result = triage_batch(
-        t.arrivals, t.context(t.findings), t.responses, run_ts=run_ts(), claims=t.claims, null_event_ids=False
+        t.arrivals, t.context(t.findings), t.responses, run_ts=run_ts(), claims=t.claims
     )
     return result.outcomes.select(
         "finding_id", "status", "reason", "final_severity", "blast_radius", "related_count", "action_count", "processing_ms",
@@ -539,7 +539,7 @@ def notification_rows(t: Tables) -> DataFrame:
 
 @query
 def brief_view(t: Tables) -> DataFrame:
-    view = triage_on_demand(t.findings, t.context(), t.responses, null_event_ids=False)
+    view = triage_on_demand(t.findings, t.context(), t.responses)
     return view.select(
         "finding_id", "type", "status", "reason", "final_severity", "confidence", "event_count", "summary", "techniques", "actions",
         _listed("dropped_techniques").alias("dropped_techniques"), _listed("dropped_resources", "|").alias("dropped_resources"), "request_id",
@@ -624,7 +624,7 @@ def evaluate_labeled(t: Tables) -> DataFrame:
     labeled = t.findings.withColumn("name", F.concat(F.lit("case-"), "finding_id")).withColumn(
         "expected_severity", bands.level_name(bands.severity_number(F.col("severity")))
     )
-    rows, _ = evaluate(labeled, t.context(), t.responses, null_event_ids=False)
+    rows, _ = evaluate(labeled, t.context(), t.responses)
     return rows
 
 
@@ -667,7 +667,7 @@ def finding_envelope(t: Tables) -> DataFrame:
 
 @query
 def finding_envelope_every(t: Tables) -> DataFrame:
-    raw = unwrap(t.documents, "document", every=True)
+    raw = unwrap(t.documents, "document")
     return raw.select("event_id", F.variant_get("raw", "$.Id", "string").alias("pascal_id"))
 
 
@@ -723,7 +723,7 @@ def stream_triage(t: Tables) -> DataFrame:
     folder = new_folder(t._spark, "stream-triage")
     writer = jobs.triage_stream(
         _streamed(t, d.ARRIVALS), lambda: t.context(t.findings), lambda: t.responses,
-        folder=folder, checkpoint=f"{folder}/state", run_ts=run_ts(), null_event_ids=False,
+        folder=folder, checkpoint=f"{folder}/state", run_ts=run_ts(),
     )
     jobs.drain(writer)
     return t._spark.read.parquet(f"{folder}/outcomes").select("finding_id", "status", "reason", "final_severity", "related_count", "processing_ms")
@@ -732,23 +732,27 @@ def stream_triage(t: Tables) -> DataFrame:
 @query
 def stream_interval_join(t: Tables) -> DataFrame:
     pairs = jobs.timeline_stream(_streamed(t, d.FINDINGS), _streamed(t, d.TRAIL))
-    return _drained(t, pairs, "stream-pairs").where("event_id IS NOT NULL").select("finding_id", "event_id")
+    # What met nothing comes out when time has passed it, and the files end before that for the last ones.
+    return _drained(t, pairs, "stream-pairs").where("event_time IS NOT NULL").select("finding_id", "event_id")
 
 
 @query
 def stream_metrics(t: Tables) -> DataFrame:
-    outcome = F.when(F.col("event_id") % 13 < 5, "degraded").otherwise("analyzed")
+    done = F.col("event_id") % 11 != 0
+    outcome = F.when(~done, "skipped").when(F.col("event_id") % 13 < 5, "degraded").otherwise("analyzed")
     rows = _event_stream(t).where("event_type = 'error'").select(
         F.col("ts").cast("timestamp").alias("ts"),
         outcome.alias("status"),
-        (7000 + (F.col("event_id") * 37) % 9000).alias("processing_ms"),
-        (F.col("event_id") % 13 < 5).alias("degraded"),
-        (800 + F.col("event_id") % 400).alias("input_tokens"),
-        (1200 + F.col("event_id") % 700).alias("output_tokens"),
+        F.when(done, 7000 + (F.col("event_id") * 37) % 9000).alias("processing_ms"),
+        F.when(done, F.col("event_id") % 13 < 5).alias("degraded"),
+        F.when(done, 800 + F.col("event_id") % 400).alias("input_tokens"),
+        F.when(done, 1200 + F.col("event_id") % 700).alias("output_tokens"),
     )
     rows = rows.withColumn("cost_usd", out.estimated_cost(F.col("input_tokens"), F.col("output_tokens")))
-    done = _drained(t, jobs.ops_metrics_stream(rows), "stream-metrics")
-    return _period(done).select(
+    folder = new_folder(t._spark, "stream-metrics")
+    jobs.drain(jobs.update_stream(jobs.ops_metrics_stream(rows), f"{folder}/rows", f"{folder}/state"))
+    standing = jobs.read_latest(t._spark, f"{folder}/rows", ["window_start"])
+    return _period(standing).select(
         "window_start", F.round("avg_ms", 6).alias("avg_ms"), F.round("p90_ms", 6).alias("p90_ms"), F.round("cost_usd", 6).alias("cost_usd"),
         "input_tokens", "output_tokens", "invocations", "degraded",
     )
@@ -756,8 +760,29 @@ def stream_metrics(t: Tables) -> DataFrame:
 
 @query
 def stream_audit(t: Tables) -> DataFrame:
-    rows = _streamed(t, d.RESPONSES).where("attempt = 1").select("finding_id", "request_id", "processing_ms")
-    return _drained(t, rows, "stream-audit")
+    """The audit of a streamed triage of which one batch is run again."""
+    folder = new_folder(t._spark, "stream-audit")
+    context = t.context(t.findings)
+    jobs.drain(
+        jobs.triage_stream(
+            _streamed(t, d.ARRIVALS), lambda: context, lambda: t.responses, folder=folder, checkpoint=f"{folder}/state", run_ts=run_ts()
+        )
+    )
+    jobs.triage_one(t.arrivals, 0, context, t.responses, folder=folder, run_ts=run_ts())
+    return t._spark.read.parquet(f"{folder}/audit").drop("batch_id")
+
+
+@query
+def stream_raw_findings(t: Tables) -> DataFrame:
+    """Raw events of a stream, triaged without a gate as they come; ids are those the events carry."""
+    folder = new_folder(t._spark, "stream-raw")
+    jobs.drain(
+        jobs.triage_stream(
+            _streamed(t, d.DOCUMENTS), lambda: t.context(t.findings), lambda: t.responses,
+            folder=folder, checkpoint=f"{folder}/state", run_ts=run_ts(), documents="document", severity_threshold=None,
+        )
+    )
+    return t._spark.read.parquet(f"{folder}/outcomes").select("finding_id", "status", "blast_radius")
 
 
 # ---- rules

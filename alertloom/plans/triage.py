@@ -38,7 +38,6 @@ def enrich(
     window_hours: float = WINDOW_HOURS,
     max_events: int = MAX_EVENTS,
     max_summaries: int = MAX_SUMMARIES,
-    null_event_ids: bool = True,
 ) -> DataFrame:
     """(finding_id, ingest_time, bundle), one row per finding; finding_id must be unique.
 
@@ -47,32 +46,42 @@ def enrich(
     """
     base = findings if plain is None else plain
     profiled = profiles(context.principals, context.attached, context.inline, context.groups)
-    narrow = with_related(findings, context.history, max_summaries=max_summaries, weigh=base)
-    narrow = with_profile(narrow, profiled, weigh=base)
+    narrow = with_related(findings, context.history, max_summaries=max_summaries, plain=base)
+    narrow = with_profile(narrow, profiled)
     wide = with_timeline(
         narrow,
         context.trail,
         plain=base,
         window_hours=window_hours,
         max_events=max_events,
-        null_event_ids=null_event_ids,
     )
     return wide.select("finding_id", "ingest_time", *carry, bundle().alias("bundle"))
 
 
+def with_answers(findings: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Findings with the response that stands; one without a response has that as its reason."""
+    answered = findings.join(resolved, "finding_id", "left")
+    unanswered = F.col("reason").isNull() & F.col("brief").isNull()
+    return answered.withColumn("reason", F.when(unanswered, NO_RESPONSE).otherwise(F.col("reason")))
+
+
 def decide(
-    findings: DataFrame, context: Context, responses: DataFrame, *, retry: bool = True, **enrich_options
+    findings: DataFrame,
+    context: Context,
+    responses: DataFrame,
+    *,
+    retry: bool = True,
+    carry: Sequence[str] = (),
+    **enrich_options,
 ) -> DataFrame:
-    """Enriched findings with the response that stands, checked, grounded and scored.
+    """Enriched findings with the response that stands, checked, grounded and scored; `carry` names columns to keep.
 
     Responses are joined while the findings are narrow, so bundles are not shuffled for it.
     """
     resolved = resolve_attempts(typed_responses(responses), retry=retry)
     carried = [c for c in resolved.columns if c != "finding_id"]
-    answered = findings.join(resolved, "finding_id", "left")
-    unanswered = F.col("reason").isNull() & F.col("brief").isNull()
-    answered = answered.withColumn("reason", F.when(unanswered, NO_RESPONSE).otherwise(F.col("reason")))
-    return out.scored(ground(enrich(answered, context, plain=findings, carry=carried, **enrich_options)))
+    answered = with_answers(findings, resolved)
+    return out.scored(ground(enrich(answered, context, plain=findings, carry=[*carry, *carried], **enrich_options)))
 
 
 @dataclass(frozen=True)
@@ -139,11 +148,10 @@ def evaluate(labeled: DataFrame, context: Context, responses: DataFrame, **enric
 
     As on demand there is no retry, and a brief with no known technique still counts.
     """
-    labels = labeled.select("name", "finding_id", "expected_severity")
-    findings = labeled.drop("name", "expected_severity")
-    decided = decide(findings, context, responses, retry=False, **enrich_options)
+    decided = decide(labeled, context, responses, retry=False, carry=("name", "expected_severity"), **enrich_options)
+    # The label is carried along: an id can be missing, or be in two files.
     results = decided.select(
-        "finding_id", "degraded", "final_severity", F.col("brief.severity").alias("model_severity"), "processing_ms"
+        "name", "expected_severity", "degraded", "final_severity", F.col("brief.severity").alias("model_severity"), "processing_ms"
     )
-    rows = evaluation.evaluation_rows(labels, results)
+    rows = evaluation.judged(results)
     return rows, evaluation.evaluation_summary(rows)

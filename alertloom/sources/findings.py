@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def read_findings(spark: SparkSession, path: str, *, whole_files: bool = True, every: bool = False) -> DataFrame:
+# A date with a time of day, in full; parts of one would be filled up from today.
+ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+
+
+def read_findings(spark: SparkSession, path: str, *, whole_files: bool = True, every: bool = True) -> DataFrame:
     """(raw VARIANT) per finding from JSON files, one document per file or per line."""
     return unwrap(spark.read.text(path, wholetext=whole_files), "value", every=every)
 
 
-def unwrap(documents: DataFrame, column: str, *, every: bool = False) -> DataFrame:
-    """Adds `raw`: the event's `detail`, the first of `Findings`, or the document itself.
+def unwrap(documents: DataFrame, column: str, *, every: bool = True) -> DataFrame:
+    """Adds `raw`: the event's `detail`, each of `Findings`, or the document itself.
 
-    With every=True a response gives one row per finding instead of its first.
+    With every=False, for a finding asked for by hand, a response gives its first finding only.
     """
     document = F.try_parse_json(F.col(column))
     inner = F.try_variant_get(document, "$.detail", "variant")
@@ -43,14 +47,12 @@ def finding_id(raw: Column) -> Column:
 def center_time(raw: Column, run_ts: Column) -> Column:
     """Last-seen, updated, first-seen or created time, whichever is first there; the run's time if it will not parse."""
     service = _either(raw, "Service")
-    texts = [
-        _as(_either(service, "EventLastSeen"), "string"),
-        _as(_either(raw, "UpdatedAt"), "string"),
-        _as(_either(service, "EventFirstSeen"), "string"),
-        _as(_either(raw, "CreatedAt"), "string"),
-    ]
+    values = [_either(service, "EventLastSeen"), _either(raw, "UpdatedAt"), _either(service, "EventFirstSeen"), _either(raw, "CreatedAt")]
+    # A number is no time, so only what is text counts.
+    texts = [F.when(F.schema_of_variant(v) == "STRING", _as(v, "string")) for v in values]
     chosen = F.coalesce(*[F.nullif(t, F.lit("")) for t in texts])
-    return F.coalesce(F.try_to_timestamp(chosen), run_ts)
+    whole = F.when(chosen.rlike(ISO_MOMENT), F.try_to_timestamp(chosen))
+    return F.coalesce(whole, run_ts)
 
 
 def parse_findings(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 
@@ -33,21 +33,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_claims(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
+def read_claims(spark: SparkSession, path: str, before_batch: int | None = None, now_seconds: Column | None = None) -> DataFrame:
     """(finding_id, expires_at): the last written claim per id; a ledger not yet written is empty.
 
     A replayed batch passes its own id as before_batch, so that the claims it left behind when it
-    failed do not make it skip its own findings.
+    failed do not make it skip its own findings. With now_seconds the claims that have run out by
+    then are left out in the scan: a later claim on an id runs longer, so none comes back by that.
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], schemas.CLAIMS)
     written = spark.read.schema(schemas.CLAIMS + ", batch_id BIGINT").parquet(path)
     if before_batch is not None:
         written = written.where(F.col("batch_id") < before_batch)
+    if now_seconds is not None:
+        written = written.where(F.col("expires_at") > now_seconds)
     last = written.groupBy("finding_id").agg(F.max(F.struct("batch_id", "expires_at")).alias("c"))
     return last.select("finding_id", "c.expires_at")
 
 
+def write_trail(trail: DataFrame, path: str, mode: str = "append") -> None:
+    """The flattened trail in a folder per UTC day, by key and time inside, for scans of few days and keys."""
+    dated = trail.withColumn("dt", F.to_date("event_time"))
+    # Days are cut by key as well, so a busy day is written by many tasks.
+    dated.repartition("dt", "access_key_id").sortWithinPartitions("dt", "access_key_id", "event_time").write.mode(mode).partitionBy("dt").parquet(path)
+
+
 def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
     """JSON lines (finding_id, key, report) in a folder per day; one file per finding would swamp a store."""
     reports.write.mode(mode).partitionBy("dt").json(path)

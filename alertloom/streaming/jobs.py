@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import metrics
+from ..operators.skew import NULL_PARTS
 from ..plans.triage import Context, TriageResult, triage_batch
 from ..schemas import FINDINGS
+from ..sources.findings import parse_findings, unwrap
 from ..sources.tables import read_claims, write_batch
 
 # Fixed value: how long one claim on a finding id holds.
@@ -22,6 +24,11 @@ def finding_stream(spark: SparkSession, path: str, *, schema: str = FINDINGS, fm
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
 
 
+def event_stream(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(value) raw JSON events as files arrive in a folder, one a line."""
+    return spark.readStream.format("text").options(**options).load(path)
+
+
 def once_per_finding(stream: DataFrame, ttl: str = CLAIM_TTL) -> DataFrame:
     """First arrival of each finding id, repeats within the ttl dropped; state expires with the watermark."""
     return stream.where("finding_id <> ''").withWatermark("ingest_time", ttl).dropDuplicatesWithinWatermark(["finding_id"])
@@ -30,27 +37,44 @@ def once_per_finding(stream: DataFrame, ttl: str = CLAIM_TTL) -> DataFrame:
 def timeline_stream(findings: DataFrame, trail: DataFrame, *, window_hours: int = 2, lateness: str = "1 hour") -> DataFrame:
     """(finding, event) pairs of two streams, complete once both watermarks have passed the window.
 
-    Findings that meet no event come out with null event columns. The time bounds let Spark drop
-    state of both sides.
+    Findings that meet no event, those without a key included, come out with null event columns. The
+    time bounds let Spark drop state of both sides. Findings without a key meet nothing and are spread.
     """
-    f = findings.where("access_key_id <> ''").select("finding_id", "access_key_id", "center_time").withWatermark("center_time", lateness)
+    keyless = ~F.coalesce(F.col("access_key_id") != "", F.lit(False))
+    spread = F.when(keyless, F.pmod(F.xxhash64("finding_id"), F.lit(NULL_PARTS)) + 1).otherwise(F.lit(0).cast("long"))
+    f = findings.select("finding_id", "access_key_id", "center_time", spread.alias("part")).withWatermark("center_time", lateness)
     t = (
         trail.select(F.col("access_key_id").alias("trail_key"), "event_id", "event_time", "event_name")
+        .withColumn("trail_part", F.pmod(F.xxhash64("trail_key"), F.lit(1).cast("long")))
         .withWatermark("event_time", lateness)
         .dropDuplicates(["trail_key", "event_id", "event_time"])
     )
     inside = F.expr(
-        f"access_key_id = trail_key AND event_time BETWEEN center_time - INTERVAL {window_hours} HOURS "
+        f"access_key_id = trail_key AND part = trail_part AND event_time BETWEEN center_time - INTERVAL {window_hours} HOURS "
         f"AND center_time + INTERVAL {window_hours} HOURS"
     )
-    return f.join(t, inside, "left_outer").drop("trail_key")
+    return f.join(t, inside, "left_outer").drop("trail_key", "part", "trail_part")
 
 
 def ops_metrics_stream(outcomes: DataFrame, *, period: str = metrics.PERIOD, lateness: str = "10 minutes") -> DataFrame:
-    """Five-minute figures of a stream of outcomes, each window once, when its watermark has passed."""
+    """Five-minute figures of a stream of outcomes; written as updates, each window stands from its first outcome on."""
     return metrics.ops_metrics(outcomes.withWatermark("ts", lateness), period)
 
 
+def update_stream(rows: DataFrame, path: str, checkpoint: str):
+    """A stream writer of what each batch changed; read_latest gives the rows as they stand."""
+    writer = rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(lambda batch, batch_id: write_batch(batch, path, batch_id))
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Of each key the row of the last batch that has one."""
+    written = spark.read.parquet(path)
+    rest = [c for c in written.columns if c not in (*keys, "batch_id")]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r"))
+    return last.select(*keys, "r.*")
+
+
 def write_result(result: TriageResult, folder: str, batch_id: int) -> None:
     """All tables of one batch. Claims go last, so a batch that fails midway is triaged again, not lost."""
     write_batch(result.outcomes, f"{folder}/outcomes", batch_id)
@@ -69,24 +93,45 @@ def triage_stream(
     folder: str,
     checkpoint: str,
     run_ts: Column | None = None,
+    documents: str | None = None,
     **options,
 ):
     """A stream writer that triages each micro-batch against the tables as they stand then.
 
+    `documents` names a column of raw events, in either casing and any envelope, for a stream of
+    those (see event_stream); their run time is the batch's.
+
     `context` and `responses` are called per batch. Every table is partitioned by batch, and a
     batch that is replayed overwrites what it wrote before, so a restart neither loses nor
     repeats a row. Start it with .start(), or add a trigger first.
     """
 
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        claims = read_claims(batch.sparkSession, f"{folder}/claims", before_batch=batch_id)
-        # One reading of the clock for all tables of the batch.
-        now = F.timestamp_micros(F.lit(int(time.time() * 1_000_000))) if run_ts is None else run_ts
-        write_result(triage_batch(batch, context(), responses(), run_ts=now, claims=claims, **options), folder, batch_id)
+        triage_one(batch, batch_id, context(), responses(), folder=folder, run_ts=run_ts, documents=documents, **options)
 
     return findings.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
 
 
+def triage_one(
+    batch: DataFrame,
+    batch_id: int,
+    context: Context,
+    responses: DataFrame,
+    *,
+    folder: str,
+    run_ts: Column | None = None,
+    documents: str | None = None,
+    **options,
+) -> None:
+    """Triage one micro-batch and write all its tables; doing it again leaves them as they are."""
+    # One reading of the clock for all tables of the batch.
+    now = F.timestamp_micros(F.lit(int(time.time() * 1_000_000))) if run_ts is None else run_ts
+    findings = batch if documents is None else parse_findings(unwrap(batch, documents), run_ts=now)
+    claims = read_claims(batch.sparkSession, f"{folder}/claims", before_batch=batch_id, now_seconds=F.unix_seconds(now))
+    write_result(triage_batch(findings, context, responses, run_ts=now, claims=claims, **options), folder, batch_id)
+
+
 def append_stream(rows: DataFrame, path: str, checkpoint: str):
     """A stream writer that appends each batch once, whatever is replayed."""
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, batch_id: write_batch(batch, path, batch_id))

@@ -81,7 +81,8 @@ def test_random_fixture_equals_one_lookup_per_finding(spark):
     found = [dict(finding_id=f"f{i}", access_key_id=rng.choice(["AK0", "AK1", "AK2", "AK3", None]), center_time=at(rng.randrange(-300, 300))) for i in range(60)]
     _same_as_brute(spark, found, events)
     _same_as_brute(spark, found, events, n=1)
-    _same_as_brute(spark, found, events, max_broadcast_keys=1)
+    _same_as_brute(spark, found, events, hours=0.0002)
+    _same_as_brute(spark, found, events, hours=1.00017, n=3)
 
 
 def test_one_key_with_most_events_in_one_second(spark):
@@ -98,24 +99,29 @@ def test_findings_at_one_time_share_one_timeline(spark):
     _same_as_brute(spark, found, events)
 
 
-def test_no_pair_join_and_pruned_scan(spark, tmp_path):
+def test_a_window_of_part_of_a_second_loses_nothing(spark):
+    events = [dict(event_id=f"e{i}", access_key_id="AK1", event_time=at() + dt.timedelta(milliseconds=100 * i)) for i in range(-20, 21)]
+    _same_as_brute(spark, [dict(finding_id="a", access_key_id="AK1", center_time=at())], events, hours=0.0002, n=50)
+
+
+def test_no_pair_join_and_wide_fields_move_late(spark, tmp_path):
     trail(spark, *[dict(event_id=f"e{i}", event_time=at(i)) for i in range(20)]).write.parquet(str(tmp_path / "trail"))
-    stored = spark.read.parquet(str(tmp_path / "trail"))
-    found = findings(spark, dict(finding_id="a"))
-    pruned = relevant_trail(_windows(found, 2), stored, 2)
-    plan = plan_text(pruned)
-    assert "GreaterThanOrEqual(event_time" in plan and "LessThanOrEqual(event_time" in plan
-    whole = plan_text(with_timeline(found, stored))
-    assert "NestedLoop" not in whole and "Cartesian" not in whole
+    plan = plan_text(with_timeline(findings(spark, dict(finding_id="a")), spark.read.parquet(str(tmp_path / "trail"))))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    # One exchange to meet the windows that take them, one with each window's list.
+    moved = [part for part in plan.split("\n\n") if ") Exchange" in part and "request_parameters" in part]
+    assert len(moved) <= 1
 
 
 def test_days_outside_all_windows_are_not_read(spark, tmp_path):
-    rows = trail(spark, *[dict(event_id=f"e{i}", event_time=at(1440 * i)) for i in range(-9, 10)])
+    rows = trail(spark, *[dict(event_id=f"e{i}", event_time=at(1440 * i)) for i in range(-9, 40)])
     rows.withColumn("dt", F.to_date("event_time")).write.partitionBy("dt").parquet(str(tmp_path / "trail"))
     stored = spark.read.parquet(str(tmp_path / "trail"))
-    pruned = relevant_trail(_windows(findings(spark, dict(finding_id="a")), 2), stored, 2)
-    assert "PartitionFilters: [isnotnull(dt" in plan_text(pruned)
-    assert [r.event_id for r in pruned.collect()] == ["e0"]
+    # A stray finding does not add the days between.
+    found = findings(spark, dict(finding_id="a"), dict(finding_id="b", center_time=at(1440 * 30)))
+    pruned = relevant_trail(_windows(found, 2), stored, 2)
+    assert "dynamicpruning" in plan_text(pruned)
+    assert sorted(r.event_id for r in pruned.collect()) == ["e0", "e30"]
 
 
 def test_the_last_ids_of_equal_times_are_taken(spark):
