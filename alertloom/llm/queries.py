@@ -20,7 +20,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     secrets.scan_new(docs, ledger)
     found = F.col("found")
     kinds = [rule.kind for rule in secrets.RULES]
-    return secrets.with_findings(docs.select("doc_id", "text"), ledger).select(
+    return secrets.with_findings(docs, ledger, carry=("doc_id",)).select(
         "row.doc_id",
         *[secrets.count_of(found, kind).alias(f"n_{kind}") for kind in kinds],
         F.sha2(secrets.listed(found, kinds), 256).alias("base_sha256"),

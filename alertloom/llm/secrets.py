@@ -132,11 +132,11 @@ def scan_new(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES, key
     unseen = written_once(wanted.join(ledger.scanned, ["blob", "kind", "version"], "left_anti"), "unseen-pairs")
     todo = unseen.groupBy("blob", "path").agg(F.collect_set("kind").alias("kinds"))
     mine = F.col("p.blob").eqNullSafe(F.col("u.blob")) & F.col("p.path").eqNullSafe(F.col("u.path"))
-    # Of the new blobs only those in which an asked rule can match go on. The condition reads both sides,
-    # so it is not moved in front of the join, where it would look at texts that are known.
+    # Of the new blobs only those in which an asked rule can match go on. As a choice by what is asked
+    # this is not moved in front of the join, where it would look at texts that are known.
     hit = F.lit(False)
     for rule in rules:
-        hit = hit | (F.array_contains("kinds", rule.kind) & _can_match(rule, F.col("text")))
+        hit = hit | F.when(F.array_contains("kinds", rule.kind), _can_match(rule, F.col("text"))).otherwise(F.lit(False))
     texts = paths.alias("p").join(todo.alias("u"), mine).where(hit).select("p.blob", "text", "kinds")
     texts = written_once(texts.dropDuplicates(["blob"]), "unseen-blobs")
     found = None
@@ -163,13 +163,16 @@ def by_blob(ledger: Ledger, rules: Sequence[Rule] = RULES) -> DataFrame:
     return ledger.found.where(current).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("found"))
 
 
-def with_findings(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """(row, found): each row of docs as a struct, every path of a blob, and its findings, empty where there are none.
+def with_findings(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES, carry: Sequence[str] | None = None) -> DataFrame:
+    """(row, found): each row of docs as a struct of the carried columns, by default all, and its findings or an empty list.
+
+    Every path of a blob has the blob's findings. Texts are moved only if they are carried.
 
     The findings are a table of their own, so that the join splits a blob with very many paths.
     """
     findings = written_once(by_blob(ledger, rules), "findings-by-blob")
-    named = docs.select(F.struct("*").alias("row"), blob_of(text_of()).alias("blob"))
+    row = F.struct("*") if carry is None else F.struct(*carry)
+    named = docs.select(row.alias("row"), blob_of(text_of()).alias("blob"))
     none = F.array().cast(findings.schema["found"].dataType)
     return named.join(findings, "blob", "left").select("row", F.coalesce("found", none).alias("found"))
 
