@@ -145,4 +145,5 @@ def mixed(docs: DataFrame, targets: Targets, domain: Column | None = None) -> Da
     same = F.col("id_of").eqNullSafe(F.col("doc_id"))
     for level in LEVELS:
         same = same & (F.col(f"{level}_of") == F.col(level))
-    return rows.join(taken, same).select("row.*")
+    # What is taken grows with the documents, so it is not sent to all tasks.
+    return rows.join(taken.hint("merge"), same).select("row.*")

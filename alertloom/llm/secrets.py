@@ -174,7 +174,8 @@ def with_findings(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES
     row = F.struct("*") if carry is None else F.struct(*carry)
     named = docs.select(row.alias("row"), blob_of(text_of()).alias("blob"))
     none = F.array().cast(findings.schema["found"].dataType)
-    return named.join(findings, "blob", "left").select("row", F.coalesce("found", none).alias("found"))
+    # Findings grow with the texts, so at no size is their table sent to all tasks.
+    return named.join(findings.hint("merge"), "blob", "left").select("row", F.coalesce("found", none).alias("found"))
 
 
 def without_secrets(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES) -> DataFrame:

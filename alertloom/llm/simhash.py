@@ -201,7 +201,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     found = components_of(docs, key)
     kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key")).distinct()
-    return docs.alias("d").join(kept.alias("k"), F.col(f"d.{key}").eqNullSafe(F.col("k.kept_key")), "left_semi")
+    # What is kept grows with the documents, so it is not sent to all tasks.
+    return docs.alias("d").join(kept.hint("merge").alias("k"), F.col(f"d.{key}").eqNullSafe(F.col("k.kept_key")), "left_semi")
 
 
 def as_hex(fingerprint_: str = "fingerprint"):
