@@ -131,7 +131,7 @@ def _forest(n: int, links: np.ndarray) -> list[int]:
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = [], []
+        left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         members, own = batch.column("members"), batch.column("owns")
         for k, bucket in enumerate(batch.column("bucket").to_pylist()):
             prints = members[k].values.to_numpy().view(np.uint64)
