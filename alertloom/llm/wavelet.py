@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.durable import new_folder
-from .pretokens import WordCache, blocks, row_sums, splitter
+from .pretokens import BLOCK_CHARS, WordCache, blocks, row_sums, splitter
 from .tables import text_of
 
 END_ID = 2
@@ -157,7 +157,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for rows, texts in blocks(batch.column("text")):
+            for rows, texts in blocks(batch.column("text"), min(BLOCK_CHARS, 2 * shard_tokens)):
                 words = split.split(texts)
                 found, lengths = cache.encode(words)
                 per_text = row_sums(words.rows, lengths, len(texts))
