@@ -144,22 +144,21 @@ def near_duplicates(
         return alone.select(F.col("key").alias(key), "n_links", "component_id", F.lit(True).alias("kept"))
     width = sizes[0]["width"]
     fits = F.coalesce(usable("vector") & (F.size("vector") == width), F.lit(False))
-    # 0.0 and -0.0 are one number, so equal vectors are one group; the hash only names it.
+    # 0.0 and -0.0 are one number, so equal vectors are one group. Its number is unique and stands once it is written.
     plain = F.transform("vector", lambda v: v + F.lit(0.0))
     distinct = rows.where(fits).groupBy(plain.alias("vector")).agg(F.count("*").alias("n"), F.min("key").alias("first"))
-    numbered = written_once(distinct.withColumn("node", F.xxhash64("vector")), "distinct-vectors")
-    if numbered.groupBy("node").count().where("count > 1").isEmpty() is False:
-        raise ValueError("two different vectors have one hash")
+    distinct = distinct.withColumn("hash", F.xxhash64("vector")).withColumn("node", F.monotonically_increasing_id())
+    numbered = written_once(distinct, "distinct-vectors")
     total = numbered.count()
-    sample = numbered.orderBy("node").limit(sample_rows).select("vector").toArrow()
+    sample = numbered.orderBy("hash", "vector").limit(sample_rows).select("vector").toArrow()
     unit = _unit(_matrix(sample.column("vector").combine_chunks(), width))
     centres = centres_of(unit, int(np.clip(total // vectors_per_cell, 1, MAX_CELLS)))
 
-    placed = numbered.mapInArrow(_cells(centres, threshold), "cell int, home boolean, node long, n long, vector array<double>")
+    placed = numbered.select("node", "n", "vector").mapInArrow(_cells(centres, threshold), "cell int, home boolean, node long, n long, vector array<double>")
     placed = written_once(placed, "cell-vectors")
     # As many blocks as a cell needs; the table has a row per cell, which is bounded.
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    cut = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.col("node"), F.col("blocks")).cast("int"))
+    cut = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     kept = ["cell", "one", "two", "side", "node", "n", "vector"]
     left = cut.where("home").withColumn("one", F.col("block")).withColumn("two", F.explode(every)).withColumn("side", F.lit(0)).select(*kept)
@@ -169,11 +168,12 @@ def near_duplicates(
     counts = found.where("is_count").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("NOT is_count").select(F.col("node").alias("a"), F.col("other").alias("b")))
     joined = joined.withColumnRenamed("component", "class")
-    named = numbered.drop("vector").join(counts, "node", "left").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    named = numbered.join(counts, "node", "left").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
     smallest = named.groupBy("class").agg(F.min("first").alias("component_id"))
-    classed = written_once(named.join(smallest, "class").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), "vector-classes")
-    hashed = rows.select("key", F.when(fits, F.xxhash64(plain)).alias("node"))
-    out = hashed.join(classed, "node", "left").select(
+    classed = written_once(named.join(smallest, "class").select("hash", "vector", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), "vector-classes")
+    # The hash is a short key in front of the vector; a row without a usable vector has neither.
+    hashed = rows.select("key", F.when(fits, plain).alias("vector")).withColumn("hash", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
+    out = hashed.join(classed, ["hash", "vector"], "left").select(
         F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("links").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id")
     )
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
