@@ -44,7 +44,7 @@ BARRIERS = frozenset("ul ol table article section div body html td th".split())
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notices newsletter subscribe subscription paywall sidebar menu nav navbar navigation breadcrumb breadcrumbs footer topbar toolbar comment "
-    "comments commentlist disqus respond reply replies share sharing social related recommended popup modal overlay login signup search widget "
+    "comments commentlist disqus respond reply replies share sharing social related recommended popup modal overlay login signup search "
     "pagination pager skip".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
