@@ -36,8 +36,9 @@ from .tables import text_of
 SIZE = 200
 # Batches that a whole table is indexed in.
 BATCHES = 2
-# Contexts of a gram that are compared in one row; more are compared in a grouping of their strings.
-GROUP_CONTEXTS = 1_024
+# Contexts of a gram that are compared in one row, some 3 MB of bytes; more are compared in a grouping of
+# their strings. It is also what a task compares at a time.
+GROUP_CONTEXTS = 8_192
 _TEXTS = 256
 
 NAME = ("b1", "b2")
@@ -192,8 +193,13 @@ def _compared(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            sizes = np.cumsum(np.diff(batch.column("members").offsets.to_numpy()))
+            at = 0
+            while at < batch.num_rows:
+                done = sizes[at - 1] if at else 0
+                n = max(1, int(np.searchsorted(sizes[at:] - done, GROUP_CONTEXTS, "right")))
+                part = batch.slice(at, n)
+                at += n
                 lists = part.column("members")
                 members = lists.flatten()
                 grams = np.repeat(part.column("gram").to_numpy(), np.diff(lists.offsets.to_numpy()))
