@@ -28,7 +28,7 @@ def test_envelopes_and_both_casings(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(json.dumps(document))
     raw = read_findings(spark, str(tmp_path))
     got = {r.finding_id: r for r in parse_findings(raw, run_ts=now()).collect()}
-    assert set(got) == {"p1", "c1", "p2", None, "low"}
+    assert set(got) == {"p1", "c1", "p2", "p3", None, "low"}
     p1, c1 = got["p1"], got["c1"]
     assert (p1.severity, p1.access_key_id, p1.principal_id, p1.user_type, p1.user_name, p1.instance_id, p1.detector_id) == (8.0, "AK", "P", "Role", "u", "i-1", "d")
     assert p1.center_time.isoformat() == "2026-06-18T14:20:00"
