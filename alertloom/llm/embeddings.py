@@ -30,7 +30,7 @@ VECTORS_PER_CELL = 2_000
 MAX_CELLS = 1_024
 ROUNDS = 8
 # Vectors of one side of a product.
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 8_192
 # Added to the border distance, for what rounding may do to it.
 SLACK = 1e-6
 
