@@ -60,7 +60,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.components_of(documents(spark, sf_dir))
+    found = simhash.print_components(documents(spark, sf_dir))
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 

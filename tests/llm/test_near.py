@@ -173,3 +173,42 @@ def test_no_vectors_and_only_bad_ones(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     assert [tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame([(4, [0.0])], schema)).collect()] == [(4, 0, 4, True)]
+
+
+# ---- similar texts
+
+
+def _near_copies(seed, groups=14):
+    """Texts and copies in which single words are changed, so that similarities spread around 0.8 to 0.95."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [None, "", "a b", "A  b", " ".join(word() for _ in range(60))]
+    for _ in range(groups):
+        base = [word() for _ in range(rng.choice([50, 120, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(5):
+            copy = list(base)
+            for k in rng.sample(range(len(copy)), max(1, len(copy) * rng.randint(1, 3) // 100)):
+                copy[k] = word()
+            texts.append(" ".join(copy))
+    return texts
+
+
+def _five(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, min(len(words), 1)))}
+
+
+@pytest.mark.parametrize("limit", [512, 2])
+def test_similar_texts_equal_brute_force(spark, limit):
+    texts = _near_copies(limit)
+    sets = [_five(t) for t in texts]
+    similar = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if similar(sets[i], sets[j])]
+    shares = [len(sets[i] & sets[j]) / max(len(sets[i] | sets[j]), 1) for i, j in links]
+    assert sum(0.8 <= s < 0.95 for s in shares) > 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = _roots(range(len(texts)), links)
+    assert {r.doc_id: r.component_id for r in simhash.components_of(docs, limit=limit).collect()} == want
+    if limit == 512:
+        assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want.values()))
