@@ -35,6 +35,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
     "li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
+# What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 # Containers whose subtrees are counted.
 CONTAINERS = frozenset("aside blockquote center details div dl figure footer form header menu nav ol section table ul".split())
 TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p pre li td th dd dt".split())
@@ -49,7 +51,7 @@ FURNITURE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
-_TAG = re.compile(r"""<(?:!--(?:.*?-->|>|->)|!--|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
+_TAG = re.compile(r"""<(?:!--(?:.*?-->|>|->)|!--|[!?][^>]*>|/(?![a-zA-Z])[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD_ENDS = re.compile(r"[\s_\-]+")
@@ -109,6 +111,8 @@ def parse(page: str) -> Element:
         if found.group(1):
             _close(stack, name)
             continue
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            stack.pop()  # its end tag may be left out
         _open_ends(stack, name)
         element = Element(name, _is_furniture(name, found.group(3)))
         stack[-1].children.append(element)

@@ -147,6 +147,17 @@ def test_broken_pages(page, want):
     assert [b for part in html_text._main_parts(parse(page)) for b in blocks_of(part)] == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>I </3 this > b</p><p>c</p>", ["I b", "c"]), ("<p>a</>b</p>", ["ab"]), ("<p>a</ p>b</p>", ["ab"]), ("<p>a</3 b", ["a"]),
+        ("<html><head><title>t</title><meta charset=x><body><p>a</p></body>", ["a"]), ("<head><link rel=x><p>a</p><p>b", ["a", "b"]),
+    ],
+)
+def test_bogus_comments_and_open_heads_end(page, want):
+    assert [b for part in html_text._main_parts(parse(page)) for b in blocks_of(part)] == want
+
+
 def test_equal_subtrees_have_equal_hashes():
     one, two, three = (set(subtree_hashes(parse(p)).values()) for p in ("<div><p>a  b</p></div>", "<div><p>a b</p></div>", "<div><p>a c</p></div>"))
     assert one == two and not one & three
