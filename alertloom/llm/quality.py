@@ -112,7 +112,8 @@ def _rules() -> tuple[Rule, ...]:
         Rule("symbols", True, lambda text, w: _over(n_symbols(text), MAX_SYMBOLS, F.size(w))),
         Rule("dup_lines", False, lambda text, w: _over(n_dup_lines(text), MAX_DUP_LINES, F.size(F.split(text, "\n")))),
         Rule("word_length", True, lambda text, w: ~word_chars(w).between(least * F.size(w), most * F.size(w))),
-        Rule("shouted", False, lambda text, w: _over(F.regexp_count(text, F.lit("[A-Z]")), MAX_SHOUTED, F.regexp_count(text, F.lit("[A-Za-z]")))),
+        # Of the letters of all scripts: in one without capitals a single acronym would be all there is.
+        Rule("shouted", False, lambda text, w: _over(F.regexp_count(text, F.lit(r"\p{Lu}")), MAX_SHOUTED, F.regexp_count(text, F.lit(r"\p{L}")))),
         Rule("exclaims", True, lambda text, w: _over(F.regexp_count(text, F.lit("[!?]")), MAX_STOPS, F.size(w))),
     )
 

@@ -116,6 +116,17 @@ def test_prose_is_kept_and_junk_is_not(spark):
     assert {r.doc_id for r in quality.measured(docs).where("kept").collect()} == kept
 
 
+def test_one_acronym_in_another_script_is_not_shouting(spark):
+    def lettered(letters, seed):
+        return "NATO " + " ".join("".join(letters[ord(x) - 97] for x in c) for c in _prose(seed)[:-1].split()) + "."
+
+    scripts = ["абвгдежзийклмнопрстуфхцчшщ", "αβγδεζηθικλμνξοπρστυφχψωάέ", "ابتثجحخدذرزسشصضطظعغفقكلمنه"]
+    texts = [lettered(s, k) for k, s in enumerate(scripts)] + [lettered(scripts[0], 5).upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in quality.keep(docs, quality.RULES).collect()} == {0, 1, 2}
+    assert {r.doc_id for r in quality.measured(docs, rules=quality.RULES).where("kept").collect()} == {0, 1, 2}
+
+
 def test_the_order_of_rules_changes_no_verdict(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([_prose(1), "no", _prose(2).upper(), "|| " * 90])], "doc_id long, text string")
     orders = [list(quality.RULES), list(reversed(quality.RULES)), quality.in_order(docs)]
