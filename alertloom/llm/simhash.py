@@ -275,7 +275,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _similar(part: pa.Table) -> pa.Table:
     """(a, b): a forest of the links between the nodes of side 0 and those of side 1, each proved by its Jaccard similarity.
 
-    A row whose possible partners are all joined to it needs no proof; any other is held against all at once.
+    A row whose possible partners are all joined to it needs no proof; others are held against it until they are.
     """
     part = part.combine_chunks()
     nodes = part.column("node").to_numpy()
@@ -296,17 +296,18 @@ def _similar(part: pa.Table) -> pa.Table:
         near = (100 * small >= NEAR_PERCENT * large) & (labels[many] != labels[i])
         # Prints of few shingles are too coarse to tell.
         near &= (np.bitwise_count(prints[i] ^ prints[many]) <= NEAR_BITS) | (small < NEAR_SURE)
-        asked = many[near]
-        if not len(asked):
-            continue
-        mine = flat[starts[i] : starts[i] + sizes[i]]
-        marks[mine] = True
-        common = np.array([np.count_nonzero(marks[flat[starts[j] : starts[j] + sizes[j]]]) for j in asked])
+        asked, ahead = many[near], 8
+        marks[mine := flat[starts[i] : starts[i] + sizes[i]]] = True
+        # A few at first, as one link to a large group spares the proofs of all its others.
+        while len(asked):
+            some, asked, ahead = asked[:ahead], asked[ahead:], 2 * ahead
+            common = np.array([np.count_nonzero(marks[flat[starts[j] : starts[j] + sizes[j]]]) for j in some])
+            for j in some[100 * common >= NEAR_PERCENT * (sizes[i] + sizes[some] - common)]:
+                if labels[j] != labels[i]:
+                    left.append(nodes[i]), right.append(nodes[j])
+                    labels[labels == labels[j]] = labels[i]
+            asked = asked[labels[asked] != labels[i]]
         marks[mine] = False
-        for j in asked[100 * common >= NEAR_PERCENT * (sizes[i] + sizes[asked] - common)]:
-            if labels[j] != labels[i]:
-                left.append(nodes[i]), right.append(nodes[j])
-                labels[labels == labels[j]] = labels[i]
     return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
