@@ -2,8 +2,8 @@
 
 Each page is parsed to a tree. Elements that stand for page furniture by their kind (menus, footers,
 forms, scripts) or by a word of their class or id (sidebar, cookie, comments) are dropped. Of the other
-containers the subtrees are hashed, with their text, and counted per host over its pages: a subtree on
-a large share of a host's pages is its template and is dropped too. Inside an article, headings and
+containers the subtrees are hashed, with their text, and counted per host: a subtree that stands next to
+different texts on a large share of a host's different pages is its template and is dropped too. Inside an article, headings and
 paragraphs are never taken for a template, as an article that is copied to many pages is no template.
 
 The text is that of the page's articles, or of its main part, or else of its body. Blocks are joined by
@@ -215,17 +215,54 @@ def subtree_hashes(part: Element) -> dict[int, int]:
     return hashes
 
 
+def _own_text(part: Element, hashes: dict[int, int]) -> tuple[int, dict[int, int]]:
+    """A sum of hashes over the texts of a part, and how much of it is in the subtrees of each hash; furniture counts nothing."""
+    sums: dict[int, int] = {}
+    within: dict[int, int] = {}
+    todo = [(part, False)]
+    while todo:
+        node, ready = todo.pop()
+        if not ready:
+            todo.append((node, True))
+            todo.extend((c, False) for c in node.children if not isinstance(c, str) and not c.furniture)
+            continue
+        total = 0
+        for child in node.children:
+            if not isinstance(child, str):
+                total += sums.get(id(child), 0)
+            elif words := " ".join(child.split()):
+                total += int.from_bytes(hashlib.blake2b(words.encode(), digest_size=8).digest(), "little")
+        sums[id(node)] = total
+        if id(node) in hashes:
+            within[hashes[id(node)]] = within.get(hashes[id(node)], 0) + total
+    return sums[id(part)], within
+
+
+def _rests(page: str) -> list[tuple[int | None, int]]:
+    """(subtree, hash of the page's main text without it) for each subtree, and (None, hash of the main text)."""
+    whole, inside = 0, {}
+    for part in _main_parts(parse(page)):
+        hashes = subtree_hashes(part)
+        total, within = _own_text(part, hashes)
+        whole += total
+        for subtree in set(hashes.values()):
+            inside[subtree] = inside.get(subtree, 0) + within.get(subtree, 0)
+    cut = lambda value: (value + (1 << 63)) % (1 << 64) - (1 << 63)
+    return [(None, cut(whole)), *[(subtree, cut(whole - part)) for subtree, part in inside.items()]]
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            rows, found = [], []
+            rows, found, rests = [], [], []
             for k, page in enumerate(part.column("html").to_pylist()):
-                mine = {h for p in _main_parts(parse(page or "")) for h in subtree_hashes(p).values()}
+                mine = _rests(page or "")
                 rows += [k] * len(mine)
-                found += mine
+                found += [subtree for subtree, _ in mine]
+                rests += [rest for _, rest in mine]
             kept = [part.column(c).take(pa.array(rows, pa.int64())) for c in ("page_id", "host")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.int64())], ["page_id", "host", "subtree"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.int64()), pa.array(rests, pa.int64())], ["page_id", "host", "subtree", "rest"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,11 +286,12 @@ def main_texts(pages: DataFrame, template_pages: int = TEMPLATE_PAGES, template_
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html)."""
     kind = pages.schema["page_id"].dataType
     named = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    schema = T.StructType([T.StructField("page_id", kind), T.StructField("host", T.StringType()), T.StructField("subtree", T.LongType())])
-    # A page counts a subtree once, so counting rows counts pages; counts combine before they are moved.
+    schema = T.StructType([T.StructField("page_id", kind), T.StructField("host", T.StringType()), T.StructField("subtree", T.LongType()), T.StructField("rest", T.LongType())])
+    # Counted are the different texts that a subtree stands next to, of the different texts of the host, so copies of a page count once.
     seen = written_once(named.select("page_id", "host", "html").mapInArrow(_subtrees, schema), "page-subtrees")
-    of_host = named.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= template_pages)
+    distinct = seen.groupBy("host", "subtree", "rest").agg(F.lit(1).alias("one"))
+    of_host = distinct.where("subtree IS NULL").groupBy("host").agg(F.count("*").alias("pages"))
+    counts = distinct.where("subtree IS NOT NULL").groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= template_pages)
     often = counts.join(of_host, "host").where(100 * F.col("n") >= template_percent * F.col("pages")).select("host", "subtree")
     often = written_once(often, "template-subtrees")
     hits = seen.join(often, ["host", "subtree"]).groupBy("page_id").agg(F.collect_set("subtree").alias("template"))

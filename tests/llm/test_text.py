@@ -189,6 +189,16 @@ def test_templates_of_a_host_are_removed_and_articles_are_not(spark):
     assert html_text.main_texts(rows.limit(0)).count() == 0
 
 
+def test_copied_pages_stay_whole(spark):
+    strip = '<div class="k7"><p>Read all our guides</p></div>'
+    pages = [(k, f"https://a.example/{k}", "<article><div class='body'><p>one</p></div><ul><li>two</ul></article>") for k in range(6)]
+    pages += [(100 + k, "https://b.example/", "<body><h1>T</h1><p>text</p></body>") for k in range(6)]
+    pages += [(200 + k, f"https://b.example/{k}", f"<body>{strip}<p>own {k}</p></body>") for k in range(6)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_texts(rows).collect()}
+    assert got == {k: "one\n\ntwo" for k in range(6)} | {100 + k: "T\n\ntext" for k in range(6)} | {200 + k: f"own {k}" for k in range(6)}
+
+
 # ---- mixing
 
 
