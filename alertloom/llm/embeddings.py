@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.durable import written_once
 from .components import components
-from .simhash import _forest
 
 THRESHOLD = 0.95
 # The sample for the centres, their number for so many vectors, and rounds of fitting.
@@ -103,18 +102,21 @@ def _products(threshold: float):
             a, b = (_matrix(t.column("vector").combine_chunks(), width) for t in (one, two))
             ia, ib = one.column("node").to_numpy(), two.column("node").to_numpy()
             many = two.column("n").to_numpy().astype(np.float64)
-            found = []
+            # Each strip is folded into the labels at once, so no more than one strip of links is held.
+            names, flat = np.unique(np.concatenate([ia, ib]), return_inverse=True)
+            fa, fb, labels, pairs = flat[: len(ia)], flat[len(ia) :], np.arange(len(names)), []
             for at in range(0, len(a), 512):
                 linked = (a[at : at + 512] @ b.T >= threshold) & (ia[at : at + 512, None] != ib[None, :])
                 nodes.append(ia[at : at + 512])
                 counts.append((linked @ many).astype(np.int64))
                 is_count.append(np.ones(len(nodes[-1]), bool)), others.append(nodes[-1])
-                i, j = np.nonzero(linked)
-                found.append(np.stack([ia[at + i], ib[j]], axis=1))
-            pairs = np.concatenate(found)
-            if len(pairs):
-                names, flat = np.unique(pairs, return_inverse=True)
-                pairs = pairs[_forest(len(names), flat.reshape(-1, 2))]
+                for k in np.flatnonzero(linked.any(axis=1)):
+                    mine, near = fa[at + k], fb[linked[k]]
+                    while len(near := near[labels[near] != labels[mine]]):
+                        pairs.append((ia[at + k], names[near[0]]))
+                        labels[labels == labels[near[0]]] = labels[mine]
+            if pairs:
+                pairs = np.array(pairs, np.int64)
                 nodes.append(pairs[:, 0]), others.append(pairs[:, 1]), counts.append(np.zeros(len(pairs), np.int64)), is_count.append(np.zeros(len(pairs), bool))
         columns = [np.concatenate(c) for c in (nodes, counts, others, is_count)]
         return pa.table([pa.array(c) for c in columns], ["node", "links", "other", "is_count"])

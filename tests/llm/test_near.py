@@ -212,3 +212,20 @@ def test_similar_texts_equal_brute_force(spark, limit):
     assert {r.doc_id: r.component_id for r in simhash.components_of(docs, limit=limit).collect()} == want
     if limit == 512:
         assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want.values()))
+
+
+def test_a_full_block_of_copies_holds_one_strip_of_links():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 2_500
+    vectors = np.ones((n, 2)) / 2**0.5
+    one = pa.table({"side": np.repeat([0, 1], n), "node": np.tile(np.arange(n), 2), "n": np.ones(2 * n, np.int64), "vector": pa.array(np.tile(vectors, (2, 1)).tolist())})
+    tracemalloc.start()
+    rows = embeddings._products(0.95)(one).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    links = rows[~rows.is_count]
+    assert set(rows[rows.is_count].links) == {n - 1} and len(links) == n - 1
+    assert set(_roots(range(n), zip(links.node, links.other)).values()) == {0} and peak < 60e6
