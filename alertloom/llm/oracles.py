@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality as q
+from . import quality as q, vector_codes as v
 from .queries import TARGETS
 from .secrets import RULES
 
@@ -102,4 +102,43 @@ def _mixing(targets) -> str:
         UNION ALL SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + 1 AS BIGINT) FROM r WHERE rest > 0 AND upto <= rest"""
 
 
-SQL: dict[str, str] = {"op8_mixing": _mixing(TARGETS), "op1_secret_scan": _secrets(), "op3_quality_rules": _quality()}
+def _vector_codes() -> str:
+    """Every part against every entry, for each round and once more; all vectors are taken to have one length."""
+
+    def assigned(name: str, book: str) -> str:
+        square = "list_sum(list_transform(list_zip(x.part, b.entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"""
+        {name} AS (SELECT rid, p, any_value(x.part) AS part, min({{'d': CAST({square} AS BIGINT), 'e': b.e}}) AS best
+                   FROM parts x JOIN {book} b USING (p) GROUP BY rid, p)"""
+
+    rounds = []
+    for k in range(v.ROUNDS):
+        rounds.append(assigned(f"near{k}", f"book{k}"))
+        rounds.append(
+            f"""
+        sum{k} AS (SELECT p, e, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+                       SELECT p, best.e AS e, unnest(part) AS x, unnest(range(len(part))) AS pos FROM near{k}) GROUP BY p, e, pos),
+        mean{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS entry FROM sum{k} GROUP BY p, e),
+        book{k + 1} AS (SELECT b.p, b.e, coalesce(m.entry, b.entry) AS entry FROM book{k} b LEFT JOIN mean{k} m ON b.p = m.p AND b.e = m.e)"""
+        )
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rid,
+                   list_transform(embedding, lambda x: CAST(floor({v.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS (SELECT rid, p, ints[p * (len(ints) // {v.PARTS}) + 1 : (p + 1) * (len(ints) // {v.PARTS})] AS part
+                  FROM (SELECT rid, ints, unnest(range({v.PARTS})) AS p FROM kept)),
+        book0 AS (SELECT p, rid - 1 AS e, part AS entry FROM parts WHERE rid <= {v.ENTRIES}),{",".join(rounds)},{assigned("last", f"book{v.ROUNDS}")},
+        shown AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, pos)) AS digest FROM (
+                      SELECT p, e, unnest(entry) AS x, unnest(range(len(entry))) AS pos FROM book{v.ROUNDS})),
+        coded AS (SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM last GROUP BY rid)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+        FROM kept JOIN coded USING (rid), shown"""
+
+
+SQL: dict[str, str] = {
+    "op1_secret_scan": _secrets(),
+    "op3_quality_rules": _quality(),
+    "op8_mixing": _mixing(TARGETS),
+    "op13_vector_codes": _vector_codes(),
+}

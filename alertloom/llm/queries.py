@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, html_text, mixing, quality, repeats, secrets, simhash, token_counts, wavelet
+from ..operators.durable import written_once
+from . import alignment, bpe, embeddings, html_text, mixing, quality, quality_scores, repeats, secrets, simhash, token_counts, vector_codes, wavelet
 from .tables import documents, table
 
 TOKEN_LIMIT = 2_048
@@ -70,6 +71,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = written_once(alignment.aligned(documents(spark, sf_dir), *paths, digest=True), "aligned-texts")
+    scored = alignment.scored(found, alignment.link_counts(found, paths[1]), *paths)
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, _ = vector_codes.encoded(table(spark, sf_dir, "embeddings"), carry=("label",))
+    coded = vector_codes.summed_by(written_once(coded, "vector-codes"), "label", "error", "label_error")
+    return coded.select("vec_id", vector_codes.as_hex().alias("code"), "error", "label_error", F.col("codebooks").alias("codebooks_sha256"))
+
+
 REGISTRY = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_counts": op2_token_counts,
@@ -81,4 +99,7 @@ REGISTRY = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
+    "op11_quality_scores": op11_quality_scores,
+    "op12_alignment": op12_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
