@@ -38,6 +38,8 @@ class Hashes:
     """Hashes of any stretch of a byte block, in constant time each."""
 
     def __init__(self, data: np.ndarray):
+        if len(data) > 2 * BLOCK:
+            raise ValueError(f"{len(data)} bytes are hashed at once, the tables reach to {2 * BLOCK}")
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_Tables.letters[data] * _Tables.powers[: len(data)], out=self.sums[1:])
 

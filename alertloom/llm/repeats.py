@@ -26,19 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.durable import written_once
-from .anchors import Hashes, Runs, mix, pieces, runs
+from .anchors import BLOCK, Hashes, Runs, mix, pieces, runs
 from .tables import text_of
 
 SIZE = 200
 # Batches that a whole table is indexed in.
 BATCHES = 2
 # Contexts of a gram that are compared in one row, some 3 MB of bytes; more are compared in a grouping of
-# their strings. It is also what a task compares at a time.
+# their strings.
 GROUP_CONTEXTS = 8_192
+# Bytes of contexts that a task compares at a time, whole grams always; it hashes a block of them at once.
+GROUP_BYTES = 4 << 20
 _TEXTS = 256
 
 NAME = ("b1", "b2")
@@ -166,18 +169,33 @@ _CUT = pa.schema(
 CUT = "gram long, contexts long, whole boolean, place long, b1 long, b2 long, data binary"
 
 
+def _by_bytes(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Neighbouring items of about so many bytes in all, at least one at a time."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        done = ends[at - 1] if at else 0
+        end = at + max(1, int(np.searchsorted(ends[at:] - done, most, "right")))
+        yield slice(at, end)
+        at = end
+
+
 def _strings(datas: list[bytes], places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, offset from the run's first, hash) of every string of the rows' runs."""
-    data = np.frombuffer(b"".join(datas), np.uint8)
-    lengths = np.fromiter(map(len, datas), np.int64, len(datas))
-    heads = np.cumsum(lengths) - lengths
-    counts = lengths - size + 1
-    row = np.repeat(np.arange(len(datas)), counts)
-    offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = heads[row] + offset
-    # Equal strings of one gram have it at one place in them; the place is part of what is compared.
-    at = (places[row] & 1023) - offset
-    return row, offset, Hashes(data).of(start, start + size) ^ mix(at.astype(np.uint64) + np.uint64(7))
+    rows, offsets, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    every = np.fromiter(map(len, datas), np.int64, len(datas))
+    for some in _by_bytes(every, BLOCK):
+        data = np.frombuffer(b"".join(datas[some]), np.uint8)
+        lengths = every[some]
+        heads = np.cumsum(lengths) - lengths
+        counts = lengths - size + 1
+        row = np.repeat(np.arange(len(lengths)), counts)
+        offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = heads[row] + offset
+        # Equal strings of one gram have it at one place in them; the place is part of what is compared.
+        at = (places[some][row] & 1023) - offset
+        rows.append(row + some.start), offsets.append(offset)
+        found.append(Hashes(data).of(start, start + size) ^ mix(at.astype(np.uint64) + np.uint64(7)))
+    return np.concatenate(rows), np.concatenate(offsets), np.concatenate(found)
 
 
 def _spans(row: np.ndarray, offset: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,13 +211,11 @@ def _compared(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum(np.diff(batch.column("members").offsets.to_numpy()))
-            at = 0
-            while at < batch.num_rows:
-                done = sizes[at - 1] if at else 0
-                n = max(1, int(np.searchsorted(sizes[at:] - done, GROUP_CONTEXTS, "right")))
-                part = batch.slice(at, n)
-                at += n
+            held = batch.column("members")
+            ends = np.append(0, np.cumsum(pc.binary_length(held.flatten().field("data")).to_numpy().astype(np.int64)))
+            of_gram = ends[np.cumsum(np.diff(held.offsets.to_numpy()))]
+            for some in _by_bytes(np.diff(of_gram, prepend=0), GROUP_BYTES):
+                part = batch.slice(some.start, some.stop - some.start)
                 lists = part.column("members")
                 members = lists.flatten()
                 grams = np.repeat(part.column("gram").to_numpy(), np.diff(lists.offsets.to_numpy()))
@@ -222,8 +238,8 @@ def _listed(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4_096):
-                part = batch.slice(at, 4_096)
+            for some in _by_bytes(pc.binary_length(batch.column("data")).to_numpy().astype(np.int64), BLOCK):
+                part = batch.slice(some.start, some.stop - some.start)
                 place = part.column("place").to_numpy()
                 row, offset, hashes = _strings(part.column("data").to_pylist(), place, size)
                 kept = part.select(["gram", "whole", *NAME]).take(pa.array(row))

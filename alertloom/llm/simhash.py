@@ -9,11 +9,6 @@ differ there, one has the 0, so they meet. In a bucket the rest of the chain is
 full distance, and instead of all pairs a spanning forest of the bucket's links is given out.
 
 Equal fingerprints are one before this starts, so groups of copies, however large, cost a row each.
-
-`keep_one` has a contract of its own: five-word shingles and a Jaccard similarity of 0.8 or more. There 64-bit
-prints differ in some 10 bits and often in 15, where no ring of segments tells pairs apart. So bands of
-least hashes propose, prints within a wide budget of bits sift, and the exact similarity of the shingle
-sets decides.
 """
 
 from __future__ import annotations
@@ -41,18 +36,6 @@ CHAIN_BUDGETS = tuple(k * MAX_BITS // SEGMENTS for k in range(1, SEGMENTS + 1))
 # Fingerprints that are compared in one task at a time; larger buckets are cut into pairs of parts.
 BUCKET_ROWS = 4_096
 
-# Of keep_one: shingle size and least similarity in percent.
-NEAR_WORDS = 5
-NEAR_PERCENT = 80
-# Two sets of similarity s share a band with 1 - (1 - s ** 5) ** 20: 0.9996 at 0.8, 0.9999 at 0.82.
-BANDS = 20
-BAND_ROWS = 5
-# At 0.8 prints differ in 9.7 bits, deviation 2.9, so this is five deviations on; sets of fewer shingles are not sifted.
-NEAR_BITS = 24
-NEAR_SURE = 64
-# Texts of one side whose shingles a task holds.
-PART_ROWS = 512
-
 
 def fingerprint(text: str, size: int = SHINGLE_WORDS) -> int:
     """64 bits, each set if it is in over half the hashes of the text's shingles; 0 without words."""
@@ -211,147 +194,19 @@ def print_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return prints.join(classes(prints, key), "fingerprint").select(key, "fingerprint", F.col("component").alias("component_id"))
 
 
-# ---- one of each group of similar texts
-
-
-def shingles(text: str, size: int = NEAR_WORDS) -> np.ndarray:
-    """The sorted distinct hashes of the text's shingles; a text of fewer words is one shingle."""
-    words = text.encode().lower().split()
-    digest = xxhash.xxh64_intdigest
-    joined = (b" ".join(words[k : k + size]) for k in range(max(len(words) - size + 1, 1 if words else 0)))
-    return np.unique(np.fromiter((digest(s, SEED) for s in joined), np.uint64))
-
-
-_MIX = np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64)
-_FACTORS, _TERMS = _MIX[0] * np.uint64(2) + np.uint64(1), _MIX[1]
-
-
-def _bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of least mixed hashes; sets are in a bucket with the probability of equal minima."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1_024):
-        mixed = hashes[at : at + 1_024, None] * _FACTORS + _TERMS
-        np.minimum(least, mixed.min(axis=0), out=least)
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64)
-
-
-def _node(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
-
-
-def _signed(values) -> np.ndarray:
-    return np.array(values, np.uint64).view(np.int64)
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, bands): equal sets of shingles are one node; the empty set has no bands."""
-    for batch in batches:
-        nodes, bands, ends = [], [np.zeros(0, np.uint64)], [0]
-        for text in batch.column("text").to_pylist():
-            hashes = shingles(text)
-            nodes.append(_node(hashes))
-            bands.append(_bands(hashes) if len(hashes) else np.zeros(0, np.uint64))
-            ends.append(ends[-1] + len(bands[-1]))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(_signed(nodes)), lists], ["key", "node", "bands"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, print, hashes) of texts."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            texts = batch.column("text").slice(at, 500).to_pylist()
-            found = [shingles(text) for text in texts]
-            ends = np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            prints = [fingerprint(text, NEAR_WORDS) for text in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed([_node(h) for h in found])), pa.array(_signed(prints)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                ["node", "print", "hashes"],
-            )
-
-
-def _similar(part: pa.Table) -> pa.Table:
-    """(a, b): a forest of the links between the nodes of side 0 and those of side 1, each proved by its Jaccard similarity.
-
-    A row whose possible partners are all joined to it needs no proof; others are held against it until they are.
-    """
-    part = part.combine_chunks()
-    nodes = part.column("node").to_numpy()
-    prints = part.column("print").to_numpy().view(np.uint64)
-    side = part.column("side").to_numpy()
-    lists = part.column("hashes").chunk(0) if part.num_rows else None
-    sizes = np.diff(lists.offsets.to_numpy())
-    ends = lists.offsets.to_numpy()
-    names, flat = np.unique(lists.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)
-    starts = ends[:-1] - ends[0]
-    rows = np.flatnonzero(side == 0)
-    many = np.flatnonzero(side == 1) if (side == 1).any() else rows
-    marks = np.zeros(len(names), bool)
-    labels = np.arange(len(nodes))
-    left, right = [], []
-    for i in rows:
-        small, large = np.minimum(sizes[i], sizes[many]), np.maximum(sizes[i], sizes[many])
-        near = (100 * small >= NEAR_PERCENT * large) & (labels[many] != labels[i])
-        # Prints of few shingles are too coarse to tell.
-        near &= (np.bitwise_count(prints[i] ^ prints[many]) <= NEAR_BITS) | (small < NEAR_SURE)
-        asked, ahead = many[near], 8
-        marks[mine := flat[starts[i] : starts[i] + sizes[i]]] = True
-        # A few at first, as one link to a large group spares the proofs of all its others.
-        while len(asked):
-            some, asked, ahead = asked[:ahead], asked[ahead:], 2 * ahead
-            common = np.array([np.count_nonzero(marks[flat[starts[j] : starts[j] + sizes[j]]]) for j in some])
-            for j in some[100 * common >= NEAR_PERCENT * (sizes[i] + sizes[some] - common)]:
-                if labels[j] != labels[i]:
-                    left.append(nodes[i]), right.append(nodes[j])
-                    labels[labels == labels[j]] = labels[i]
-            asked = asked[labels[asked] != labels[i]]
-        marks[mine] = False
-    return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-
-def components_of(docs: DataFrame, key: str = "doc_id", limit: int = PART_ROWS) -> DataFrame:
-    """(key, component_id) for every row of docs: the smallest key among the texts that links can reach.
-
-    Two texts are linked if the Jaccard similarity of their sets of shingles is at least NEAR_PERCENT.
-    """
-    texts = docs.select(F.col(key).alias("key"), text_of().alias("text"))
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    sketches = written_once(texts.mapInArrow(_sketches, schema), "text-sketches")
-    nodes = written_once(sketches.groupBy("node").agg(F.min("key").alias("first"), F.first("bands").alias("bands")), "text-nodes")
-    # A bucket is a star on its smallest node; what stars join is possible, and is proved below.
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    stars = entries.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("bucket", "a")
-    possible = components(entries.join(stars, "bucket").where("node <> a").select("a", F.col("node").alias("b")))
-    possible = written_once(possible.withColumnRenamed("component", "cluster"), "possible-groups")
-    asked = nodes.join(possible, "node").select(F.col("first").alias("asked")).distinct()
-    held = texts.join(asked.hint("merge"), F.col("key").eqNullSafe(F.col("asked")), "left_semi").select("text").mapInArrow(_sets, "node long, print long, hashes array<long>")
-    sets = held.join(possible, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("cluster", "print", "hashes")])
-    sets = written_once(sets, "shingle-sets")
-    # A cluster over the limit is cut into parts by a hash, and every two parts meet, so no task holds all of it.
-    parts = possible.groupBy("cluster").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
-    cut = sets.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = cut.withColumn("other", every).withColumn("side", (F.col("part") > F.col("other")).cast("int"))
-    met = met.select("cluster", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "side", "node", "print", "hashes")
-    proved = met.groupBy("cluster", "one", "two").applyInArrow(_similar, "a long, b long")
-    reached = components(written_once(proved, "similar-links")).withColumnRenamed("component", "class")
-    classed = nodes.select("node", "first").join(reached, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    smallest = classed.groupBy("class").agg(F.min("first").alias("component_id"))
-    named = classed.join(smallest, "class").select("node", "component_id")
-    return sketches.select("key", "node").join(named, "node").select(F.col("key").alias(key), "component_id")
-
-
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is their group's smallest, with their columns; groups are those of components_of.
+    """The rows of docs whose key is their group's smallest, with their columns; groups are those of print_components.
 
-    Of rows that repeat a key all or none are kept; a null key is kept if its group has no other.
+    A null key is kept if its group has no other. Rows that repeat both key and text are one; rows that
+    repeat a key with other texts stay as long as one of the texts is its group's.
     """
-    found = components_of(docs, key)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key")).distinct()
+    found = print_components(docs, key)
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("kept_key")).agg(F.count("*").alias("kept_rows"))
     # What is kept grows with the documents, so it is not sent to all tasks.
-    return docs.alias("d").join(kept.hint("merge").alias("k"), F.col(f"d.{key}").eqNullSafe(F.col("k.kept_key")), "left_semi")
+    joined = docs.alias("d").join(written_once(kept, "kept-keys").hint("merge").alias("k"), F.col(f"d.{key}").eqNullSafe(F.col("k.kept_key")))
+    # Only rows of repeated keys are moved to be made one.
+    once, again = joined.where("k.kept_rows = 1").select("d.*"), joined.where("k.kept_rows > 1").select("d.*")
+    return once.unionByName(again.dropDuplicates([key, "text"]))
 
 
 def as_hex(fingerprint_: str = "fingerprint"):

@@ -268,7 +268,7 @@ def test_pipeline_stages_do_what_they_say(spark):
     assert {r.doc_id for r in kept.collect()} == whole
     from alertloom.llm import simhash
 
-    assert {r.doc_id for r in single.collect()} == {r.component_id for r in simhash.components_of(kept).collect()}
+    assert {r.doc_id for r in single.collect()} == {r.component_id for r in simhash.print_components(kept).collect()}
     texts = {r.doc_id: r.text for r in clean.collect()}
     assert texts.keys() == seen[2][0].keys()
     for doc_id, before in seen[2][0].items():
