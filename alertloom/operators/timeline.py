@@ -17,6 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.trail_table import TrailTable, by_hour, with_minutes
 from .durable import written_once
 from .skew import lookup_join
 
@@ -50,6 +51,12 @@ def _windows(findings: DataFrame, hours: float) -> DataFrame:
     ).distinct()
 
 
+def _spans_of(windows: DataFrame, seconds: int) -> DataFrame:
+    """(access_key_id, _span) that windows touch, each once."""
+    first, last = (F.expr(f"unix_seconds({c}) div {seconds}") for c in ("earliest", "latest"))
+    return windows.select("access_key_id", F.explode(F.sequence(first, last)).alias("_span")).distinct()
+
+
 def relevant_trail(windows: DataFrame, trail: DataFrame, hours: float) -> DataFrame:
     """Trail rows in a (key, span of time) that some window touches, and of a dated trail only those days.
 
@@ -62,8 +69,7 @@ def relevant_trail(windows: DataFrame, trail: DataFrame, hours: float) -> DataFr
         days = windows.select(F.explode(around).alias(DATE_PARTITION)).distinct()
         trail = trail.join(F.broadcast(days), DATE_PARTITION, "left_semi")
     seconds = max(math.ceil(hours * 7200), 1)
-    first, last = (F.expr(f"unix_seconds({c}) div {seconds}") for c in ("earliest", "latest"))
-    spans = windows.select("access_key_id", F.explode(F.sequence(first, last)).alias("_span")).distinct()
+    spans = _spans_of(windows, seconds)
     spanned = trail.where(F.col("access_key_id").isNotNull()).withColumn("_span", F.expr(f"unix_seconds(event_time) div {seconds}"))
     return spanned.join(spans, ["access_key_id", "_span"], "left_semi").drop("_span")
 
@@ -126,7 +132,7 @@ def _numbered(windows: DataFrame, events: DataFrame, n: int) -> DataFrame:
 
 
 def _chosen(numbered: DataFrame, n: int) -> DataFrame:
-    """(access_key_id, center_time, named, event_key): the newest n named events of each window and its newest unnamed one.
+    """(access_key_id, center_time, named, event_key, moment): the newest n named events of each window and its newest unnamed one.
 
     Run r holds the numbers of two neighbouring groups of n, so one run covers any n in a row and a
     window meets at most 2 n events. An unnamed event is in a run of its own, below zero.
@@ -143,33 +149,57 @@ def _chosen(numbered: DataFrame, n: int) -> DataFrame:
     asking = numbered.where("is_event = 0").select("access_key_id", "center_time", "earliest", F.inline(of_window)).where("_last > 0")
     met = asking.join(placed, ["access_key_id", "run"])
     return met.where((F.col("_at") > F.col("_last") - n) & (F.col("_at") <= F.col("_last")) & (F.col("moment") >= F.col("earliest"))).select(
-        "access_key_id", "center_time", "named", "event_key"
+        "access_key_id", "center_time", "named", "event_key", "moment"
     )
 
 
 def timelines(
-    findings: DataFrame, trail: DataFrame, *, window_hours: float = WINDOW_HOURS, max_events: int = MAX_EVENTS
+    findings: DataFrame, trail: DataFrame | TrailTable, *, window_hours: float = WINDOW_HOURS, max_events: int = MAX_EVENTS
 ) -> DataFrame:
     """(access_key_id, center_time, events) for each key and time the findings name, oldest first.
 
     Events without an id count as one event per window, the newest. Which events a window takes is
-    settled on keys and times alone; of the other fields only those of taken events are moved.
+    settled on keys and times alone; of the other fields only those of taken events are moved. A trail
+    that is laid out by key is read in the minutes its index names, and nowhere else.
     """
     windows = _windows(findings, window_hours)
-    inside = relevant_trail(windows, trail, window_hours)
-    # Read twice below, so written once: it is narrow, and the numbering is the costly part.
-    numbered = written_once(_numbered(windows, inside, max_events), "numbered-trail")
-    chosen = _chosen(numbered, max_events)
+    if isinstance(trail, TrailTable):
+        windows = written_once(windows, "timeline-windows")
+        chosen, wide = _from_table(windows, trail, max_events)
+    else:
+        # Read twice below, so written once: it is narrow, and the numbering is the costly part.
+        numbered = written_once(_numbered(windows, relevant_trail(windows, trail, window_hours), max_events), "numbered-trail")
+        chosen, wide = _chosen(numbered, max_events), relevant_trail(windows, trail, window_hours)
     event = ["access_key_id", "named", "event_key"]
-    keyed = relevant_trail(windows, trail, window_hours) if DATE_PARTITION in trail.columns else trail
-    keyed = keyed.withColumn("named", _named()).withColumn("event_key", _event_key()).join(chosen.select(*event).distinct(), event, "left_semi")
-    delivered = chosen.join(_single_copies(keyed), event)
+    keyed = wide.withColumn("named", _named()).withColumn("event_key", _event_key()).join(chosen.select(*event).distinct(), event, "left_semi")
+    delivered = chosen.select(*WINDOW, "named", "event_key").join(_single_copies(keyed), event)
     listed = delivered.groupBy(*WINDOW).agg(F.sort_array(F.collect_list("event")).alias("events"))
     newest = F.slice("events", F.greatest(F.size("events") - max_events + 1, F.lit(1)), max_events)
     return listed.select(*WINDOW, newest.alias("events"))
 
 
-def with_timeline(findings: DataFrame, trail: DataFrame, *, plain: DataFrame | None = None, **options) -> DataFrame:
+def _from_table(windows: DataFrame, table: TrailTable, n: int) -> tuple[DataFrame, DataFrame]:
+    """(the events each window takes, the trail rows among which they are) of a trail laid out by key.
+
+    The index counts an event in each minute it has a copy in. A window that copies left short of n events,
+    though it has minutes that were not opened, is asked once more with all its minutes.
+    """
+    probed = written_once(table.probed(windows, n), "probed-minutes")
+    wanted = by_hour(probed.where("asked"))
+    numbered = written_once(_numbered(windows, table.near(windows, wanted), n), "numbered-trail")
+    chosen = written_once(_chosen(numbered, n), "chosen-events")
+    taken = chosen.groupBy(*WINDOW).agg(F.count_if("named").alias("n_taken"))
+    cut = with_minutes(windows).join(probed.where("NOT asked").select("access_key_id", "first", "last").distinct(), ["access_key_id", "first", "last"], "left_semi")
+    short = cut.join(taken, list(WINDOW), "left").where(F.coalesce("n_taken", F.lit(0)) < n).select("access_key_id", "first", "last", *WINDOW[1:], "earliest", "latest")
+    short = written_once(short, "short-windows")
+    if not short.isEmpty():
+        wanted = by_hour(probed.join(short.select("access_key_id", "first", "last").distinct(), ["access_key_id", "first", "last"], "left_semi").unionByName(probed.where("asked")))
+        again = _chosen(_numbered(short.drop("first", "last"), table.near(windows, wanted), n), n)
+        chosen = written_once(chosen.join(short, list(WINDOW), "left_anti").unionByName(again), "chosen-events")
+    return chosen, table.around(windows, wanted, chosen.select("access_key_id", "moment"))
+
+
+def with_timeline(findings: DataFrame, trail: DataFrame | TrailTable, *, plain: DataFrame | None = None, **options) -> DataFrame:
     """Findings plus `events`; findings without a key or activity get an empty list.
 
     `plain` is the findings table itself if `findings` already has joins in it.

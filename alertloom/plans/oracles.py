@@ -205,6 +205,10 @@ FINALS: dict[str, str] = {
     "trail_dedup": "SELECT access_key_id, event_id, event_name, source_ip FROM t",
     "trail_topk": "SELECT finding_id, event_id FROM pairs WHERE rn <= 2 AND event_id IS NOT NULL",
     "timeline_collect": "SELECT finding_id, event_ids FROM tl",
+    "trail_table_timeline": "SELECT finding_id, event_id FROM pairs WHERE rn <= 20 AND event_id IS NOT NULL",
+    "trail_table_activity": """SELECT access_key_id, epoch_us(event_time) // 3600000000 AS span, count(DISTINCT epoch_us(event_time) // 60000000) AS minutes,
+        CAST(sum(CASE WHEN event_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_named, CAST(sum(CASE WHEN event_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unnamed
+        FROM t GROUP BY 1, 2""",
     "event_count": "SELECT finding_id, n_events FROM tl",
     "distinct_api_calls": "SELECT f.finding_id, coalesce(replace(names, ', ', ','), '') AS api_calls FROM f LEFT JOIN calls ON f.finding_id = calls.finding_id",
     "distinct_source_ips": "SELECT f.finding_id, coalesce(replace(ips, ', ', ','), '') AS source_ips FROM f LEFT JOIN ips ON f.finding_id = ips.finding_id",

@@ -15,6 +15,7 @@ from ..operators.timeline import distinct_events, event_pairs, with_timeline
 from ..operators.validation import grounding_matches, resolve_attempts, typed_responses
 from ..sources.findings import center_time as resolved_time, parse_findings, parse_labeled, unwrap
 from ..sources.trail import flatten_trail
+from ..sources.trail_table import TrailTable
 from ..streaming import jobs
 from . import derived as d
 from .triage import Context, decide, enrich, evaluate, triage_batch, triage_on_demand, with_answers
@@ -796,3 +797,30 @@ def threat_purpose(t: Tables) -> DataFrame:
 @query
 def timeline_signals(t: Tables) -> DataFrame:
     return rules.timeline_signals(t.timeline())
+
+
+# ---- the trail laid out by key
+
+
+def _trail_table(t: Tables) -> TrailTable:
+    """The trail in a table of its own, the days up to the middle first and the rest as they come later."""
+    table = TrailTable.create(t._spark, new_folder(t._spark, "trail-table"), buckets=int(t._spark.conf.get("spark.sql.shuffle.partitions")))
+    middle = t.trail.agg(F.to_date(F.timestamp_seconds(F.avg(F.unix_seconds("event_time")))).alias("d")).first()["d"]
+    late = F.to_date("event_time") > F.lit(middle)
+    table.write_days(t.trail.where(~late))
+    table.write_days(t.trail.where(late))
+    return table
+
+
+@query
+def trail_table_timeline(t: Tables) -> DataFrame:
+    """The newest twenty events of each finding, from a trail laid out by key and grown by days."""
+    rows = with_timeline(t.findings, _trail_table(t), max_events=20)
+    return event_pairs(rows).where("event_id IS NOT NULL").select("finding_id", "event_id")
+
+
+@query
+def trail_table_activity(t: Tables) -> DataFrame:
+    """What the kept index says of each key and hour: minutes with events, and events in them."""
+    index = _trail_table(t).index()
+    return index.groupBy("access_key_id", "span").agg(F.count("*").alias("minutes"), F.sum("n_named").alias("n_named"), F.sum("n_unnamed").alias("n_unnamed"))

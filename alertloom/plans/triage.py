@@ -15,13 +15,14 @@ from ..operators.principals import profiles, with_profile
 from ..operators.related import MAX_SUMMARIES, with_related
 from ..operators.timeline import MAX_EVENTS, WINDOW_HOURS, with_timeline
 from ..operators.validation import ground, resolve_attempts, typed_responses
+from ..sources.trail_table import TrailTable
 
 
 @dataclass(frozen=True)
 class Context:
     """The tables findings are read against; history None means the findings themselves."""
 
-    trail: DataFrame
+    trail: DataFrame | TrailTable
     principals: DataFrame
     attached: DataFrame
     inline: DataFrame
