@@ -16,7 +16,7 @@ from ..operators.validation import grounding_matches, resolve_attempts, typed_re
 from ..sources.findings import center_time as resolved_time, parse_findings, parse_labeled, unwrap
 from ..sources.trail import flatten_trail
 from ..sources.trail_table import TrailTable
-from ..streaming import jobs
+from ..streaming import jobs, state
 from . import derived as d
 from .triage import Context, decide, enrich, evaluate, triage_batch, triage_on_demand, with_answers
 
@@ -707,9 +707,9 @@ def _streamed(t: Tables, sql: str) -> DataFrame:
     return rows
 
 
-def _drained(t: Tables, rows: DataFrame, name: str) -> DataFrame:
+def _drained(t: Tables, rows: DataFrame, name: str, idle_batches: bool = True) -> DataFrame:
     folder = new_folder(t._spark, name)
-    jobs.drain(jobs.append_stream(rows, f"{folder}/rows", f"{folder}/state"))
+    jobs.drain(jobs.append_stream(rows, f"{folder}/rows", f"{folder}/state"), idle_batches)
     return t._spark.read.parquet(f"{folder}/rows").select(*rows.columns)
 
 
@@ -824,3 +824,33 @@ def trail_table_activity(t: Tables) -> DataFrame:
     """What the kept index says of each key and hour: minutes with events, and events in them."""
     index = _trail_table(t).index()
     return index.groupBy("access_key_id", "span").agg(F.count("*").alias("minutes"), F.sum("n_named").alias("n_named"), F.sum("n_unnamed").alias("n_unnamed"))
+
+
+# ---- streams with state of their own
+
+
+@query
+def stream_timeline(t: Tables) -> DataFrame:
+    """Each finding's capped timeline from two streams; a tick at the end says that time has passed the last ones."""
+    spark, folder = t._spark, new_folder(t._spark, "stream-timeline")
+    moments = t.trail.agg(F.max("event_time").alias("a")).join(t.findings.agg(F.max("center_time").alias("b")))
+    ticks = moments.select((F.greatest("a", "b") + F.expr("INTERVAL 30 DAYS")).alias("moment"))
+    ticks.where("false").write.parquet(f"{folder}/ticks")
+
+    def run() -> None:
+        told = spark.readStream.schema("moment TIMESTAMP").parquet(f"{folder}/ticks")
+        found, events = _streamed(t, d.FINDINGS), _streamed(t, d.TRAIL)
+        jobs.drain(state.timeline_list_stream(found, events, f"{folder}/rows", f"{folder}/state", ticks=told, lateness="3650 days"))
+
+    run()
+    ticks.withColumn("moment", F.col("moment") + F.expr("INTERVAL 3650 DAYS")).write.mode("append").parquet(f"{folder}/ticks")
+    run()
+    ids = F.transform("events", lambda e: e["event_id"])
+    return spark.read.parquet(f"{folder}/rows").select("finding_id", _listed(ids).alias("event_ids"))
+
+
+@query
+def stream_claims(t: Tables) -> DataFrame:
+    """What becomes of each streamed arrival; nothing is claimed before."""
+    rows = _drained(t, state.claim_stream(_streamed(t, d.ARRIVALS)), "stream-claims", idle_batches=False)
+    return rows.select(F.nullif("finding_id", F.lit("")).alias("finding_id"), "status", "reason", _moment("ingest_time").alias("ingest_time"))

@@ -137,8 +137,18 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str):
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, batch_id: write_batch(batch, path, batch_id))
 
 
-def drain(writer) -> StreamingQuery:
-    """Run a writer over everything there is now, and return once it is done."""
-    query = writer.trigger(availableNow=True).start()
+def drain(writer, idle_batches: bool = True) -> StreamingQuery:
+    """Run a writer over everything there is now, and return once it is done.
+
+    A query whose state runs out by the clock (claim_stream) has something to do in every batch, rows or not,
+    so it is only done without batches that have no rows.
+    """
+    conf, name = SparkSession.active().conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, str(idle_batches).lower())
+    try:
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
     query.awaitTermination()
     return query
