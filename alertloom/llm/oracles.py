@@ -59,7 +59,7 @@ def _quality() -> str:
                NOT base_failed AND NOT (100 * n_symbols > {q.MAX_SYMBOLS} * n_words)
                AND NOT (100 * n_dup_lines > {q.MAX_DUP_LINES} * len(string_split(txt, chr(10))))
                AND word_chars BETWEEN {least} * n_words AND {most} * n_words
-               AND NOT (100 * length(regexp_replace(txt, '[^A-Z]', '', 'g')) > {q.MAX_SHOUTED} * length(regexp_replace(txt, '[^A-Za-z]', '', 'g')))
+               AND NOT (100 * length(regexp_replace(txt, '[^\p{{Lu}}]', '', 'g')) > {q.MAX_SHOUTED} * length(regexp_replace(txt, '[^\p{{L}}]', '', 'g')))
                AND NOT (100 * length(regexp_replace(txt, '[^!?]', '', 'g')) > {q.MAX_STOPS} * n_words) AS kept
         FROM b"""
 
