@@ -350,6 +350,7 @@ FINALS: dict[str, str] = {
         coalesce(Username, json_extract_string(j, '$.userIdentity.userName')) AS username, json_extract_string(j, '$.sourceIPAddress') AS source_ip, json_extract_string(j, '$.userAgent') AS user_agent,
         json_extract_string(j, '$.awsRegion') AS aws_region, json_extract_string(j, '$.errorCode') AS error_code, json_extract_string(j, '$.errorMessage') AS error_message,
         {_text('EventTime')} AS event_time, cast(json_extract_string(j, '$.requestParameters.k') AS BIGINT) AS k FROM (SELECT *, try_cast(CloudTrailEvent AS JSON) AS j FROM lk) AS x""",
+    "passage_containment": "SELECT DISTINCT d.doc_id, b.item_id FROM documents AS d JOIN benchmark AS b ON contains(d.text, b.text) WHERE b.text <> ''",
     "stream_timeline": "SELECT finding_id, event_ids FROM tl",
     "stream_claims": f"""SELECT nullif(finding_id, '') AS finding_id, CASE WHEN nth = 1 AND finding_id <> '' THEN 'claimed' ELSE 'skipped' END AS status,
         CASE WHEN coalesce(finding_id, '') = '' THEN 'no_finding_id' WHEN nth > 1 THEN 'already_triaged' END AS reason, {_text('ingest_time')} AS ingest_time

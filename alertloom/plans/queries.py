@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import bands, briefs, messages, policy, techniques, text
 from ..operators import bundles as bun, evaluation, gate, metrics, outcomes as out, principals as pri, rules
+from ..operators.containment import contained
 from ..operators.durable import new_folder
 from ..operators.related import with_related
 from ..operators.timeline import distinct_events, event_pairs, with_timeline
@@ -854,3 +855,14 @@ def stream_claims(t: Tables) -> DataFrame:
     """What becomes of each streamed arrival; nothing is claimed before."""
     rows = _drained(t, state.claim_stream(_streamed(t, d.ARRIVALS)), "stream-claims", idle_batches=False)
     return rows.select(F.nullif("finding_id", F.lit("")).alias("finding_id"), "status", "reason", _moment("ingest_time").alias("ingest_time"))
+
+
+# ---- containment, set against set
+
+
+@query
+def passage_containment(t: Tables) -> DataFrame:
+    """Which documents hold which benchmark passages, whole and letter for letter."""
+    needles = t.source("benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
+    found = contained(needles, t.source("documents").select(F.col("doc_id").alias("text_id"), "text"))
+    return found.select(F.col("text_id").alias("doc_id"), F.col("needle_id").alias("item_id"))
