@@ -1,15 +1,18 @@
 """Main text of web pages, with site templates removed by counting element subtrees.
 
 Each page is parsed to a tree. Elements that stand for page furniture by their kind (menus, footers,
-forms, scripts) or by a word of their class or id (sidebar, cookie, comments) are dropped. Of the other
-containers the subtrees are hashed, with their text, and counted per host: a subtree that stands next to
-different texts on a large share of a host's different pages is its template and is dropped too. Inside an article, headings and
-paragraphs are never taken for a template, as an article that is copied to many pages is no template.
+forms, scripts) or by the name of their class or id (sidebar, cookie-notice, comments) are dropped, unless
+they are wrappers: they hold the page's main part, its only articles, or its title and most of its text.
+Inside an article an id is only a heading's slug, except for comments. A header goes unless it is that of
+an article or section. Of the other containers the subtrees are hashed, with their text, and counted per
+host: a subtree that stands next to different texts on a large share of a host's different pages is its
+template and is dropped too. Headings, paragraphs and quotations are never taken for a template, and lists,
+tables and figures of an article only where it begins or ends; a share that is just reached counts.
 
 The text is that of the page's articles, or of its main part, or else of its body. Blocks are joined by
 an empty line; in a block all white space is one blank. A null or empty page gives an empty text. Pages
 that are cut off are read as far as they go. A null url is a host of its own; rows that repeat a
-page_id get a result each.
+page_id get a result each. An empty table gives no rows; columns beside the three are not read.
 """
 
 from __future__ import annotations
@@ -37,9 +40,10 @@ BLOCKS = frozenset(
 )
 # What may stand in a head; anything else ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
-# Containers whose subtrees are counted.
-CONTAINERS = frozenset("aside blockquote center details div dl figure footer form header menu nav ol section table ul".split())
-TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p pre li td th dd dt".split())
+# Containers whose subtrees are counted; the second kind is an article's own unless it stands at its edge.
+CONTAINERS = frozenset("aside center details div footer form header menu nav section".split())
+LISTED = frozenset("dl figure ol table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Opening one of these ends an open one of the listed kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = frozenset("ul ol table article section div body html td th".split())
@@ -49,6 +53,14 @@ FURNITURE = frozenset(
     "comments commentlist disqus respond reply replies share sharing social related recommended popup modal overlay login signup search "
     "pagination pager skip".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+# A class or id names furniture by its last word, or by its first if only words of this kind follow.
+HOLDERS = frozenset(
+    "area articles bar block bottom box button buttons container content form icons inner item items left link links list message overlay "
+    "panel popup posts right section slot text thread title top unit widget wrap wrapper".split()
+)
+# Words that say what a wrapper has or lacks.
+LAYOUT_WORDS = frozenset("and has hide hides no not non with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 _TAG = re.compile(r"""<(?:!--(?:.*?-->|>|->)|!--|[!?][^>]*>|/(?![a-zA-Z])[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
@@ -58,28 +70,85 @@ _WORD_ENDS = re.compile(r"[\s_\-]+")
 
 
 class Element:
-    """An element with its children, which are elements and texts."""
+    """An element with its children, which are elements and texts.
+
+    `furniture` is settled once the page is read; until then it says what the element's own tag tells.
+    """
+
+    __slots__ = ("name", "furniture", "children", "may_wrap", "in_article", "in_section")
 
-    __slots__ = ("name", "furniture", "children")
+    def __init__(self, name: str, parent: Element | None = None):
+        self.name, self.furniture, self.may_wrap, self.children = name, False, False, []
+        self.in_article = parent is not None and (parent.in_article or parent.name == "article")
+        self.in_section = parent is not None and (parent.in_section or parent.name in ("article", "main", "section"))
 
-    def __init__(self, name: str, furniture: bool = False):
-        self.name, self.furniture, self.children = name, furniture, []
+
+def _names(value: str, words: frozenset[str]) -> bool:
+    """Whether one of the names in a class or id is made of such words."""
+    for name in value.split():
+        parts = [w for w in _WORD_ENDS.split(name) if w]
+        if not parts or LAYOUT_WORDS & set(parts):
+            continue
+        if parts[-1] in words or (parts[0] in words and HOLDERS.issuperset(parts[1:])):
+            return True
+    return False
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
+def _mark(element: Element, attributes: str) -> None:
+    """Mark an element that its tag shows to be furniture; what may be a wrapper as well is settled later."""
+    name = element.name
     if name in DROPPED:
-        return True
+        element.furniture, element.may_wrap = True, name == "form" and not element.in_article
+        return
+    if name == "header" and not element.in_section:
+        element.furniture = element.may_wrap = True
     if not attributes.strip():
-        return False
+        return
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), html.unescape("".join(values)).lower()
-        if key == "hidden" or (key == "role" and value in ROLES):
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and FURNITURE & set(_WORD_ENDS.split(value)):
-            return True
-        if key in ("class", "id") and name in ("article", "main") and {"comment", "comments", "reply"} & set(_WORD_ENDS.split(value)):
-            return True
-    return False
+        if key == "hidden":
+            element.furniture, element.may_wrap = True, False
+            return
+        words = FURNITURE
+        if name in ("article", "main") or (key == "id" and (element.in_article or name == "section")):
+            words = COMMENTS
+        by_name = key == "class" or (key == "id" and name not in HEADINGS)
+        if (key == "role" and value in ROLES) or (by_name and name not in ("html", "body") and _names(value, words)):
+            element.furniture = True
+            element.may_wrap = name not in ("article", "main") and not element.in_article
+
+
+def _settle(root: Element) -> None:
+    """Take the mark from elements that wrap the main part, the only articles, or the title and most of the text."""
+    size: dict[int, int] = {}
+    holds: dict[int, set[str]] = {}
+    order, todo = [], [(root, False)]
+    loose_article = False  # an article outside all that is marked
+    while todo:
+        node, marked = todo.pop()
+        if node.furniture and not node.may_wrap:
+            continue
+        marked = marked or node.furniture
+        loose_article = loose_article or (node.name in ("article", "main") and not marked)
+        order.append(node)
+        todo.extend((c, marked) for c in node.children if not isinstance(c, str))
+    for node in reversed(order):
+        mine, total = {node.name} & {"article", "main", "h1"}, 0
+        for child in node.children:
+            if isinstance(child, str):
+                total += len(child.strip())
+            elif id(child) in size:
+                total += size[id(child)]
+                mine = mine | holds[id(child)] if holds[id(child)] else mine
+        size[id(node)], holds[id(node)] = total, mine
+    whole = holds[id(root)]
+    for node in order:
+        if not (node.furniture and node.may_wrap):
+            continue
+        mine = holds[id(node)]
+        most = "h1" in mine and node.name != "header" and 2 * size[id(node)] > size[id(root)] and not whole & {"article", "main"}
+        if "main" in mine or ("article" in mine and (node.name == "form" or not loose_article)) or most:
+            node.furniture = False
 
 
 def parse(page: str) -> Element:
@@ -114,7 +183,8 @@ def parse(page: str) -> Element:
         if stack[-1].name == "head" and name not in IN_HEAD:
             stack.pop()  # its end tag may be left out
         _open_ends(stack, name)
-        element = Element(name, _is_furniture(name, found.group(3)))
+        element = Element(name, stack[-1])
+        _mark(element, found.group(3))
         stack[-1].children.append(element)
         if name in RAW:
             end = re.compile(f"</{name}[\\s/>]", re.I).search(page, at)
@@ -123,6 +193,7 @@ def parse(page: str) -> Element:
             at = page.find(">", end.start()) + 1 or size
         elif name not in VOID and not (found.group(3).endswith("/") and name in ("svg", "path")):
             stack.append(element)
+    _settle(root)
     return root
 
 
@@ -192,9 +263,21 @@ def _main_parts(root: Element) -> list[Element]:
     return [root]
 
 
+def _edges(part: Element) -> set[int]:
+    """The elements with which a part begins and ends, as far down as they go."""
+    found = set()
+    for last in (False, True):
+        node = part
+        while isinstance(node, Element):
+            found.add(id(node))
+            shown = (c for c in (reversed(node.children) if last else node.children) if (c.strip() if isinstance(c, str) else not c.furniture))
+            node = next(shown, None)
+    return found
+
+
 def subtree_hashes(part: Element) -> dict[int, int]:
     """By the identity of each container that may be a template: a hash of its kind, text and subtree."""
-    in_article = part.name in ("article", "main")
+    edges = _edges(part) if part.name in ("article", "main") else None
     hashes: dict[int, int] = {}
     digests: dict[int, bytes] = {}
     todo = [(part, False)]
@@ -209,7 +292,7 @@ def subtree_hashes(part: Element) -> dict[int, int]:
         for child in node.children:
             digest.update(b"\0" + (" ".join(child.split()).encode() if isinstance(child, str) else digests[id(child)]))
         digests[id(node)] = digest.digest()
-        counted = node.name in CONTAINERS or (not in_article and node.name in TEXT_BLOCKS)
+        counted = node.name in CONTAINERS or (node.name in LISTED and (edges is None or id(node) in edges))
         if counted and node is not part and not node.furniture:
             hashes[id(node)] = int.from_bytes(digest.digest(), "little", signed=True)
     return hashes

@@ -199,6 +199,97 @@ def test_copied_pages_stay_whole(spark):
     assert got == {k: "one\n\ntwo" for k in range(6)} | {100 + k: "T\n\ntext" for k in range(6)} | {200 + k: f"own {k}" for k in range(6)}
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='no-sidebar'><article><p>a</article></div>", ["a"]), ("<div class='right-sidebar'><article><p>a</article></div>", ["a"]),
+        ("<div class='content-sidebar-wrap'><main><p>a</main><div class='sidebar'>s</div></div>", ["a"]), ("<div id='main-with-nav'><p>a</div>", ["a"]),
+        ("<form id=f><article><p>a</article></form>", ["a"]), ("<form id=f><h1>T</h1><p>all of the text</form><p>b", ["T", "all of the text", "b"]),
+        ("<article><p>a</p><form><p>all of a longer form</form></article>", ["a"]), ("<form><p>subscribe</form><p>a", ["a"]),
+        ("<article><h2 id='related-work'>R</h2><section id='search-algorithms'><p>s</section><section id=login><p>l</section></article>", ["R", "s", "l"]),
+        ("<article><div class='social-science'><p>a</div><div id=search><p>b</div></article>", ["a", "b"]), ("<h2 id=comments>C</h2><p>a", ["C", "a"]),
+        ("<article><p>a</p><div class='share-buttons'>s</div><div id='disqus_thread'>d</div><div class='ad'>x</div><p class=advert>y</article>", ["a"]),
+        ("<header>Site name</header><p>a", ["a"]), ("<header>Site name</header><section><header><h2>T</h2></header><p>a</section>", ["T", "a"]),
+        ("<div class='related-posts'><article><p>teaser</article></div><article><p>a</article>", ["a"]), ("<aside><article>x</article></aside><p>a", ["a"]),
+        ("<div class='cookie-consent'><h1>Cookies</h1></div><article>a</article>", ["a"]), ("<div hidden><article>x</article></div><p>a", ["a"]),
+        ("<article class=comment>c</article><article>a</article>", ["a"]), ("<div role=search><article>a</article></div>", ["a"]),
+        ("<div class='sidebar'>" * 3_000 + "<article>a", ["a"]),
+    ],
+)
+def test_wrappers_and_slugs_are_no_furniture(page, want):
+    assert [b for part in html_text._main_parts(parse(page)) for b in blocks_of(part)] == want
+
+
+def test_quotations_headings_and_lists_of_articles_are_no_templates(spark):
+    quote, salt = "<blockquote><p>to be or not</p></blockquote>", "<ul><li>salt</ul>"
+    links = "<ul><li>more here</ul>"
+    pages = [(k, f"https://a.example/{k}", f"<article><p>own {k}</p>{quote}{salt}<p>end {k}</p>{links}</article>") for k in range(6)]
+    pages += [(100 + k, f"https://b.example/{k}", f"<body><h2>Ingredients</h2><p>egg {k}</p><p>Enjoy</p></body>") for k in range(6)]
+    pages += [(200, "https://a.example/0", "<article>twice</article>"), (200, "https://a.example/0", "<article>twice</article>")]
+    rows = spark.createDataFrame([(*r, 1) for r in pages], "page_id long, url string, html string, host int")
+    found = html_text.main_texts(rows).collect()
+    got = {r.page_id: r.text for r in found}
+    assert len(found) == len(pages) and got[200] == "twice"
+    assert all(got[k] == f"own {k}\n\nto be or not\n\nsalt\n\nend {k}" for k in range(6))
+    assert all(got[100 + k] == f"Ingredients\n\negg {k}\n\nEnjoy" for k in range(6))
+
+
+def _plain_main_texts(pages, least=html_text.TEMPLATE_PAGES, percent=html_text.TEMPLATE_PERCENT):
+    """Templates by dictionaries of whole subtrees, each page's text taken again without each of them."""
+
+    def shape(node):
+        return (node.name, tuple(" ".join(c.split()) if isinstance(c, str) else shape(c) for c in node.children))
+
+    def counted(part):
+        shown = html_text.subtree_hashes(part)
+        todo = [part]
+        while todo:
+            node = todo.pop()
+            if id(node) in shown:
+                yield node
+            todo += [c for c in node.children if not isinstance(c, str)]
+
+    def strings(node, without):
+        if isinstance(node, str):
+            return [" ".join(node.split())] if node.strip() else []
+        if node.furniture or id(node) in without:
+            return []
+        return [t for c in node.children for t in strings(c, without)]
+
+    trees = {key: (url.split("/")[2], html_text._main_parts(parse(page))) for key, url, page in pages}
+    beside, whole = {}, {}
+    for host, parts in trees.values():
+        whole.setdefault(host, set()).add(tuple(sorted(t for p in parts for t in strings(p, ()))))
+        places = {}
+        for part in parts:
+            for node in counted(part):
+                places.setdefault(shape(node), set()).add(id(node))
+        for kind, same in places.items():
+            beside.setdefault((host, kind), set()).add(tuple(sorted(t for p in parts for t in strings(p, same))))
+    often = {k for k, rests in beside.items() if len(rests) >= least and 100 * len(rests) >= percent * len(whole[k[0]])}
+    out = {}
+    for key, (host, parts) in trees.items():
+        for part in parts:
+            for node in counted(part):
+                if (host, shape(node)) in often:
+                    node.furniture = True
+        out[key] = "\n\n".join(b for part in parts for b in blocks_of(part))
+    return out
+
+
+def test_templates_as_counted_in_dictionaries(spark):
+    rng = random.Random(4)
+    common = ["<div><p>news</p></div>", "<section><ul><li>x<li>y</ul></section>", "<ul><li>z</ul>", "<div><div><p>news</p></div>tail</div>", "<blockquote>q</blockquote>", "<table><tr><td>1</table>"]
+    pages = []
+    for k in range(160):
+        bits = rng.sample(common, rng.randint(0, 4)) + [f"<p>t{rng.randint(0, 40)}</p>" for _ in range(rng.randint(0, 3))]
+        rng.shuffle(bits)
+        frame = rng.choice(["<body>{}</body>", "<article>{}</article>", "<div><main>{}</main></div>", "<article><div>{}</div></article><article>{}</article>"])
+        pages.append((k, f"http://h{rng.randint(0, 3)}.example/{k}", frame.format("".join(bits), "<p>second</p>")))
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_texts(rows).collect()} == _plain_main_texts(pages)
+
+
 # ---- mixing
 
 
