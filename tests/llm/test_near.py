@@ -211,6 +211,50 @@ def test_vectors_equal_brute_force(spark, cell):
     assert got == want
 
 
+def _brute_vectors(rows):
+    """(links, smallest reachable) by key, lengths apart."""
+    links = []
+    for width in {len(v) for _, v in rows}:
+        keys = [k for k, v in rows if len(v) == width]
+        unit = np.array([v for _, v in rows if len(v) == width], np.float64)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        links += [(keys[a], keys[b]) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.95)) if a != b]
+    roots, counts = _roots([k for k, _ in rows], links), Counter(a for a, _ in links)
+    return {k: (counts[k], roots[k]) for k, _ in rows}
+
+
+def test_each_length_is_compared_within_itself(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.1]), (6, [-3.0])]
+    for width, groups in ((3, 4), (8, 10), (16, 5)):
+        rows += [(width * 100 + k, (c + rng.normal(scale=0.2, size=width)).tolist()) for k, c in enumerate(np.repeat(rng.normal(size=(groups, width)), 8, axis=0))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table, vectors_per_cell=20, probes=100).collect()}
+    assert got == _brute_vectors(rows) and got[6] == (0, 6)
+
+
+@pytest.mark.parametrize("probes", [1_000, embeddings.PROBES])
+def test_large_cells_are_split(spark, probes, monkeypatch):
+    """With all cells visited nothing is lost; with the default few a share under a tenth."""
+    monkeypatch.setattr(embeddings, "MAX_CELLS", 4)
+    monkeypatch.setattr(embeddings, "SPLIT_ROWS", 100)
+    rng = np.random.default_rng(6)
+    near = np.repeat(rng.normal(size=(60, 24)), 10, axis=0)
+    hot = np.repeat(rng.normal(size=(1, 24)), 300, axis=0)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([near + rng.normal(scale=0.14, size=near.shape), hot + rng.normal(scale=0.1, size=hot.shape)]))]
+    parts = []
+    whole = embeddings._split
+    monkeypatch.setattr(embeddings, "_split", lambda *a: parts.append(whole(*a)) or parts[-1])
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table, vectors_per_cell=10, block_rows=64, probes=probes).collect()}
+    want = _brute_vectors(rows)
+    assert parts[0].where("part > 0").count() > 0
+    if probes > 100:
+        assert got == want
+    found, true = (sum(n for n, _ in r.values()) for r in (got, want))
+    assert 0.9 * true <= found <= true and true > 50_000
+
+
 def test_no_vectors_and_only_bad_ones(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
