@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-import pandas as pd
-import regex
 from pyspark.sql import Column, functions as F, types as T
 
 # Fence tokens, caps and the truncation mark.
@@ -18,6 +15,8 @@ TRUNCATION_MARK = "...[truncated]"
 
 # Unicode "other" characters and the two separators, keeping tab, line feed and return.
 UNSAFE_CHARS = r"[\p{C}\u2028\u2029&&[^\t\n\r]]"
+# A JSON text cut up: its strings, quotes included, and what stands between them.
+_JSON_TOKENS = r'"(?:[^"\\]++|\\.)*+"|[^"]++'
 
 
 def strip_control_chars(value: Column) -> Column:
@@ -100,30 +99,22 @@ def may_need_scrub(json_text: Column, max_field: int = MAX_FIELD) -> Column:
     return (F.length(json_text) > max_field) | json_text.rlike(UNSAFE_CHARS) | escaped
 
 
-def scrub_free_form(max_field: int = MAX_FIELD):
-    """Arrow UDF over ARRAY<STRING> of free-form JSON texts: the one leaf with no schema to walk.
+def scrub_json(json_text: Column, max_field: int = MAX_FIELD) -> Column:
+    """JSON text of any shape with every string in it scrubbed, keys included; null stays null.
 
-    Its helpers are closures, so workers need nothing of this package to run it.
+    The text must be JSON as to_json writes it. It is cut into tokens, of which only strings that
+    may need it are read, scrubbed and written again; numbers keep their digits. Keys that become
+    equal all stay, in order: a reader that takes the last of equal keys gives the later value.
     """
-    unsafe = regex.compile(r"(?V1)[[\p{C}\u2028\u2029]--[\t\n\r]]")
-    mark = TRUNCATION_MARK
 
-    def clean(value):
-        if isinstance(value, str):
-            kept = unsafe.sub("", value)
-            return kept if len(kept) <= max_field else kept[:max_field] + mark
-        if isinstance(value, dict):
-            return dict((clean(key), clean(item)) for key, item in value.items())
-        return [clean(item) for item in value] if isinstance(value, list) else value
+    def token(t: Column) -> Column:
+        held = F.variant_get(F.parse_json(t), "$", "string")
+        again = F.to_json(F.array(scrub_text(held, max_field)))
+        quoted = F.substring(again, F.lit(2), F.length(again) - 2)
+        return F.when(F.startswith(t, F.lit('"')) & may_need_scrub(t, max_field), quoted).otherwise(t)
 
-    def rescue(text):
-        return None if text is None else json.dumps(clean(json.loads(text)), ensure_ascii=False)
-
-    @F.pandas_udf("array<string>")
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda texts: None if texts is None else [rescue(t) for t in texts])
-
-    return run
+    tokens = F.regexp_extract_all(json_text, F.lit(_JSON_TOKENS), F.lit(0))
+    return F.when(may_need_scrub(json_text, max_field), F.array_join(F.transform(tokens, token), "")).otherwise(json_text)
 
 
 def canonical_json(value: Column) -> Column:

@@ -48,18 +48,21 @@ def bundle() -> Column:
 def payload(bundles: DataFrame, *, max_field: int = text.MAX_FIELD) -> DataFrame:
     """(finding_id, payload): canonical JSON of each scrubbed bundle.
 
-    One SQL expression made from the schema rewrites the bundle. Only free-form request parameters
-    have no schema: those that hold something to scrub go through an Arrow UDF, the others pass.
+    One SQL expression made from the schema rewrites the bundle; free-form request parameters have
+    no schema and are scrubbed as JSON text, where they hold something to scrub.
     """
-    parameters = F.transform("bundle.cloudtrail_events", lambda e: F.to_json(e["requestParameters"]))
-    suspect = F.transform(parameters, lambda p: F.when(text.may_need_scrub(p, max_field), p))
-    rows = bundles.select("finding_id", "bundle", text.scrub_free_form(max_field)(suspect).alias("_clean"))
-    events = F.zip_with(
-        "bundle.cloudtrail_events",
-        "_clean",
-        lambda e, p: e.withField("requestParameters", F.coalesce(F.parse_json(p), e["requestParameters"])),
-    )
-    whole = rows.select("finding_id", F.col("bundle").withField("cloudtrail_events", events).alias("bundle"))
+
+    def cleaned(event: Column) -> Column:
+        held = event["requestParameters"]
+        # A list of one binds the text, which is then made once.
+        found = F.transform(
+            F.array(F.to_json(held)),
+            lambda p: F.when(text.may_need_scrub(p, max_field), F.parse_json(text.scrub_json(p, max_field))).otherwise(held),
+        )
+        return event.withField("requestParameters", found[0])
+
+    events = F.transform("bundle.cloudtrail_events", cleaned)
+    whole = bundles.select("finding_id", F.col("bundle").withField("cloudtrail_events", events).alias("bundle"))
     clean = text.scrub("bundle", whole.schema["bundle"].dataType, max_field)
     return whole.select("finding_id", text.canonical_json(clean).alias("payload"))
 

@@ -47,6 +47,15 @@ SELECT concat('AK', cast(user_id AS VARCHAR(20))) AS access_key_id,
 FROM (SELECT * FROM {events} UNION ALL SELECT * FROM {events} WHERE event_id % 20 = 0) AS copied
 """
 
+# Request parameters with something to scrub: in keys and values, raw and escaped, nested, over the cap.
+PARAMETERS = """
+SELECT event_id, event_type, user_id,
+       concat('{{"k":', cast(event_id AS VARCHAR(20)), ',"big":12345678901234567890.5,"na', chr(92), 'u200bme":["b', chr(92), 'u202eucket u', cast(user_id AS VARCHAR(20)),
+         '",1.50,null,{{"de', chr(92), 'u0007ep":"', chr(92), 'b', event_type, chr(92), chr(92), 'u0007', chr(92), 'n', chr(92), '"', chr(127), 'end"}}],"props":', props,
+         ',"long":"', repeat('ab', cast(980 + event_id % 40 AS INT)), chr(92), 'u0000"}}') AS request_parameters
+FROM {events}
+"""
+
 PRINCIPALS = """
 SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'user' ELSE 'role' END AS kind,
        concat('u', cast(user_id AS VARCHAR(20))) AS user_name

@@ -269,6 +269,9 @@ FINALS: dict[str, str] = {
     "truncate_field": """SELECT page_id, length(cut) AS n_chars, md5(cut) AS digest FROM (
         SELECT page_id, CASE WHEN length(html) > 2000 THEN concat(substring(html, 1, 2000), '...[truncated]') ELSE html END AS cut FROM pages) AS x""",
     "scrub_nested": """SELECT conv_id, turn, role, md5(CASE WHEN length(text) > 2000 THEN concat(substring(text, 1, 2000), '...[truncated]') ELSE text END) AS body, turn AS kept_turn, 'x' AS second FROM conversations""",
+    "scrub_parameters": """SELECT event_id, event_id AS k, concat('bucket u', user_id) AS bucket, md5(concat(event_type, chr(92), 'u0007', chr(10), '"end')) AS deep,
+        md5(CASE WHEN length(long) > 2000 THEN concat(substring(long, 1, 2000), '...[truncated]') ELSE long END) AS long, 4 AS n_items, true AS is_clean
+        FROM (SELECT event_id, user_id, event_type, repeat('ab', cast(980 + event_id % 40 AS INT)) AS long FROM events) AS x""",
     "canonical_json": "SELECT doc_id, md5(text) AS text_digest, n_chars, true AS is_ascii, 'Lang' AS first_key FROM documents",
     "fence_block": """SELECT doc_id, md5(concat('<untrusted_data>', chr(10), replace(replace(cut, '<', '\\u003c'), '>', '\\u003e'), chr(10), '</untrusted_data>')) AS digest, length(bare) > 5000 AS truncated,
         1 AS n_open, 1 AS n_close FROM (SELECT *, CASE WHEN length(bare) > 5000 THEN concat(substring(bare, 1, 5000), '...[truncated]') ELSE bare END AS cut FROM (

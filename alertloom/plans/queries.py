@@ -435,6 +435,24 @@ def scrub_nested(t: Tables) -> DataFrame:
     return v.select("conv_id", "turn", "v.role", F.md5("v.inner.body").alias("body"), F.col("v.inner.turn").alias("kept_turn"), F.element_at("v.list", 2).alias("second"))
 
 
+@query
+def scrub_parameters(t: Tables) -> DataFrame:
+    """Scrubs free-form parameters: keys, escapes, nested strings and long ones, with no schema."""
+    dirty = F.to_json(F.try_parse_json("request_parameters"))
+    clean = t.parameters.select("event_id", text.scrub_json(dirty).alias("v"))
+    v = F.parse_json("v")
+    field = lambda path, kind="string": F.try_variant_get(v, path, kind)
+    return clean.select(
+        "event_id",
+        field("$.k", "bigint").alias("k"),
+        field("$.name[0]").alias("bucket"),
+        F.md5(field("$.name[3].deep")).alias("deep"),
+        F.md5(field("$.long")).alias("long"),
+        F.size(field("$.name", "array<variant>")).alias("n_items"),
+        (~F.col("v").rlike(text.UNSAFE_CHARS)).alias("is_clean"),
+    )
+
+
 @query
 def canonical_json(t: Tables) -> DataFrame:
     """Canonical text read back: every value survives, and the text itself is ASCII only."""

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 import unicodedata
 
@@ -89,3 +90,54 @@ def test_prompts_hold_the_evidence_scrubbed(spark):
     assert _inner(got["f2"].prompt)["cloudtrail_events"] == []
     cut = bun.prompts(enrich(found, ctx), max_block=100).collect()
     assert all(r.truncated for r in cut)
+
+
+def _plain_scrub(value, cap):
+    if isinstance(value, str):
+        kept = "".join(c for c in value if c in "\t\n\r" or (unicodedata.category(c)[0] != "C" and c not in "\u2028\u2029"))
+        return kept if len(kept) <= cap else kept[:cap] + text.TRUNCATION_MARK
+    if isinstance(value, dict):
+        return {_plain_scrub(k, cap): _plain_scrub(v, cap) for k, v in value.items()}
+    return [_plain_scrub(v, cap) for v in value] if isinstance(value, list) else value
+
+
+def _random_json(rng, depth=0):
+    kind = rng.randint(0, 7 if depth < 4 else 4)
+    if kind <= 2:
+        return "".join(rng.choice('ab"\\/u0007{}[],: \x00\x07\x1f\b\f\t\n\r\x7f\u0085\u200b\u202e\u2028é😀\ue000\ufeff') for _ in range(rng.choice([0, 1, 5, 30, 31, 60])))
+    if kind == 3:
+        return rng.choice([0, -1, 12345678901, 1.5, True, False, None])
+    if kind == 4:
+        return "x" * rng.choice([29, 30, 31])
+    if kind == 5:
+        return [_random_json(rng, depth + 1) for _ in range(rng.randint(0, 4))]
+    # Keys that stay apart once they are scrubbed; equal ones have a test of their own.
+    return {f"{k}{rng.choice(['', chr(7), 'k' * 40, chr(0x202E), chr(92), chr(34)])}": _random_json(rng, depth + 1) for k in range(rng.randint(0, 4))}
+
+
+def test_free_form_json_is_scrubbed_as_a_walk_over_it_would(spark):
+    rng = random.Random(9)
+    values = [_random_json(rng) for _ in range(400)] + ["\x07" * 90 + "y", {"a": []}, [[], {}, ""], ["a" * 100_000, "\\" * 5_000, '"' * 5_000, "\x01" * 50_000], list(range(3_000))]
+    rows = spark.createDataFrame([(k, json.dumps(v, ensure_ascii=k % 2 == 0)) for k, v in enumerate(values)], "k INT, v STRING")
+    clean = text.scrub_json(F.to_json(F.parse_json("v")), 30)
+    got = {r.k: json.loads(r.r) for r in rows.select("k", clean.alias("r")).collect()}
+    for k, value in enumerate(values):
+        assert got[k] == _plain_scrub(value, 30), value
+
+
+def test_of_keys_made_equal_the_later_value_stands(spark):
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    dirty = F.to_json(F.parse_json(F.lit('{"a":1,"a\\u200b":2,"b":null}')))
+    assert spark.range(1).select(F.to_json(F.parse_json(text.scrub_json(dirty))).alias("r")).first().r == '{"a":2,"b":null}'
+    assert spark.range(1).select(text.scrub_json(F.lit(None).cast("string")).alias("r")).first().r is None
+
+
+def test_numbers_of_clean_and_dirty_texts_keep_their_digits(spark):
+    dirty = F.lit('{"big":12345678901234567890.50,"e":1e400,"s":"\u200bx"}')
+    assert spark.range(1).select(text.scrub_json(dirty).alias("r")).first().r == '{"big":12345678901234567890.50,"e":1e400,"s":"x"}'
+
+
+def test_prompts_are_made_without_python(spark):
+    ctx = context(spark, events=[dict(event_id="e1", event_time=at(1), request_parameters='{"a":"\u200b"}')])
+    plan = bun.prompts(enrich(findings(spark, dict(finding_id="f1")), ctx))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
