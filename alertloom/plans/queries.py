@@ -14,6 +14,7 @@ from ..operators.durable import new_folder
 from ..operators.related import with_related
 from ..operators.timeline import distinct_events, event_pairs, with_timeline
 from ..operators.validation import grounding_matches, resolve_attempts, typed_responses
+from ..sources.claim_ledger import ClaimLedger
 from ..sources.findings import center_time as resolved_time, parse_findings, parse_labeled, unwrap
 from ..sources.trail import flatten_trail
 from ..sources.trail_table import TrailTable
@@ -738,6 +739,18 @@ def stream_dedup(t: Tables) -> DataFrame:
     return _drained(t, rows.select("finding_id"), "stream-dedup")
 
 
+@query
+def claim_ledger(t: Tables) -> DataFrame:
+    """Claims of ten batches through a ledger that merges every third; some ids are claimed again and again."""
+    ledger = ClaimLedger(t._spark, new_folder(t._spark, "claim-ledger"), buckets=8, merge_every=3)
+    number = F.substring("finding_id", 3, 20).cast("bigint")
+    for batch in range(10):
+        ledger.merge_if_due(batch, _now())
+        again = t.findings.where(F.pmod(F.lit(batch), F.pmod(number, F.lit(10)) + 1) == 0)
+        ledger.add(t.claims if batch == 0 else again.select("finding_id", F.lit(1_600_000_000 + batch * 20_000_000).alias("expires_at")), batch)
+    return ledger.claims(now_seconds=_now())
+
+
 @query
 def stream_triage(t: Tables) -> DataFrame:
     folder = new_folder(t._spark, "stream-triage")

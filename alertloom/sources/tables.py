@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from .claim_ledger import read_if_there
 
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -27,10 +28,9 @@ def write_batch(rows: DataFrame, path: str, batch_id: int, fmt: str = "parquet")
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def read_batch(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """The rows that one batch wrote; none if it wrote none."""
+    return read_if_there(spark, path, schema + ", batch_id BIGINT").where(F.col("batch_id") == batch_id).drop("batch_id")
 
 
 def read_claims(spark: SparkSession, path: str, before_batch: int | None = None, now_seconds: Column | None = None) -> DataFrame:
@@ -40,9 +40,7 @@ def read_claims(spark: SparkSession, path: str, before_batch: int | None = None,
     failed do not make it skip its own findings. With now_seconds the claims that have run out by
     then are left out in the scan: a later claim on an id runs longer, so none comes back by that.
     """
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schemas.CLAIMS)
-    written = spark.read.schema(schemas.CLAIMS + ", batch_id BIGINT").parquet(path)
+    written = read_if_there(spark, path, schemas.CLAIMS + ", batch_id BIGINT")
     if before_batch is not None:
         written = written.where(F.col("batch_id") < before_batch)
     if now_seconds is not None:

@@ -11,9 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import metrics
 from ..operators.skew import NULL_PARTS
 from ..plans.triage import Context, TriageResult, triage_batch
-from ..schemas import FINDINGS
+from ..schemas import CLAIMS, FINDINGS
 from ..sources.findings import parse_findings, unwrap
-from ..sources.tables import read_claims, write_batch
+from ..sources.claim_ledger import ClaimLedger
+from ..sources.tables import read_batch, read_claims, write_batch
 
 # Fixed value: how long one claim on a finding id holds.
 CLAIM_TTL = "7 days"
@@ -128,8 +129,23 @@ def triage_one(
     # One reading of the clock for all tables of the batch.
     now = F.timestamp_micros(F.lit(int(time.time() * 1_000_000))) if run_ts is None else run_ts
     findings = batch if documents is None else parse_findings(unwrap(batch, documents), run_ts=now)
-    claims = read_claims(batch.sparkSession, f"{folder}/claims", before_batch=batch_id, now_seconds=F.unix_seconds(now))
-    write_result(triage_batch(findings, context, responses, run_ts=now, claims=claims, **options), folder, batch_id)
+    now_seconds = F.unix_seconds(now)
+    ledger = _ledger(batch.sparkSession, folder, batch_id, now_seconds)
+    claims = ledger.claims(before_batch=batch_id, now_seconds=now_seconds)
+    result = triage_batch(findings, context, responses, run_ts=now, claims=claims, **options)
+    write_result(result, folder, batch_id)
+    # The ledger is what the next batch reads; a batch that dies before this is triaged again.
+    ledger.add(read_batch(batch.sparkSession, f"{folder}/claims", batch_id, CLAIMS), batch_id)
+
+
+def _ledger(spark: SparkSession, folder: str, batch_id: int, now_seconds: Column) -> ClaimLedger:
+    """The folder's ledger, with its older batches merged where that is due."""
+    ledger = ClaimLedger(spark, f"{folder}/claim-ledger")
+    if batch_id and ledger.is_new():
+        # A folder of a time before the ledger, whose claims are in the batches' own table.
+        ledger.start(read_claims(spark, f"{folder}/claims", before_batch=batch_id, now_seconds=now_seconds), batch_id - 1, now_seconds)
+    ledger.merge_if_due(batch_id, now_seconds)
+    return ledger
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str):
