@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.durable import new_folder, written_once
+from ..sources.claim_ledger import read_if_there
 from .tables import text_of
 
 REDACTED = "[REDACTED]"
@@ -82,26 +83,19 @@ def _matches(blobs: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
-def _empty(docs: DataFrame, schema: str) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], schema)
-
-
 SCANNED = "blob string, kind string, version int"
 FOUND = SCANNED + ", start long, end long"
 
 
 class Ledger:
-    """Two tables in a folder: what was scanned, and what was found. Findings are written first."""
+    """Two tables in a folder: what was scanned, and what was found. Findings are written first; a new folder is an empty ledger."""
 
     def __init__(self, spark, folder: str | None = None):
         self.spark = spark
         self.folder = folder or new_folder(spark, "secret-ledger")
-        self._empty = folder is None
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        if self._empty:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        return read_if_there(self.spark, f"{self.folder}/{name}", schema)
 
     @property
     def scanned(self) -> DataFrame:
@@ -115,7 +109,6 @@ class Ledger:
     def add(self, found: DataFrame, scanned: DataFrame) -> None:
         found.write.mode("append").parquet(f"{self.folder}/found")
         scanned.write.mode("append").parquet(f"{self.folder}/scanned")
-        self._empty = False
 
 
 def blob_of(text: Column) -> Column:

@@ -48,6 +48,14 @@ def test_spans_equal_the_patterns(spark):
     assert {r.doc_id: r.s for r in rows} == {k: _spans(t or "") for k, t in enumerate(texts)}
 
 
+def test_a_ledger_in_a_new_folder_is_empty(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token = abcdefgh1"), (2, "plain")], "doc_id long, text string")
+    folder = str(tmp_path / "not" / "yet")
+    assert secrets.Ledger(spark, folder).found.count() == 0
+    assert secrets.scan_new(docs, secrets.Ledger(spark, folder)) == 6
+    assert secrets.scan_new(docs, secrets.Ledger(spark, folder)) == 0 and secrets.Ledger(spark, folder).found.count() == 1
+
+
 def test_only_unseen_pairs_are_scanned(spark):
     schema = "doc_id long, text string"
     first = spark.createDataFrame([(1, "token = abcdefgh1"), (2, "token = abcdefgh1"), (3, "plain"), (None, "plain"), (3, "plain")], schema)
