@@ -15,6 +15,7 @@ from ..operators.related import with_related
 from ..operators.timeline import distinct_events, event_pairs, with_timeline
 from ..operators.validation import grounding_matches, resolve_attempts, typed_responses
 from ..sources.claim_ledger import ClaimLedger
+from ..sources.commits import CommitLog
 from ..sources.findings import center_time as resolved_time, parse_findings, parse_labeled, unwrap
 from ..sources.trail import flatten_trail
 from ..sources.trail_table import TrailTable
@@ -759,7 +760,7 @@ def stream_triage(t: Tables) -> DataFrame:
         folder=folder, checkpoint=f"{folder}/state", run_ts=run_ts(),
     )
     jobs.drain(writer)
-    return t._spark.read.parquet(f"{folder}/outcomes").select("finding_id", "status", "reason", "final_severity", "related_count", "processing_ms")
+    return CommitLog(t._spark, folder).read("outcomes").select("finding_id", "status", "reason", "final_severity", "related_count", "processing_ms")
 
 
 @query
@@ -802,7 +803,7 @@ def stream_audit(t: Tables) -> DataFrame:
         )
     )
     jobs.triage_one(t.arrivals, 0, context, t.responses, folder=folder, run_ts=run_ts())
-    return t._spark.read.parquet(f"{folder}/audit").drop("batch_id")
+    return CommitLog(t._spark, folder).read("audit").drop("batch_id")
 
 
 @query
@@ -815,7 +816,7 @@ def stream_raw_findings(t: Tables) -> DataFrame:
             folder=folder, checkpoint=f"{folder}/state", run_ts=run_ts(), documents="document", severity_threshold=None,
         )
     )
-    return t._spark.read.parquet(f"{folder}/outcomes").select("finding_id", "status", "blast_radius")
+    return CommitLog(t._spark, folder).read("outcomes").select("finding_id", "status", "blast_radius")
 
 
 # ---- rules

@@ -9,15 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import metrics
+from ..operators.durable import reused_places
 from ..operators.skew import NULL_PARTS
 from ..plans.triage import Context, TriageResult, triage_batch
 from ..schemas import CLAIMS, FINDINGS
 from ..sources.findings import parse_findings, unwrap
-from ..sources.claim_ledger import ClaimLedger
+from ..sources.claim_ledger import ClaimLedger, read_if_there
+from ..sources.commits import CommitLog
 from ..sources.tables import read_batch, read_claims, write_batch
 
 # Fixed value: how long one claim on a finding id holds.
 CLAIM_TTL = "7 days"
+# Batches whose intermediate tables are kept; a place is written anew after as many.
+SCRATCH_RING = 2
 
 
 def finding_stream(spark: SparkSession, path: str, *, schema: str = FINDINGS, fmt: str = "json", **options) -> DataFrame:
@@ -77,7 +81,7 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
 
 
 def write_result(result: TriageResult, folder: str, batch_id: int) -> None:
-    """All tables of one batch. Claims go last, so a batch that fails midway is triaged again, not lost."""
+    """All tables of one batch. They count once the batch is in the folder's CommitLog."""
     write_batch(result.outcomes, f"{folder}/outcomes", batch_id)
     write_batch(result.reports, f"{folder}/reports", batch_id, "json")
     write_batch(result.audit, f"{folder}/audit", batch_id)
@@ -102,14 +106,14 @@ def triage_stream(
     `documents` names a column of raw events, in either casing and any envelope, for a stream of
     those (see event_stream); their run time is the batch's.
 
-    `context` and `responses` are called per batch. Every table is partitioned by batch, and a
-    batch that is replayed overwrites what it wrote before, so a restart neither loses nor
-    repeats a row. Start it with .start(), or add a trigger first.
+    `context` and `responses` are called per batch. Every table is partitioned by batch. A batch counts
+    once all its tables are written: read them with CommitLog(spark, folder).read(table). One that died
+    before that overwrites what it wrote when it is replayed, one that counts is left as it is, so a
+    restart neither loses nor repeats a row. Start it with .start(), or add a trigger first.
     """
 
-
     def run(batch: DataFrame, batch_id: int) -> None:
-        triage_one(batch, batch_id, context(), responses(), folder=folder, run_ts=run_ts, documents=documents, **options)
+        triage_one(batch, batch_id, context(), responses(), folder=folder, run_ts=run_ts, documents=documents, writer=checkpoint, **options)
 
     return findings.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
 
@@ -123,19 +127,37 @@ def triage_one(
     folder: str,
     run_ts: Column | None = None,
     documents: str | None = None,
+    writer: str | None = None,
     **options,
 ) -> None:
-    """Triage one micro-batch and write all its tables; doing it again leaves them as they are."""
+    """Triage one micro-batch and write all its tables; doing it again leaves them as they are.
+
+    `writer` says who numbers the batches; a folder that another one writes to is refused.
+    """
+    log = _commits(batch.sparkSession, folder, batch_id)
+    if log.holds(batch_id, writer):
+        return
     # One reading of the clock for all tables of the batch.
     now = F.timestamp_micros(F.lit(int(time.time() * 1_000_000))) if run_ts is None else run_ts
     findings = batch if documents is None else parse_findings(unwrap(batch, documents), run_ts=now)
     now_seconds = F.unix_seconds(now)
     ledger = _ledger(batch.sparkSession, folder, batch_id, now_seconds)
     claims = ledger.claims(before_batch=batch_id, now_seconds=now_seconds)
-    result = triage_batch(findings, context, responses, run_ts=now, claims=claims, **options)
-    write_result(result, folder, batch_id)
-    # The ledger is what the next batch reads; a batch that dies before this is triaged again.
+    with reused_places(f"{folder}/scratch/slot={batch_id % SCRATCH_RING}"):
+        result = triage_batch(findings, context, responses, run_ts=now, claims=claims, **options)
+        write_result(result, folder, batch_id)
+    # The ledger is what the next batch reads, and a batch does not see its own claims when it is run again.
     ledger.add(read_batch(batch.sparkSession, f"{folder}/claims", batch_id, CLAIMS), batch_id)
+    log.commit(batch_id, writer)
+
+
+def _commits(spark: SparkSession, folder: str, batch_id: int) -> CommitLog:
+    log = CommitLog(spark, folder)
+    if batch_id and log.is_new():
+        # A folder of a time before the log: claims were written last, so those batches are whole.
+        before = read_if_there(spark, f"{folder}/claims", "batch_id BIGINT").where(F.col("batch_id") < batch_id).distinct()
+        log.adopt(r.batch_id for r in before.collect())
+    return log
 
 
 def _ledger(spark: SparkSession, folder: str, batch_id: int, now_seconds: Column) -> ClaimLedger:
