@@ -9,13 +9,9 @@ PERIOD = "5 minutes"
 LATENCY_PERCENTILE = 0.9
 
 
-def latency_columns(approximate: bool = False) -> list[Column]:
+def latency_columns() -> list[Column]:
     """Average and p90; the exact p90 keeps counts per distinct value, and values are whole milliseconds."""
-    if approximate:
-        p90 = F.percentile_approx("processing_ms", LATENCY_PERCENTILE)
-    else:
-        p90 = F.percentile("processing_ms", LATENCY_PERCENTILE)
-    return [F.avg("processing_ms").alias("avg_ms"), p90.alias("p90_ms")]
+    return [F.avg("processing_ms").alias("avg_ms"), F.percentile("processing_ms", LATENCY_PERCENTILE).alias("p90_ms")]
 
 
 def usage_columns() -> list[Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .skew import lookup_join
@@ -39,9 +41,19 @@ def related_activity(history: DataFrame, *, max_summaries: int = MAX_SUMMARIES)
     return totals.join(listed, "principal_id")
 
 
+@dataclass(frozen=True)
+class KeptActivity:
+    """Related activity that is kept up to date elsewhere, in the shape of related_activity.
+
+    It must hold the findings that are asked about, as they are taken out of their own counts and lists.
+    """
+
+    rows: DataFrame
+
+
 def with_related(
     findings: DataFrame,
-    history: DataFrame | None = None,
+    history: DataFrame | KeptActivity | None = None,
     *,
     max_summaries: int = MAX_SUMMARIES,
     plain: DataFrame | None = None,
@@ -50,11 +62,14 @@ def with_related(
 
     Without a history the findings are each other's history. A finding with no detector or no
     principal gets 0 and an empty list. `plain` is the findings table itself if `findings` already
-    has joins in it.
+    has joins in it. With a KeptActivity no history is read.
     """
     base = findings if plain is None else plain
-    activity = related_activity(base if history is None else history, max_summaries=max_summaries)
-    if history is None:
+    if isinstance(history, KeptActivity):
+        activity = history.rows
+    else:
+        activity = related_activity(base if history is None else history, max_summaries=max_summaries)
+    if history is None or isinstance(history, KeptActivity):
         asking = findings.withColumn("_listed", F.col("finding_id").isNotNull())
     else:
         known = (

@@ -200,6 +200,10 @@ def _periods(columns: str, source: str) -> str:
     return f"SELECT {_text('time_bucket(INTERVAL 5 MINUTE, ts)')} AS window_start, {columns} FROM {source} GROUP BY 1"
 
 
+# A p90 from a sketch is any value of about the right rank, so it is its rank that is compared.
+_HOURS = f"""SELECT {_text('w')} AS window_start, count(*) AS n, round(avg(ms), 6) AS avg_ms, true AS p90_near
+    FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, processing_ms AS ms FROM lo WHERE processing_ms IS NOT NULL) AS x GROUP BY w"""
+
 FINALS: dict[str, str] = {
     "trail_interval_join": f"SELECT f.finding_id, k.event_id, k.event_name, {_text('k.event_time')} AS event_time FROM f LEFT JOIN capped AS k ON f.finding_id = k.finding_id",
     "trail_dedup": "SELECT access_key_id, event_id, event_name, source_ip FROM t",
@@ -360,6 +364,9 @@ FINALS: dict[str, str] = {
         {_text('EventTime')} AS event_time, cast(json_extract_string(j, '$.requestParameters.k') AS BIGINT) AS k FROM (SELECT *, try_cast(CloudTrailEvent AS JSON) AS j FROM lk) AS x""",
     "passage_containment": "SELECT DISTINCT d.doc_id, b.item_id FROM documents AS d JOIN benchmark AS b ON contains(d.text, b.text) WHERE b.text <> ''",
     "stream_timeline": "SELECT finding_id, event_ids FROM tl",
+    "stream_related": "SELECT finding_id, related_count, related_ids FROM rel",
+    "latency_hours": _HOURS,
+    "stream_latency": _HOURS,
     "stream_claims": f"""SELECT nullif(finding_id, '') AS finding_id, CASE WHEN nth = 1 AND finding_id <> '' THEN 'claimed' ELSE 'skipped' END AS status,
         CASE WHEN coalesce(finding_id, '') = '' THEN 'no_finding_id' WHEN nth > 1 THEN 'already_triaged' END AS reason, {_text('ingest_time')} AS ingest_time
         FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY ingest_time) AS nth FROM arr) AS numbered""",

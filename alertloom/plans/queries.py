@@ -8,10 +8,10 @@ from functools import cache, partial
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import bands, briefs, messages, policy, techniques, text
-from ..operators import bundles as bun, evaluation, gate, metrics, outcomes as out, principals as pri, rules
+from ..operators import bundles as bun, evaluation, gate, latency_sketches as sketches, metrics, outcomes as out, principals as pri, rules
 from ..operators.containment import contained
 from ..operators.durable import new_folder
-from ..operators.related import with_related
+from ..operators.related import KeptActivity, with_related
 from ..operators.timeline import distinct_events, event_pairs, with_timeline
 from ..operators.validation import grounding_matches, resolve_attempts, typed_responses
 from ..sources.claim_ledger import ClaimLedger
@@ -19,7 +19,7 @@ from ..sources.commits import CommitLog
 from ..sources.findings import center_time as resolved_time, parse_findings, parse_labeled, unwrap
 from ..sources.trail import flatten_trail
 from ..sources.trail_table import TrailTable
-from ..streaming import jobs, state
+from ..streaming import activity, jobs, state
 from . import derived as d
 from .triage import Context, decide, enrich, evaluate, triage_batch, triage_on_demand, with_answers
 
@@ -889,6 +889,44 @@ def stream_claims(t: Tables) -> DataFrame:
     return rows.select(F.nullif("finding_id", F.lit("")).alias("finding_id"), "status", "reason", _moment("ingest_time").alias("ingest_time"))
 
 
+@query
+def stream_related(t: Tables) -> DataFrame:
+    """Related counts and lists from activity that a stream of all findings keeps, the history not read again."""
+    state_folder = new_folder(t._spark, "related-state")
+    jobs.drain(activity.activity_stream(_streamed(t, d.FINDINGS), state_folder), idle_batches=False)
+    rows = with_related(t.findings, KeptActivity(activity.read_activity(t._spark, state_folder)))
+    return rows.select("finding_id", "related_count", _listed(F.col("related_summaries")["id"]).alias("related_ids"))
+
+
+# ---- latencies that merge
+
+
+def _sketched_hours(outcomes: DataFrame, parts: DataFrame) -> DataFrame:
+    figures = sketches.latency_figures(sketches.rolled_up(parts, "1 hour"))
+    rows = _period(sketches.ranks(outcomes, figures, "1 hour"))
+    return rows.select("window_start", "n", F.round("avg_ms", 6).alias("avg_ms"), "p90_near")
+
+
+@query
+def latency_hours(t: Tables) -> DataFrame:
+    """Hours merged from sketches of five minutes, and whether the p90 has the rank it should have."""
+    outcomes = t.light_outcomes()
+    return _sketched_hours(outcomes, sketches.latency_parts(outcomes))
+
+
+@query
+def stream_latency(t: Tables) -> DataFrame:
+    """The same hours from a stream of outcomes and skips whose batches each hold parts of all windows."""
+    spark, folder = t._spark, new_folder(t._spark, "stream-latency")
+    _, skips = gate.claim_batch(t.arrivals, None, _now())
+    given = t.light_outcomes().unionByName(skips, allowMissingColumns=True).select("ts", "status", "processing_ms")
+    given.repartition(3).write.parquet(f"{folder}/outcomes")
+    outcomes = spark.read.schema(given.schema).parquet(f"{folder}/outcomes")
+    stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/outcomes")
+    jobs.drain(sketches.latency_stream(stream, f"{folder}/parts", f"{folder}/state"))
+    return _sketched_hours(outcomes, sketches.read_parts(spark, f"{folder}/parts"))
+
+
 # ---- containment, set against set
 
 

@@ -12,7 +12,7 @@ from ..operators import evaluation, gate, outcomes as out
 from ..operators.bundles import bundle
 from ..operators.durable import written_once
 from ..operators.principals import profiles, with_profile
-from ..operators.related import MAX_SUMMARIES, with_related
+from ..operators.related import MAX_SUMMARIES, KeptActivity, with_related
 from ..operators.timeline import MAX_EVENTS, WINDOW_HOURS, with_timeline
 from ..operators.validation import ground, resolve_attempts, typed_responses
 from ..sources.trail_table import TrailTable
@@ -27,7 +27,7 @@ class Context:
     attached: DataFrame
     inline: DataFrame
     groups: DataFrame
-    history: DataFrame | None = None
+    history: DataFrame | KeptActivity | None = None
 
 
 def enrich(
