@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import schemas
 from .claim_ledger import read_if_there
 
+# Parts that an hour of one key is written in.
+TRAIL_LANES = 4
+
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(schema).format(fmt).load(path)
@@ -45,8 +48,9 @@ def read_claims(spark: SparkSession, path: str, before_batch: int | None = None,
 def write_trail(trail: DataFrame, path: str, mode: str = "append") -> None:
     """The flattened trail in a folder per UTC day, by key and time inside, for scans of few days and keys."""
     dated = trail.withColumn("dt", F.to_date("event_time"))
-    # Days are cut by key as well, so a busy day is written by many tasks.
-    dated.repartition("dt", "access_key_id").sortWithinPartitions("dt", "access_key_id", "event_time").write.mode(mode).partitionBy("dt").parquet(path)
+    # Days are cut by key, and a key's day by hours and lanes, so a busy key is written by many tasks as well.
+    lane = F.pmod(F.xxhash64("event_id", "event_time"), F.lit(TRAIL_LANES))
+    dated.repartition("dt", "access_key_id", F.hour("event_time"), lane).sortWithinPartitions("dt", "access_key_id", "event_time").write.mode(mode).partitionBy("dt").parquet(path)
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from alertloom.schemas import FINDINGS, TRAIL_RAW
 from alertloom.sources.findings import parse_findings, read_findings, read_labeled
-from alertloom.sources.tables import read_claims, write_batch
+from alertloom.sources.tables import read_claims, write_batch, write_trail
 from alertloom.sources.trail import flatten_trail
 from alertloom.streaming import jobs
 from helpers import at, brief, context, findings, responses, trail
@@ -116,3 +116,16 @@ def test_stream_timeline_gives_unmatched_findings_too(spark, tmp_path):
     jobs.drain(jobs.append_stream(pairs, str(tmp_path / "out"), str(tmp_path / "state")))
     got = sorted((r.finding_id, r.event_id or "-") for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("hit", "e1"), ("late", "far"), ("miss", "-")]
+
+
+def test_a_busy_key_is_written_by_many_tasks(spark, tmp_path):
+    rows = trail(spark, *(dict(event_id=f"e{i}", event_time=at(i % 9)) for i in range(200)), dict(event_id=None, access_key_id=None, event_time=None))
+    # So few rows would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_trail(rows, str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = spark.read.parquet(str(tmp_path / "t"))
+    files = got.where("access_key_id = 'AK1'").groupBy("_metadata.file_name").count().collect()
+    assert got.count() == 201 and len(files) > 1 and max(f["count"] for f in files) < 180
