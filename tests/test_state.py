@@ -55,6 +55,20 @@ def test_time_that_has_passed_lets_go_of_state(spark, tmp_path):
     assert left.count() == 0
 
 
+def test_keys_share_groups_of_state_and_keep_their_own_lists(spark, tmp_path):
+    rng = random.Random(6)
+    events = [dict(event_id=f"e{i % 90}", access_key_id=f"AK{i % 30}", event_time=at(rng.uniform(-200, 200))) for i in range(200)]
+    found = [dict(finding_id=f"f{i}", access_key_id=f"AK{i % 40}", center_time=at(rng.uniform(-200, 200))) for i in range(60)]
+    _as_files(findings(spark, *found), tmp_path / "f0"), _as_files(trail(spark, *events), tmp_path / "t0")
+    read = lambda name: spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name))
+    # Before time has passed, the state of all keys and lanes is in as many groups a span.
+    jobs.drain(state.timeline_list_stream(read("f0"), read("t0"), str(tmp_path / "out0"), str(tmp_path / "state0"), groups=3))
+    held = spark.read.format("statestore").option("path", str(tmp_path / "state0")).option("stateVarName", "findings").option("flattenCollectionTypes", True).load()
+    assert held.groupBy("key.span").agg(F.count_distinct("key.lanes").alias("n")).where("n > 3").isEmpty() and not held.isEmpty()
+    got = _timelines(spark, tmp_path, found, events, batches=2, max_events=4, lateness="2 days", groups=3)
+    assert {k: sorted(v) for k, v in got.items() if v} == _brute(found, events, 2, 4)
+
+
 def _claims(spark, tmp_path, ttl_seconds):
     schema = findings(spark).schema
     stream = state.claim_stream(jobs.finding_stream(spark, str(tmp_path / "in"), fmt="parquet", maxFilesPerTrigger=1), ttl_seconds)
