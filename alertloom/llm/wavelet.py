@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.durable import new_folder
-from .pretokens import BLOCK_CHARS, WordCache, blocks, row_sums, splitter
+from .pretokens import BLOCK_CHARS, blocks, row_sums, splitter, word_ids
 from .tables import text_of
 
 END_ID = 2
 # Ids of a shard; one document is never cut, so a long one may make a larger shard.
 SHARD_TOKENS = 1 << 20
+# Rows and bytes of texts that a task takes in at a time.
+BATCH_ROWS = 1_000
+BATCH_BYTES = 8 << 20
+# Bytes of a row group of the files, a few shards, and so what a reader takes at once.
+GROUP_BYTES = 16 << 20
 # Bits between two entries of a plane's rank directory.
 RANK_BITS = 512
 
@@ -49,7 +55,7 @@ class WaveletMatrix:
         width = max(int(ids.max(initial=0)).bit_length(), 1)
         zeros, bits, ranks = [], [], []
         for level in range(width - 1, -1, -1):
-            ones = (ids >> level) & 1 != 0
+            ones = (ids & ids.dtype.type(1 << level)) != 0
             packed = np.packbits(ones, bitorder="little")
             # A whole number of blocks, so that blocks can be counted without a look at the rest.
             packed = np.append(packed, np.zeros(-len(packed) % (RANK_BITS // 8), np.uint8))
@@ -57,7 +63,8 @@ class WaveletMatrix:
             bits.append(packed)
             ranks.append(np.append(0, np.cumsum(per_block)).astype(np.uint64))
             zeros.append(int(len(ids) - ranks[-1][-1]))
-            ids = np.concatenate([ids[~ones], ids[ones]])
+            # By places, which numpy gathers faster than by masks.
+            ids = np.concatenate([ids[np.flatnonzero(~ones)], ids[np.flatnonzero(ones)]])
         return cls(int(len(ids)), zeros, bits, ranks)
 
     @classmethod
@@ -134,8 +141,8 @@ class WaveletMatrix:
         for level in range(len(self.bits) - 1, -1, -1):
             ones = np.unpackbits(self.bits[level], bitorder="little", count=self.n).view(bool)
             above = np.empty_like(values)
-            above[~ones] = values[: self.zeros[level]]
-            above[ones] = values[self.zeros[level] :] | values.dtype.type(1 << (len(self.bits) - 1 - level))
+            above[np.flatnonzero(~ones)] = values[: self.zeros[level]]
+            above[np.flatnonzero(ones)] = values[self.zeros[level] :] | values.dtype.type(1 << (len(self.bits) - 1 - level))
             values = above
         return values
 
@@ -143,7 +150,7 @@ class WaveletMatrix:
 def _shards(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(path)
-        cache = WordCache(split)
+        cache = word_ids(path)
         part, shard = TaskContext.get().partitionId(), 0
         ids, sizes, docs, total = [], [], [], 0
 
@@ -183,6 +190,20 @@ SCHEMA = pa.schema(
 )
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, texts go to Python in small parts; ten thousand of them at a time are held several times over on the way."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> str:
     """Write docs (doc_id, text) as shards in ascending doc_id order; gives the folder.
 
@@ -192,7 +213,10 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = E
     folder = folder or new_folder(docs.sparkSession, "token-shards")
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     ranged = ranged.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ranged.mapInArrow(_shards(path, end_id, shard_tokens), SHARDS).write.option("compression", "zstd").parquet(folder)
+    # A row is a shard, so the size of a group of rows is looked at after each.
+    groups = {"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
+    with small_batches(docs.sparkSession):
+        ranged.mapInArrow(_shards(path, end_id, shard_tokens), SHARDS).write.options(compression="zstd", **groups).parquet(folder)
     return folder
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertloom.llm import bpe, token_counts, wavelet
-from alertloom.llm.pretokens import WordCache, blocks, row_sums, splitter
+from alertloom.llm.pretokens import WordCache, blocks, row_sums, splitter, word_ids
 
 from .conftest import BYTES, WORDS
 
@@ -121,3 +121,27 @@ def test_token_shards_of_odd_documents(spark, odd_documents, byte_tokenizer):
 
 def test_no_documents_give_no_shards(spark, no_documents):
     assert wavelet.document_rows(wavelet.read(spark, wavelet.write(no_documents, BYTES))).count() == 0
+
+
+def test_shard_writers_take_texts_in_small_parts(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(3 * wavelet.BATCH_ROWS, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    with wavelet.small_batches(spark):
+        sizes = docs.mapInArrow(lambda batches: (b.slice(0, 1).select([0]).set_column(0, "n", pa.array([b.num_rows], pa.int64())) for b in batches), "n long").collect()
+    assert [r.n for r in sizes] == [wavelet.BATCH_ROWS] * 3
+    folder = wavelet.write(docs, BYTES, str(tmp_path / "shards"), shard_tokens=300)
+    assert spark.conf.get(name) == before and wavelet.document_rows(wavelet.read(spark, folder)).count() == 3 * wavelet.BATCH_ROWS
+
+
+def test_words_met_before_are_not_encoded_again():
+    split, cache = splitter(BYTES), word_ids(BYTES)
+    words = split.split(["some words that a later task meets again"])
+    first, asked = cache.encode(words), []
+    make, again = cache.make, word_ids(BYTES)
+    again.make = lambda new: asked.append(new) or make(new)
+    try:
+        second = again.encode(words)
+    finally:
+        again.make = make
+    assert not asked and [a.tolist() for a in first] == [a.tolist() for a in second]
