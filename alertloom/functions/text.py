@@ -93,6 +93,11 @@ def in_name_order(column: str, dtype: T.DataType) -> Column:
     return F.expr(_rewrite(f"`{column}`", dtype, lambda item, _kind: item))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is named many times; inside a lambda Spark would work it out for each."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def may_need_scrub(json_text: Column, max_field: int = MAX_FIELD) -> Column:
     """False only where no string in a JSON text can hold an unsafe character or be over the cap."""
     escaped = json_text.rlike(r"\\[ubf]")
@@ -108,9 +113,10 @@ def scrub_json(json_text: Column, max_field: int = MAX_FIELD) -> Column:
     """
 
     def token(t: Column) -> Column:
-        held = F.variant_get(F.parse_json(t), "$", "string")
-        again = F.to_json(F.array(scrub_text(held, max_field)))
-        quoted = F.substring(again, F.lit(2), F.length(again) - 2)
+        # Stripping only shortens, so that what is over the cap then is what is cut.
+        clean = strip_control_chars(F.variant_get(F.parse_json(t), "$", "string"))
+        again = F.to_json(F.array(_once(clean, lambda c: cap_text(c, max_field))))
+        quoted = _once(again, lambda a: F.substring(a, F.lit(2), F.length(a) - 2))
         return F.when(F.startswith(t, F.lit('"')) & may_need_scrub(t, max_field), quoted).otherwise(t)
 
     tokens = F.regexp_extract_all(json_text, F.lit(_JSON_TOKENS), F.lit(0))

@@ -24,3 +24,13 @@ def lookup_join(rows: DataFrame, unique: DataFrame, keys: Sequence[str], spread_
     # Always 0, but not a literal, which would be taken out of the join's keys again.
     none = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long"))
     return rows.withColumn("_part", part).join(unique.withColumn("_part", none), [*keys, "_part"], "left").drop("_part")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over at least as many tasks as the session runs at a time.
+
+    For work that is heavy a row and comes before any shuffle: a file, or a group of rows in it, is read by one task
+    whatever is done with its rows. Only the columns that are used are moved, and only the rows that pass the filters.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -12,6 +12,7 @@ from ..operators import bundles as bun, evaluation, gate, latency_sketches as sk
 from ..operators.containment import contained
 from ..operators.durable import new_folder, written_once
 from ..operators.related import KeptActivity, with_related
+from ..operators.skew import spread
 from ..operators.timeline import distinct_events, event_pairs, with_timeline
 from ..operators.validation import grounding_matches, resolve_attempts, typed_responses
 from ..sources.claim_ledger import ClaimLedger
@@ -29,6 +30,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 RUN_TS = "2024-02-01 00:00:00"
 
 
+# Derived tables whose rows are parsed, each at some cost, before anything shuffles them.
+HEAVY = ("documents", "lookups", "parameters", "responses")
+
+
 def run_ts() -> Column:
     return F.lit(RUN_TS).cast("timestamp")
 
@@ -48,7 +53,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         """A derived table by its name in lower case, analysed once."""
-        rows = d.derive(self._spark, getattr(d, name.upper()), self.source)
+        read = self.source if name not in HEAVY else lambda table: spread(self.source(table))
+        rows = d.derive(self._spark, getattr(d, name.upper()), read)
         setattr(self, name, rows)
         return rows
 
@@ -449,8 +455,9 @@ def scrub_nested(t: Tables) -> DataFrame:
 @query
 def scrub_parameters(t: Tables) -> DataFrame:
     """Scrubs free-form parameters: keys, escapes, nested strings and long ones, with no schema."""
-    dirty = F.to_json(F.try_parse_json("request_parameters"))
-    clean = t.parameters.select("event_id", text.scrub_json(dirty).alias("v"))
+    # A step of its own, as the scrub names the text many times.
+    dirty = t.parameters.select("event_id", F.to_json(F.try_parse_json("request_parameters")).alias("v"))
+    clean = dirty.select("event_id", text.scrub_json(F.col("v")).alias("v"))
     v = F.parse_json("v")
     field = lambda path, kind="string": F.try_variant_get(v, path, kind)
     return clean.select(

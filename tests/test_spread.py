@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from alertloom.operators.validation import typed_responses
-from alertloom.plans.queries import REGISTRY, _each
+from alertloom.plans.queries import REGISTRY, Tables, _each
 from helpers import brief, plan_text, responses, technique
 
 
@@ -18,6 +18,15 @@ def _folder(spark, tmp_path, n=400):
     return str(tmp_path)
 
 
+def test_rows_that_are_parsed_are_dealt_to_all_tasks(spark, tmp_path):
+    folder = _folder(spark, tmp_path)
+    for name in ("parameters", "responses", "documents", "lookups"):
+        assert getattr(Tables(spark, folder), name).select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+    rows = REGISTRY["scrub_parameters"](spark, folder)
+    assert rows.withColumn("p", F.spark_partition_id()).agg(F.count_distinct("p"), F.count("*")).first() == (8, 400)
+    assert rows.where("NOT is_clean OR k <> event_id").isEmpty()
+
+
 def test_items_of_briefs_are_listed_without_a_filter_that_parses(spark):
     given = responses(
         spark, dict(finding_id="a"), dict(finding_id="b", brief_json=brief(attack_techniques=[])), dict(finding_id="c", brief_json="no brief"),
