@@ -71,3 +71,16 @@ def test_kept_activity_equals_the_whole_history(spark, tmp_path):
             kept = KeptActivity(activity.read_activity(spark, checkpoint, max_summaries=4))
             got, want = (_related(with_related(asked, h, max_summaries=4)) for h in (kept, history))
             assert got == want and max(v[4].count("Row(") for v in got) == 4
+
+
+def test_few_findings_are_held_in_their_list_alone(spark, tmp_path):
+    def held(name):
+        return spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "state"))
+
+    batches = [[("few", k) for k in range(3)] + [("many", k) for k in range(5)], [("few", 1), ("many", 9), ("many", 2)]]
+    for batch in batches:
+        findings(spark, *[dict(finding_id=f"{p}{k}", principal_id=p, center_time=at(k)) for p, k in batch]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(findings(spark).schema).parquet(str(tmp_path / "in"))
+        jobs.drain(activity.activity_stream(stream, str(tmp_path / "state"), max_summaries=4, lanes=1), idle_batches=False)
+    assert {r.p: r.n for r in held("standing").selectExpr("key.principal_id AS p", "value.total AS n").collect()} == {"few": 3, "many": 6}
+    assert {r.p for r in held("known").selectExpr("key.principal_id AS p").collect()} == {"many"}
