@@ -91,10 +91,15 @@ def _grounded(resource: Column, evidence: Column) -> Column:
     return (wanted != "") & F.contains(evidence, wanted)
 
 
-def kept_resources(resources: Column, evidence: Column) -> Column:
-    """Resources whose trimmed text stands literally in the evidence; kept untrimmed."""
-    return F.filter(resources, lambda r: _grounded(r, evidence))
+def grounded(resources: Column, evidence: Column) -> Column:
+    """Of each resource whether its trimmed text stands literally in the evidence, which is searched once for each."""
+    return F.transform(resources, lambda r: _grounded(r, evidence))
 
 
-def dropped_resources(resources: Column, evidence: Column) -> Column:
-    return F.filter(resources, lambda r: ~_grounded(r, evidence))
+def kept_resources(resources: Column, grounded: Column) -> Column:
+    """The resources that are grounded, untrimmed."""
+    return F.filter(resources, lambda _, i: F.get(grounded, i))
+
+
+def dropped_resources(resources: Column, grounded: Column) -> Column:
+    return F.filter(resources, lambda _, i: ~F.get(grounded, i))

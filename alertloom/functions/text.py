@@ -41,7 +41,7 @@ def strip_whitespace(value: Column) -> Column:
 
 def distinct_in_order(values: Column, limit: int) -> Column:
     """First `limit` distinct non-empty values, in the order they were first seen."""
-    return F.slice(F.array_distinct(F.filter(values, lambda v: v != "")), 1, limit)
+    return F.slice(F.filter(F.array_distinct(values), lambda v: v != ""), 1, limit)
 
 
 def iso_utc(moment: Column) -> Column:

@@ -62,18 +62,23 @@ def console_url(region: Column, bucket: Column, key: Column) -> Column:
 
 
 def report_rows(triaged: DataFrame, run_ts: Column) -> DataFrame:
-    """(finding_id, key, dt, report): the whole artifact as JSON, in its analyzed or degraded shape."""
+    """(finding_id, key, dt, report): the whole artifact as JSON, in its analyzed or degraded shape.
+
+    Rows that have their bundle's JSON text as `evidence` give that, others are written out from the bundle.
+    """
     usage = F.struct("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
-    common = [F.col("bundle.finding").alias("finding"), F.col("bundle").alias("enrichment")]
-    analyzed = text.flat_json(F.struct(*common, "brief", "final_severity", usage.alias("usage"), "request_id"))
+    evidence = F.col("evidence") if "evidence" in triaged.columns else F.coalesce(text.flat_json(F.col("bundle")), F.lit("null"))
+    finding = F.coalesce(text.flat_json(F.col("bundle.finding")), F.lit("null"))
+    analyzed = text.flat_json(F.struct("brief", "final_severity", usage.alias("usage"), "request_id"))
     degraded = text.flat_json(
-        F.struct(*common, F.lit(None).cast("string").alias("brief"), F.lit(True).alias("degraded"), "reason", "final_severity")
+        F.struct(F.lit(None).cast("string").alias("brief"), F.lit(True).alias("degraded"), "reason", "final_severity")
     )
+    rest = F.substr(F.when(F.col("degraded"), degraded).otherwise(analyzed), F.lit(2))
     return triaged.select(
         "finding_id",
         report_key(F.col("finding_id"), run_ts).alias("key"),
         F.to_date(run_ts).alias("dt"),
-        F.when(F.col("degraded"), degraded).otherwise(analyzed).alias("report"),
+        F.concat(F.lit('{"finding":'), finding, F.lit(',"enrichment":'), evidence, F.lit(","), rest).alias("report"),
     )
 
 

@@ -14,6 +14,7 @@ newest `max_events` can ever be taken, which bounds a slot.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -199,16 +200,22 @@ def _from_table(windows: DataFrame, table: TrailTable, n: int) -> tuple[DataFram
     return chosen, table.around(windows, wanted, chosen.select("access_key_id", "moment"))
 
 
-def with_timeline(findings: DataFrame, trail: DataFrame | TrailTable, *, plain: DataFrame | None = None, **options) -> DataFrame:
+def with_timeline(
+    findings: DataFrame, trail: DataFrame | TrailTable, *, plain: DataFrame | None = None, shape: Mapping[str, Column] | None = None, **options
+) -> DataFrame:
     """Findings plus `events`; findings without a key or activity get an empty list.
 
-    `plain` is the findings table itself if `findings` already has joins in it.
+    `plain` is the findings table itself if `findings` already has joins in it. `shape` names lists, or
+    JSON texts of lists, to make of `events`, once a timeline and before findings meet it.
     """
     base = findings if plain is None else plain
     found = timelines(base, trail, **options)
-    empty = F.array().cast(found.schema["events"].dataType)
+    if shape is not None:
+        found = found.withColumns(dict(shape))
     joined = lookup_join(findings, found, WINDOW, "finding_id")
-    return joined.withColumn("events", F.coalesce("events", empty))
+    made = [f for f in found.schema if f.name not in WINDOW]
+    empty = {f.name: F.lit("[]") if f.dataType.typeName() == "string" else F.array().cast(f.dataType) for f in made}
+    return joined.withColumns({name: F.coalesce(name, none) for name, none in empty.items()})
 
 
 def distinct_events(trail: DataFrame) -> DataFrame:

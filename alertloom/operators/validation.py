@@ -60,26 +60,28 @@ def resolve_attempts(typed: DataFrame, *, retry: bool = True) -> DataFrame:
 def ground(decided: DataFrame) -> DataFrame:
     """Brief with unknown techniques and ungrounded resources taken out, both listed as dropped, and `degraded`.
 
-    Needs `brief` and `bundle` in the row: the containment test never leaves the row.
+    Needs `brief` and `bundle` in the row, or the bundle's JSON text as `evidence`: the containment test never leaves the row.
     """
     proposed = F.col("brief.attack_techniques")
     named = F.col("brief.affected_resources")
-    evidence = text.flat_json(F.col("bundle"))
+    evidence = F.col("evidence") if "evidence" in decided.columns else text.flat_json(F.col("bundle"))
     # The evidence text is built once per row and only where a brief names resources.
     rows = decided.withColumn("_evidence", F.when(F.size(named) > 0, evidence))
+    # Kept and dropped resources are both read off one search of the text.
+    rows = rows.withColumn("_grounded", briefs.grounded(named, F.col("_evidence"))).drop("_evidence")
     # Taken from the brief as it came, so that a filter on it does not drag the grounding along.
     rows = rows.withColumn("degraded", F.col("brief").isNull())
     cleaned = (
         F.col("brief")
         .withField("attack_techniques", briefs.kept_techniques(proposed))
-        .withField("affected_resources", briefs.kept_resources(named, F.col("_evidence")))
+        .withField("affected_resources", briefs.kept_resources(named, F.col("_grounded")))
     )
     return (
         rows.withColumn("dropped_techniques", briefs.dropped_techniques(proposed))
-        .withColumn("dropped_resources", briefs.dropped_resources(named, F.col("_evidence")))
+        .withColumn("dropped_resources", briefs.dropped_resources(named, F.col("_grounded")))
         .withColumn("valid", briefs.is_trustworthy(proposed))
         .withColumn("brief", F.when(~F.col("degraded"), cleaned))
-        .drop("_evidence")
+        .drop("_grounded")
     )
 
 

@@ -58,6 +58,10 @@ class Tables:
         setattr(self, name, rows)
         return rows
 
+    def read(self, name: str) -> DataFrame:
+        """A derived table as it comes from its files, for jobs that deal out its rows themselves."""
+        return d.derive(self._spark, getattr(d, name.upper()), self.source)
+
     def context(self, history: DataFrame | None = None) -> Context:
         return Context(self.trail, self.principals, self.attached, self.inline, self.groups, history)
 
@@ -409,7 +413,7 @@ def triage_hard_signals(t: Tables) -> DataFrame:
 @query
 def triage_outcomes(t: Tables) -> DataFrame:
     result = triage_batch(
-        t.arrivals, t.context(t.findings), t.responses, run_ts=run_ts(), claims=t.claims
+        t.arrivals, t.context(t.findings), t.read("responses"), run_ts=run_ts(), claims=t.claims
     )
     return result.outcomes.select(
         "finding_id", "status", "reason", "final_severity", "blast_radius", "related_count", "action_count", "processing_ms",
@@ -772,7 +776,7 @@ def claim_ledger(t: Tables) -> DataFrame:
 def stream_triage(t: Tables) -> DataFrame:
     folder = new_folder(t._spark, "stream-triage")
     writer = jobs.triage_stream(
-        _streamed(t, d.ARRIVALS), lambda: t.context(t.findings), lambda: t.responses,
+        _streamed(t, d.ARRIVALS), lambda: t.context(t.findings), lambda: t.read("responses"),
         folder=folder, checkpoint=f"{folder}/state", run_ts=run_ts(),
     )
     jobs.drain(writer)
@@ -815,10 +819,10 @@ def stream_audit(t: Tables) -> DataFrame:
     context = t.context(t.findings)
     jobs.drain(
         jobs.triage_stream(
-            _streamed(t, d.ARRIVALS), lambda: context, lambda: t.responses, folder=folder, checkpoint=f"{folder}/state", run_ts=run_ts()
+            _streamed(t, d.ARRIVALS), lambda: context, lambda: t.read("responses"), folder=folder, checkpoint=f"{folder}/state", run_ts=run_ts()
         )
     )
-    jobs.triage_one(t.arrivals, 0, context, t.responses, folder=folder, run_ts=run_ts())
+    jobs.triage_one(t.arrivals, 0, context, t.read("responses"), folder=folder, run_ts=run_ts())
     return CommitLog(t._spark, folder).read("audit").drop("batch_id")
 
 
@@ -828,7 +832,7 @@ def stream_raw_findings(t: Tables) -> DataFrame:
     folder = new_folder(t._spark, "stream-raw")
     jobs.drain(
         jobs.triage_stream(
-            _streamed(t, d.DOCUMENTS), lambda: t.context(t.findings), lambda: t.responses,
+            _streamed(t, d.DOCUMENTS), lambda: t.context(t.findings), lambda: t.read("responses"),
             folder=folder, checkpoint=f"{folder}/state", run_ts=run_ts(), documents="document", severity_threshold=None,
         )
     )
